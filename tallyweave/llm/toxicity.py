@@ -1,4 +1,5 @@
-"""Toxicity by multiple-instance learning: a sentence's score is a logistic sum over its words, a document's score the
+"""Toxicity by multiple-instance learning: a sentence's score is a logistic sum over its words
+(each word: its character runs), a document's score the
 noisy-or of its sentences, and only document labels train both. The sentences that carry the score are located.
 
 Training reads at most `max_docs` labelled documents (the documented bound: half of each class, the least hashes of the
@@ -29,53 +30,72 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def grams(word: str) -> list[str]:
+    """A word's features: its runs of 4 to 7 characters, its edges marked."""
+    marked = f"^{word}$"
+    return [marked[k : k + n] for n in range(4, 8) for k in range(max(1, len(marked) - n + 1))]
+
+
 class Model:
-    """Word weights and a bias; `words` maps a lower-case word to its weight."""
+    """Weights of features and a bias; a sentence's logit is the bias and the weights of its different words."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias, self._known = weights, bias, {}
 
-    def __init__(self, words: dict[str, float], bias: float):
-        self.words, self.bias = words, bias
+    def _word(self, word: str) -> float:
+        if (z := self._known.get(word)) is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            z = self._known[word] = sum(self.weights.get(g, 0.0) for g in grams(word[:200]))
+        return z
 
     def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Where sentences with a word lie, and each one's probability."""
         spans, z = [], []
-        get = self.words.get
         for m in _SENTENCE.finditer(text):
             words = set(_WORD.findall(m.group().lower()))
             if words:
                 spans.append(m.span())
-                z.append(self.bias + sum(get(w, 0.0) for w in words))
+                z.append(self.bias + sum(map(self._word, sorted(words))))
         return spans, 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
 
     def score(self, p: np.ndarray) -> float:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def train(texts: list[str], labels: list[int], *, min_docs: int = 3, rounds: int = 150, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """Adam on the noisy-or likelihood; words in fewer than min_docs documents are left out. Deterministic."""
+def _signal(pos: int, n: int, total_pos: int, total: int) -> float:
+    """Log-likelihood ratio of a feature found in n documents, pos of them toxic; negative if it speaks for clean ones."""
+    q, p = total_pos / total, pos / n
+    g = 2 * (sum(k * np.log(k / (n * r)) for k, r in ((pos, q), (n - pos, 1 - q)) if k))
+    return g if p > q else -g
+
+
+def train(texts: list[str], labels: list[int], *, least: float = 40.0, rounds: int = 200, rate: float = 0.05, decay: float = 0.02) -> Model:
+    """Adam on the class-balanced noisy-or likelihood, over features whose signal is `least` or more. Deterministic."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -30.0)
     bags = [[b for m in _SENTENCE.finditer(t) if (b := set(_WORD.findall(m.group().lower())))] for t in texts]
-    df, pos = Counter(), Counter()
+    df, pos, known = Counter(), Counter(), {}
     for doc, label in zip(bags, labels, strict=True):
-        own = set().union(*doc) if doc else set()
+        own = set()
+        for word in set().union(*doc) if doc else ():
+            own.update(known.setdefault(word, grams(word[:200])))
         df.update(own)
         if label:
             pos.update(own)
-    vocab = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= min_docs))}
+    vocab = {g: k for k, g in enumerate(sorted(g for g, n in pos.items() if n >= 3 and _signal(n, df[g], y.sum(), len(y)) >= least))}
+    ids = {w: [vocab[g] for g in gs if g in vocab] for w, gs in known.items()}
     cols, rows, docs = [], [], []
     for d, doc in enumerate(bags):
         for bag in doc:
-            ids = [vocab[w] for w in bag if w in vocab]
-            cols += sorted(ids)
-            rows += [len(docs)] * len(ids)
+            own = [k for w in sorted(bag) for k in ids[w]]
+            cols += own
+            rows += [len(docs)] * len(own)
             docs.append(d)
     cols, rows, docs = (np.array(x, np.int64) for x in (cols, rows, docs))
-    base = y.mean()
-    weight = np.where(y > 0, 0.5 / max(base, 1e-9), 0.5 / max(1 - base, 1e-9)) / len(y)
-    # what a word's document counts say is the start; training then shares the blame out among sentences
-    w = np.array([np.log((pos[t] + 0.5) / (y.sum() + 1)) - np.log((df[t] - pos[t] + 0.5) / (len(y) - y.sum() + 1)) for t in vocab])
-    w, b = np.clip(w, 0, 3) * 0.5, -5.0
+    weight = np.where(y > 0, 0.3 / y.sum(), 0.7 / (len(y) - y.sum()))
+    w, b = np.full(len(vocab), 0.3), -6.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
         z = np.clip(b + np.bincount(rows, w[cols], len(docs)), -30, 30)
@@ -118,7 +138,7 @@ def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
 
-def op9_toxicity(spark, sf_dir: str, max_docs: int = 6000) -> DataFrame:
+def op9_toxicity(spark, sf_dir: str, max_docs: int = 4000) -> DataFrame:
     """The contract's columns for every document; trained on at most max_docs labelled rows outside the held-out fifth."""
     docs = _base.table(spark, sf_dir, "documents")
     rows = training_rows(docs, _base.table(spark, sf_dir, "labels"), max_docs=max_docs)
