@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import decontaminate, quality, toxicity
+from tallyweave.llm import decontaminate, pii, quality, secrets, toxicity
 
-QUERIES = {f.__name__: f for f in (decontaminate.op6_decontamination, quality.op8_quality, toxicity.op9_toxicity)}
+QUERIES = {f.__name__: f for f in (secrets.op3_secrets, pii.op4_personal, decontaminate.op6_decontamination, quality.op8_quality, toxicity.op9_toxicity)}
 
 ORACLE_SQL = {"op6_decontamination": decontaminate.ORACLE_SQL}
