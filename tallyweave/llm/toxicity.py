@@ -12,6 +12,7 @@ larger counts. No labelled row of either class: all scores are 0. Repeated docum
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -75,21 +76,22 @@ def train(texts: list[str], labels: list[int], *, least: float = 40.0, rounds: i
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -30.0)
-    bags = [[b for m in _SENTENCE.finditer(t) if (b := set(_WORD.findall(m.group().lower())))] for t in texts]
-    df, pos, known = Counter(), Counter(), {}
+    bags = [[b for m in _SENTENCE.finditer(t) if (b := {sys.intern(w) for w in _WORD.findall(m.group().lower())})] for t in texts]
+    df, pos = Counter(), Counter()
     for doc, label in zip(bags, labels, strict=True):
         own = set()
         for word in set().union(*doc) if doc else ():
-            own.update(known.setdefault(word, grams(word[:200])))
+            own.update(grams(word[:200]))
         df.update(own)
         if label:
             pos.update(own)
     vocab = {g: k for k, g in enumerate(sorted(g for g, n in pos.items() if n >= 3 and _signal(n, df[g], y.sum(), len(y)) >= least))}
-    ids = {w: [vocab[g] for g in gs if g in vocab] for w, gs in known.items()}
+    del df, pos
+    ids = {w: got for w in {w for doc in bags for bag in doc for w in bag} if (got := [vocab[g] for g in grams(w[:200]) if g in vocab])}
     cols, rows, docs = [], [], []
     for d, doc in enumerate(bags):
         for bag in doc:
-            own = [k for w in sorted(bag) for k in ids[w]]
+            own = [k for w in sorted(bag) for k in ids.get(w, ())]
             cols += own
             rows += [len(docs)] * len(own)
             docs.append(d)
@@ -138,7 +140,7 @@ def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
 
-def op9_toxicity(spark, sf_dir: str, max_docs: int = 4000) -> DataFrame:
+def op9_toxicity(spark, sf_dir: str, max_docs: int = 3000) -> DataFrame:
     """The contract's columns for every document; trained on at most max_docs labelled rows outside the held-out fifth."""
     docs = _base.table(spark, sf_dir, "documents")
     rows = training_rows(docs, _base.table(spark, sf_dir, "labels"), max_docs=max_docs)
