@@ -48,9 +48,13 @@ def secret_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     verdict = F.when(F.col("owners") <= live_owners, "live").when(F.col("owners") >= copied_owners, "example").otherwise("shared")
     judged = found.join(freq, "h").select("__id", "s", verdict.alias("verdict"), "owners", "repositories").where((F.col("s.rank") < len(BASE)) | (F.col("verdict") == "live"))
     kept = judged.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "s.text", "verdict", "owners", "repositories"))).alias("spans"))
-    out = scanned.join(kept, "__id", "left")
-    empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,text:string,verdict:string,owners:bigint,repositories:bigint>>")
-    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", F.coalesce("spans", empty).alias("spans"))
+    kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,text:string,verdict:string,owners:bigint,repositories:bigint>>"
+    empty = F.array().cast(kind)
+    any_span = (F.size("base") > 0) | (F.size("more") > 0)
+    # only rows with a candidate are joined; the others keep their place
+    some = scanned.where(any_span).join(kept, "__id", "left").select(*names, "base", F.coalesce("spans", empty).cast(kind).alias("spans"))
+    out = scanned.where(~any_span).select(*names, "base", empty.alias("spans")).unionByName(some)
+    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", "spans")
 
 
 def redacted(text: str, spans: str) -> str:
