@@ -39,7 +39,7 @@ def rendered(found: DataFrame) -> DataFrame:
 
 def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k best of every batch for each query: (query, id, score)."""
-    for batch in batches:
+    for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
         v, own = _matrix(batch.column(1), unit.shape[1])
         if not len(v):
             continue
@@ -61,14 +61,13 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[ok] / length[ok, None], own[ok]
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, block: int = 1024, rows: int = 2048) -> DataFrame:
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, block: int = 1024) -> DataFrame:
     """Per query the k best of all vectors (id, embedding), itself left out: query, id, score, rank. Exact.
 
     Queries come in blocks of `block`, the only thing sent to tasks; every partition folds to its k best per query, so
     what is shuffled is k rows per query and batch, whatever the number of vectors.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     out: DataFrame | None = None
     held: list = []
     dim = None
