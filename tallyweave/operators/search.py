@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows that have dim elements and a length."""
-    size = np.array([dim + 1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    size = np.array([dim + 1 if x is None else x for x in pc.list_value_length(column).to_pylist()], np.int64)
     own = np.flatnonzero(size == dim)
     flat = column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dim)
     length = np.sqrt((flat * flat).sum(1))
