@@ -49,14 +49,28 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Packed with equal bytes of all numbers together: the upper ones repeat."""
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
 def _coded(hashes: np.ndarray) -> tuple[bytes, bytes]:
-    """A table of distinct hashes and the codes of all, as small as they fit."""
+    """A sorted table of distinct hashes as steps (six bytes as they are, the upper two packed), and the codes of all."""
     table, code = np.unique(hashes, return_inverse=True)
-    return table.tobytes(), _packed(code.astype(np.uint32))
+    steps = np.diff(table, prepend=U(0)).view(np.uint8).reshape(len(table), 8)
+    return np.ascontiguousarray(steps[:, :6]).tobytes() + zlib.compress(np.ascontiguousarray(steps[:, 6:].T).tobytes(), 1) + len(table).to_bytes(8, "little"), _planes(code.astype(np.uint16 if len(table) < 65536 else np.uint32))
 
 
 def _decoded(table: bytes, codes: bytes) -> np.ndarray:
-    return np.frombuffer(table, U)[_unpacked(codes, np.uint32)]
+    n = int.from_bytes(table[-8:], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(table, np.uint8, 6 * n).reshape(n, 6)
+    steps[:, 6:] = np.frombuffer(zlib.decompress(table[6 * n : -8]), np.uint8).reshape(2, n).T
+    hashes = np.cumsum(steps.view(U).ravel(), dtype=U)
+    raw = np.frombuffer(zlib.decompress(codes), np.uint8)
+    width = 2 if n < 65536 else 4
+    code = np.ascontiguousarray(raw.reshape(width, -1).T).view(np.uint16 if width == 2 else np.uint32).ravel()
+    return hashes[code]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,7 +205,7 @@ def _sums(doc: np.ndarray, value: np.ndarray, back: np.ndarray, homes: int) -> I
     by = np.argsort(home, kind="stable")
     for a, b in _runs(home[by]):
         at = by[a:b]
-        yield int(home[at[0]]), _packed(np.diff(who[at], prepend=0)), _packed(total[at]), _packed(fell[at])
+        yield int(home[at[0]]), _packed(np.diff(who[at], prepend=0)), _planes(total[at]), _planes(fell[at])
 
 
 def _scored(t: pa.Table, sent: Sent, tokens: int, alpha: float, least: int, parts: int, homes: int) -> pa.Table:
@@ -268,10 +282,13 @@ def _fallen(left: pa.Table, right: pa.Table, tokens: int, alpha: float, homes: i
     return pa.table({"home": pa.array(out[0], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip("abc", out[1:], strict=True)}})
 
 
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _totals(t: pa.Table) -> pa.Table:
     who = np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in t.column("a").to_pylist()])
-    total = np.concatenate([_unpacked(x, np.int64) for x in t.column("b").to_pylist()])
-    fell = np.concatenate([_unpacked(x, np.int64) for x in t.column("c").to_pylist()])
+    total, fell = (np.concatenate([_numbers(x) for x in t.column(c).to_pylist()]) for c in "bc")
     doc, inverse = np.unique(who, return_inverse=True)
     sums = [np.zeros(len(doc), np.int64) for _ in range(2)]
     np.add.at(sums[0], inverse, total)
@@ -279,16 +296,19 @@ def _totals(t: pa.Table) -> pa.Table:
     return pa.table({"rid": doc, "total": sums[0], "fallbacks": sums[1]})
 
 
-def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, part_tokens: int = 2_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, part_tokens: int = 1_400_000) -> DataFrame:
     """Per document row: doc_id, n_tokens, n_fallbacks, log_score (sum of natural logs, null without tokens).
 
     part_tokens: about how many occurrences a partition and a batch hold; it sets memory, not results.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    # rows get ids of their own; the texts are read again by content, not by id, so the id is a hash of both
+    # whole-number ids that are there once name their rows (near ids pack well); else a hash of id and text does
+    rows = _base.staged(own.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), count.alias("n_tokens")), "rows")
     rid = F.xxhash64("doc_id", "text").alias("rid")
-    rows = _base.staged(own.select("doc_id", rid, count.alias("n_tokens")), "rows")
+    if own.schema["doc_id"].dataType.typeName() in ("integer", "long") and rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        rid = F.col("doc_id").cast("long").alias("rid")
+        rows = rows.select("doc_id", rid, "n_tokens")
     tokens = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
     parts = max(48, int(tokens / part_tokens) + 1)
     homes = parts
