@@ -79,7 +79,7 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, bloc
         m = np.array([v for _, v in held], np.float64)
         length = np.sqrt((m * m).sum(1))
         ids, m = ids[length > 0], m[length > 0] / length[length > 0, None]
-        part = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(lambda it: _scored(it, ids, m, k + 1), "query bigint, id bigint, score double")
+        part = vectors.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(lambda it: _scored(it, ids, m, k + 1), "query bigint, id bigint, score double")
         out = part if out is None else out.union(part)
         held = []
 
@@ -120,8 +120,8 @@ def _keys(batches: Iterator[pa.RecordBatch], planes: np.ndarray, probe: bool) ->
 def nearest_by_index(vectors: DataFrame, queries: DataFrame, k: int = 10, *, dim: int = 64, tables: int = 16, bits: int = 6) -> DataFrame:
     """As nearest_of_many, but only rows that share a bucket with a query (or one plane off) are scored. Every row is indexed."""
     planes = hyperplanes(dim, tables, bits)
-    base = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
-    asked = queries.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    base = vectors.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    asked = queries.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
     kind = "id bigint, tbl int, key bigint"
     index = base.mapInArrow(lambda it: _keys(it, planes, False), kind)
     probes = asked.mapInArrow(lambda it: _keys(it, planes, True), kind).withColumnRenamed("id", "query")

@@ -40,11 +40,12 @@ def sync(spark: SparkSession, store: Store, root: str, *, embed: Callable[[DataF
     take their edges along; entities stay. A document whose previous version named other entities is analysed for impact."""
     now = F.lit(None).cast("timestamp_ntz") if now is None else now
     now = F.coalesce(now, F.localtimestamp())
-    parsed = markdown.parsed(markdown.scan(spark, root)).cache()
+    parsed = store.staged(markdown.parsed(markdown.scan(spark, root)))
     docs = markdown.documents(parsed)
     nodes, edges = store.nodes(), store.relationships()
     tracked = nodes.where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
-    found = changes.detect(parsed.select("path", F.when(F.col("error").isNull(), F.col("content_hash")).alias("content_hash")), tracked, only=only, force=force).cache()
+    found = changes.detect(parsed.select("path", F.when(F.col("error").isNull(), F.col("content_hash")).alias("content_hash")), tracked, only=only, force=force)
+    found = store.staged(found)
     work = docs.join(found.where("change_type IN ('new', 'updated')").select("path"), "path", "left_semi")
     mentioned = entities.exploded(work, "entities").where("name IS NOT NULL AND type IS NOT NULL")
     declared = entities.exploded(work, "relationships")

@@ -32,7 +32,8 @@ def query(sql: str | None = None, *views: str, recursive: bool = False):
     return wrap
 
 
-NOW = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+def _now() -> F.Column:
+    return F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
 
 
 # ---------------------------------------------------------------- reads
@@ -618,7 +619,7 @@ SELECT coalesce(o.label, f.label) AS label, coalesce(o.name, f.name) AS name, CA
 def upsert_nodes(v: Views) -> DataFrame:
     clicked = v.table("events").where("event_type = 'click'").select("user_id").distinct()
     old = v.entity_nodes().union(clicked.select(F.lit("Person"), F.concat(F.lit("user-"), F.col("user_id")), F.lit('{"old":1}')))
-    return mutate.upsert_nodes(_dated(old), mutate.latest(_feed(v), NODE_KEY, "ts", "event_id"), NOW)
+    return mutate.upsert_nodes(_dated(old), mutate.latest(_feed(v), NODE_KEY, "ts", "event_id"), _now())
 
 
 @query(
@@ -629,7 +630,7 @@ FROM (SELECT * FROM refs UNION ALL SELECT source_label, source_name, relation_ty
 def upsert_rels(v: Views) -> DataFrame:
     had = v.mentions().where("source_label = 'Organization'").withColumn("properties", F.lit("{}"))
     old = v.references().unionByName(had).withColumn("created_at", F.expr(EPOCH))
-    return mutate.upsert_relationships(_dated(v.entity_nodes()), old, v.mentions(), NOW)[1]
+    return mutate.upsert_relationships(_dated(v.entity_nodes()), old, v.mentions(), _now())[1]
 
 
 @query("SELECT DISTINCT target_label AS label, target_name AS name FROM mentions", "mentions")
@@ -661,7 +662,7 @@ def set_embedding(v: Views) -> DataFrame:
 def hash_update(v: Views) -> DataFrame:
     nodes = _dated(v.doc_nodes()).withColumn("embedding_source_hash", F.lit(None).cast("string"))
     batch = v.table("documents").where("lang = 'de'").select(doc_path().alias("name"), F.lit("new").alias("content_hash"), F.when(doc_path().endswith("1.md"), "emb").alias("embedding_source_hash"))
-    return mutate.set_hashes(nodes, batch, NOW).select("name", "content_hash", "embedding_source_hash", "updated_at")
+    return mutate.set_hashes(nodes, batch, _now()).select("name", "content_hash", "embedding_source_hash", "updated_at")
 
 
 @query("SELECT label, name FROM entity_nodes n WHERE label <> 'Document' AND NOT EXISTS (SELECT 1 FROM mentions m WHERE (m.source_label = n.label AND m.source_name = n.name) OR (m.target_label = n.label AND m.target_name = n.name))", "entity_nodes", "mentions")
@@ -752,7 +753,7 @@ def sync_e2e(v: Views) -> DataFrame:
     found = changes.detect(docs.select("path", "content_hash"), v.stored())
     work = docs.join(found.where("change_type IN ('new', 'updated')").select("path"), "path", "left_semi")
     tracked = v.stored().select(F.lit("Document").alias("label"), F.col("path").alias("name"), F.lit("{}").alias("properties"))
-    nodes = mutate.upsert_nodes(_dated(tracked), document_nodes(work), NOW)
+    nodes = mutate.upsert_nodes(_dated(tracked), document_nodes(work), _now())
     gone = found.where("change_type = 'deleted'").select(F.col("path").alias("name"))
     return mutate.remove_documents(nodes, v.mentions(), gone)[0].select("label", "name", "properties", "created_at", "updated_at")
 

@@ -15,7 +15,7 @@ NODES = T.StructType(
         T.StructField("label", T.StringType(), False),
         T.StructField("name", T.StringType(), False),
         T.StructField("properties", T.StringType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("created_at", T.TimestampNTZType()),
         T.StructField("updated_at", T.TimestampNTZType()),
         T.StructField("content_hash", T.StringType()),

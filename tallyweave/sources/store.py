@@ -49,6 +49,12 @@ class Store:
         self.nodes().createOrReplaceTempView("nodes")
         self.relationships().createOrReplaceTempView("relationships")
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df written once below the store and read back: a plan that several results share is run once and cut."""
+        at = f"{self.root}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
     def commit(self, nodes: DataFrame, relationships: DataFrame) -> str:
         """Write a new version and make it current; missing columns become null."""
         version = f"v{time.strftime('%Y%m%d%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
