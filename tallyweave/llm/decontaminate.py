@@ -104,10 +104,12 @@ def _scan(docs: DataFrame, text: str, items: list[tuple[str, str | None]], size:
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most block_bytes of text (or one item), read one partition at a time."""
+    """The items in blocks of at most block_bytes of text (or one item): all at once if they are one block, else read one
+    partition at a time."""
     block, held = [], 0
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).distinct()
-    for r in rows.toLocalIterator():
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text) + F.lit(16)), F.lit(0)).alias("n")).first().n
+    for r in rows.collect() if size <= block_bytes else rows.toLocalIterator():
         n = len((r.t or "").encode())
         if block and held + n > block_bytes:
             yield sorted(block, key=lambda x: (x[0], x[1] or ""))
