@@ -438,5 +438,5 @@ def test_licences(docs, rows):
     mit = licences.TEMPLATES["MIT"][1]
     texts = [f"{rows[20][1]}\nReleased under the MIT License.\nmore", f"intro\n\n{mit.upper().replace(', ', ',  ')}\n\noutro", mit.replace("Software", "Program"), "Released under the BSD thing today", "Licensed under CC BY-SA 4.0", None, ""]
     got = {r.doc_id: [m.licence for m in r.matches] for r in licences.licences(of(docs, [(k, t, "en", "s", 1, 1.0) for k, t in enumerate(texts)])).collect()}
-    assert got[0] == ["MIT"] and got[1] == ["MIT"] and "MIT" in got[2] and got[3] == [] and got[4][0] == "CC-BY-SA-4.0" and got[5] == got[6] == []
+    assert got[0] == ["MIT"] and set(got[1]) == {"MIT"} and "MIT" in got[2] and got[3] == [] and got[4][0] == "CC-BY-SA-4.0" and got[5] == got[6] == []
     assert licences.licences(docs).where("size(matches) > 0").count() == 0 and licences.licences(docs).count() == len(rows)
