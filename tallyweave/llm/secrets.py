@@ -27,7 +27,7 @@ BASE = [
 ]
 #: Candidates that the frequency must bear out.
 MORE = [
-    Kind("credential", r"(?i:(pwd|passphrase|credentials?|private_?key|access_?key|auth_?key|client_?id))" + _VALUE, "__low RLIKE '(pwd|passphrase|credential|_?key|client_?id)[\"'']? *[:=]'", 2, "length(x.value) >= 8 AND x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]'"),
+    Kind("credential", r"(?i:(pwd|passphrase|credentials?|private_?key|access_?key|auth_?key|client_?id))" + _VALUE, "__low RLIKE '(pwd|passphrase|credentials?|_?key|client_?id)[\"'']? *[:=]'", 2, "length(x.value) >= 8 AND x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]'"),
     Kind("bearer", r"(?i:(bearer))\x20+([A-Za-z0-9._~+/=-]+)", "contains(__low, 'bearer ')", 2, "length(x.value) >= 20 AND x.value RLIKE '[0-9]'"),
     Kind("signed", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "contains(__t, 'eyJ')", 0, "length(x.text) >= 40"),
     Kind("block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*", "contains(__t, 'PRIVATE KEY-----')"),

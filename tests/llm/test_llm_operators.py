@@ -247,6 +247,30 @@ def test_ownership(docs):
     assert clean == "[assign]" + texts[6][1][22:]
 
 
+def test_plural_credentials(docs):
+    texts = ["my credentials: abc12345 here", "Credentials=ab12cd34", 'credential" : "ef56gh78"']
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in secrets.secret_spans(of(docs, [(k, t, "en", f"s{k}", 1, 1.0) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: [("credential", "abc12345")], 1: [("credential", "ab12cd34")], 2: [("credential", "ef56gh78")]}
+
+
+GUARDED = {
+    "assign": [f"{k}{q} {e} {q}abc" for k in ("PassWord", "passwd", "secret", "token", "apikey", "api_key") for q in ("", '"', "'") for e in ":="],
+    "access": ["AKIA7"],
+    "hex": ["0123456789abcdef" * 2],
+    "credential": [f"{k}{q} {e} {q}abc" for k in ("pwd", "Passphrase", "credential", "credentials", "privatekey", "private_key", "accesskey", "access_key", "authkey", "auth_key", "clientid", "client_id") for q in ("", '"', "'") for e in ":="],
+    "bearer": ["Bearer  abc"],
+    "signed": ["eyJa.b.c"],
+    "block": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----abc"],
+}
+
+
+@pytest.mark.parametrize("kind", secrets.BASE + secrets.MORE, ids=lambda k: k.name)
+def test_guards_let_matches_pass(spark, kind):
+    """The guard of a kind must hold wherever its pattern matches."""
+    d = spark.createDataFrame([(t,) for t in GUARDED[kind.name]], "__t string").withColumn("__low", F.lower("__t"))
+    assert all(m and g for m, g in d.select(F.col("__t").rlike(kind.pattern), F.expr(kind.guard)).collect())
+
+
 def test_bootstrapped(docs):
     r = random.Random(2)
     texts = [f"{prose(r, 5)} customer number +1 555 {100 + k} {1000 + k} {prose(r, 4)}" for k in range(8)] + ["then customer number ID-77821-X came", "some other figure 12345678 came", "and page 4711abc here"] * 2
