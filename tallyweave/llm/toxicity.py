@@ -31,10 +31,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def grams(word: str) -> list[str]:
-    """A word's features: its runs of 4 to 7 characters, its edges marked."""
+def grams(word: str) -> Iterator[str]:
+    """A word's features, one at a time: the runs of 4 to 7 characters of the whole word, its edges marked."""
     marked = f"^{word}$"
-    return [marked[k : k + n] for n in range(4, 8) for k in range(max(1, len(marked) - n + 1))]
+    return (marked[k : k + n] for n in range(4, 8) for k in range(max(1, len(marked) - n + 1)))
 
 
 class Model:
@@ -45,9 +45,11 @@ class Model:
 
     def _word(self, word: str) -> float:
         if (z := self._known.get(word)) is None:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            z = self._known[word] = sum(self.weights.get(g, 0.0) for g in grams(word[:200]))
+            z = sum(self.weights.get(g, 0.0) for g in grams(word))
+            if len(word) <= 200:  # longer ones are summed anew, so that what is kept stays small
+                if len(self._known) > 200_000:
+                    self._known.clear()
+                self._known[word] = z
         return z
 
     def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -81,13 +83,13 @@ def train(texts: list[str], labels: list[int], *, least: float = 40.0, rounds: i
     for doc, label in zip(bags, labels, strict=True):
         own = set()
         for word in set().union(*doc) if doc else ():
-            own.update(grams(word[:200]))
+            own.update(grams(word))
         df.update(own)
         if label:
             pos.update(own)
     vocab = {g: k for k, g in enumerate(sorted(g for g, n in pos.items() if n >= 3 and _signal(n, df[g], y.sum(), len(y)) >= least))}
     del df, pos
-    ids = {w: got for w in {w for doc in bags for bag in doc for w in bag} if (got := [vocab[g] for g in grams(w[:200]) if g in vocab])}
+    ids = {w: got for w in {w for doc in bags for bag in doc for w in bag} if (got := [vocab[g] for g in grams(w) if g in vocab])}
     cols, rows, docs = [], [], []
     for d, doc in enumerate(bags):
         for bag in doc:

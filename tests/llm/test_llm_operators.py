@@ -455,6 +455,16 @@ def test_toxicity(spark, docs):
     assert toxicity.training_rows(df, labels.limit(0), max_docs=10) == []
 
 
+def test_toxicity_of_long_words():
+    """What stands after character 200 of a word is learned and scored like the rest."""
+    r = random.Random(4)
+    run = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    made = [(f"{prose(r, 5)} {run(300)}{'xqzyxqzy' if k % 2 else ''}{run(10)} {prose(r, 5)}.", k % 2) for k in range(200)]
+    model = toxicity.train([t for t, _ in made], [y for _, y in made])
+    score = lambda t: model.score(model.sentences(t)[1])
+    assert score(f"{run(5000)}xqzyxqzy{run(5000)} here") >= 0.5 > score(f"{run(10000)} here")
+
+
 # ------------------------------------------------------------------ 10 licences
 
 
