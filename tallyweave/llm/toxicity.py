@@ -5,6 +5,8 @@ noisy-or of its sentences, and only document labels train both. The sentences th
 Training reads at most `max_docs` labelled documents (the documented bound: half of each class, the least hashes of the
 id first, so the choice does not depend on how the rows are laid out); scoring reads every text whole.
 
+Features are chosen by an exact test against the classes' sizes, not by a fixed bar: see `selected`.
+
 Nulls, empty texts: no sentence, score 0. Labels that are null or lack a document teach nothing; of repeated labels the
 larger counts. No labelled row of either class: all scores are 0. Repeated documents are scored row by row.
 """
@@ -66,15 +68,37 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def _signal(pos: int, n: int, total_pos: int, total: int) -> float:
-    """Log-likelihood ratio of a feature found in n documents, pos of them toxic; negative if it speaks for clean ones."""
-    q, p = total_pos / total, pos / n
-    g = 2 * (sum(k * np.log(k / (n * r)) for k, r in ((pos, q), (n - pos, 1 - q)) if k))
-    return g if p > q else -g
-
-
-def train(texts: list[str], labels: list[int], *, least: float = 40.0, rounds: int = 200, rate: float = 0.05, decay: float = 0.02) -> Model:
-    """Adam on the class-balanced noisy-or likelihood, over features whose signal is `least` or more. Deterministic."""
+def _chances(total_pos: int, total: int, n: int) -> np.ndarray:
+    """Chance that of n documents drawn from total ones, total_pos of them toxic, at least k are toxic, for k from 0 on."""
+    k = np.arange(max(0, n + total_pos - total), min(n, total_pos) + 1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total + 1)))])
+    choose = lambda a, b: log[a] - log[b] - log[a - b]
+    tail = np.cumsum(np.exp(choose(total_pos, k) + choose(total - total_pos, n - k) - choose(total, n))[::-1])[::-1]
+    return np.minimum(1.0, np.concatenate([np.ones(k[0]), tail]))
+
+
+def selected(pos: Counter, df: Counter, total_pos: int, total: int, rate: float) -> list[str]:
+    """Features found in toxic documents more often than chance explains, sorted: Fisher's exact test of each, the share of
+    false finds held at `rate` (Benjamini and Hochberg) over those that could be significant at all (Tarone). The cutoff
+    so follows from the classes' sizes and the features at hand."""
+    chances = {n: _chances(total_pos, total, n) for n in set(df.values())}
+    # the fewest tests that a Bonferroni level can count: features whose least possible chance reaches that level
+    found = sorted((chances[n][-1], c) for n, c in Counter(df.values()).items())
+    least, counts = np.array([x for x, _ in found]), np.cumsum([c for _, c in found])
+    able_at = lambda tests: int(counts[k - 1]) if (k := np.searchsorted(least, rate / tests, side="right")) else 0
+    low, tests = 0, max(1, len(df))
+    while tests - low > 1:  # able_at falls as tests rises
+        low, tests = (low, mid) if able_at(mid := (low + tests) // 2) <= mid else (mid, tests)
+    able = {n for n in chances if chances[n][-1] <= rate / tests}
+    p = {g: chances[n][pos[g]] for g, n in df.items() if n in able}
+    order = np.sort(np.fromiter(p.values(), float, len(p)))
+    under = np.flatnonzero(order <= rate * np.arange(1, len(order) + 1) / max(1, len(order)))
+    return sorted(g for g, x in p.items() if len(under) and x <= order[under[-1]])
+
+
+def train(texts: list[str], labels: list[int], *, rate_false: float = 0.05, rounds: int = 200, rate: float = 0.05, decay: float = 0.02) -> Model:
+    """Adam on the class-balanced noisy-or likelihood, over features that `selected` finds; of them about rate_false are
+    found by chance. Deterministic."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -30.0)
@@ -87,7 +111,7 @@ def train(texts: list[str], labels: list[int], *, least: float = 40.0, rounds: i
         df.update(own)
         if label:
             pos.update(own)
-    vocab = {g: k for k, g in enumerate(sorted(g for g, n in pos.items() if n >= 3 and _signal(n, df[g], y.sum(), len(y)) >= least))}
+    vocab = {g: k for k, g in enumerate(selected(pos, df, int(y.sum()), len(y), rate_false))}
     del df, pos
     ids = {w: got for w in {w for doc in bags for bag in doc for w in bag} if (got := [vocab[g] for g in grams(w) if g in vocab])}
     cols, rows, docs = [], [], []

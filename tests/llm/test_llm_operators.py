@@ -465,6 +465,25 @@ def test_toxicity_of_long_words():
     assert score(f"{run(5000)}xqzyxqzy{run(5000)} here") >= 0.5 > score(f"{run(10000)} here")
 
 
+@pytest.mark.parametrize(("clean", "toxic", "hit"), [(58, 10, 10), (284, 45, 9), (20, 10, 10), (3000, 10, 4)])
+def test_toxicity_of_few_labels(clean, toxic, hit):
+    """A word that only toxic documents hold is learned as soon as chance cannot explain it."""
+    r = random.Random(toxic)
+    made = [(f"{prose(r, 30, 300)}. {prose(r, 4, 300)} {'grobian' if k < hit else ''} {prose(r, 4, 300)}.", int(k < toxic)) for k in range(clean + toxic)]
+    model = toxicity.train([t for t, _ in made], [y for _, y in made])
+    assert "grobian" in model.weights and all(set(g.strip("^$")) & set("grobian") for g in model.weights)
+    score = lambda t: model.score(model.sentences(t)[1])
+    assert score("you grobian there") > 2 * score("you person there")
+
+
+def test_chances():
+    for pos, total, n in ((10, 68, 10), (45, 329, 9), (5, 9, 7)):
+        exact = [sum(math.comb(pos, j) * math.comb(total - pos, n - j) for j in range(k, n + 1)) / math.comb(total, n) for k in range(min(n, pos) + 1)]
+        assert toxicity._chances(pos, total, n) == pytest.approx(exact, rel=1e-9)
+    none = collections.Counter(f"g{k}" for k in range(50))
+    assert toxicity.selected(none, none, 10, 68, 0.05) == [] == toxicity.selected(collections.Counter(), collections.Counter(), 1, 2, 0.05)
+
+
 # ------------------------------------------------------------------ 10 licences
 
 
