@@ -2,9 +2,11 @@
 DataFrame functions only.
 
 Segments of a text are its lines, its paragraphs (between blank lines) and itself. Normalising lower-cases and turns all
-but letters and digits into single spaces. A template is only compared with segments whose number of bigrams lies between
-t / (2 - t) and (2 - t) / t times its own: outside, the coefficient cannot reach the threshold t unless bigrams repeat.
-Dice is 2 |A and B| / (|A| + |B|) over distinct bigrams. Templates are a fixed list written into the plan.
+but letters and digits into single spaces. Dice is 2 |A and B| / (|A| + |B|) over distinct bigrams. A template is only
+compared with segments whose number of distinct bigrams lies between t / (2 - t) and (2 - t) / t times its own: outside,
+the coefficient cannot reach the threshold t. Bigrams are made only where that is possible: there are at most as many
+distinct ones as words less one, and at least as many as distinct words less one. Templates are a fixed list written into
+the plan.
 
 Null and empty texts: no segments, no match. Equal best scores: the alphabetically first template. Rows are independent.
 """
@@ -63,14 +65,15 @@ def licences(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("d
     flat = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     own = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), flat.alias("__f"))
     names = [f"__k{i}" for i in range(len(keep))]
-    texts = [(name, t, list(dict.fromkeys(map(" ".join, zip(w, w[1:], strict=False)))), len(w) - 1) for name, ts in sorted(templates.items()) for t in ts for w in [_words(t)]]
+    texts = [(name, t, list(dict.fromkeys(map(" ".join, zip(w, w[1:], strict=False))))) for name, ts in sorted(templates.items()) for t in ts for w in [_words(t)]]
     low, high = least / (2 - least), (2 - least) / least
-    bounds = " OR ".join(f"size(w) - 1 BETWEEN {low * n:.6f} AND {high * n:.6f}" for n in sorted({n for *_, n in texts}))
+    sizes = [len(grams) for *_, grams in texts]
+    possible = f"size(w) > 1 AND size(w) - 1 >= {low * min(sizes):.6f} AND size(array_distinct(w)) - 1 <= {high * max(sizes):.6f}"
     segments = "array_distinct(flatten(array(split(__f, '\\n'), split(__f, ' ?\\n( ?\\n)+'), array(__f))))"
-    two = own.select(*names, F.expr(f"filter(transform({segments}, s -> split(trim(replace(s, '\\n', ' ')), ' +')), w -> {bounds})").alias("__w"))
-    three = two.select(*names, F.expr("transform(__w, w -> struct(array_join(w, ' ') AS s, size(w) - 1 AS n, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS b))").alias("__b"))
+    two = own.select(*names, F.expr(f"filter(transform({segments}, s -> split(trim(replace(s, '\\n', ' ')), ' +')), w -> {possible})").alias("__w"))
+    three = two.select(*names, F.expr("transform(__w, w -> struct(array_join(w, ' ') AS s, array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))) AS b))").alias("__b"))
     tries = ", ".join(
-        f"CASE WHEN g.n BETWEEN {low * n:.6f} AND {high * n:.6f} THEN named_struct('dice', 2D * size(array_intersect(g.b, {_array(grams)})) / (size(g.b) + {len(grams)}), 'licence', '{name}', 'segment', g.s) END" for name, _, grams, n in texts
+        f"CASE WHEN size(g.b) BETWEEN {low * len(grams):.6f} AND {high * len(grams):.6f} THEN named_struct('dice', 2D * size(array_intersect(g.b, {_array(grams)})) / (size(g.b) + {len(grams)}), 'licence', '{name}', 'segment', g.s) END" for name, _, grams in texts
     )
     found = F.expr(f"array_distinct(filter(flatten(transform(__b, g -> array({tries}))), x -> x.dice >= {least!r}D))")
     ordered = F.array_sort(found, lambda a, b: F.when(a.dice > b.dice, -1).when(a.dice < b.dice, 1).when(a.licence < b.licence, -1).when(a.licence > b.licence, 1).when(a.segment < b.segment, -1).when(a.segment > b.segment, 1).otherwise(0))

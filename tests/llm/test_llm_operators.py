@@ -493,3 +493,18 @@ def test_licences(docs, rows):
     got = {r.doc_id: [m.licence for m in r.matches] for r in licences.licences(of(docs, [(k, t, "en", "s", 1, 1.0) for k, t in enumerate(texts)])).collect()}
     assert got[0] == ["MIT"] and set(got[1]) == {"MIT"} and "MIT" in got[2] and got[3] == [] and got[4][0] == "CC-BY-SA-4.0" and got[5] == got[6] == []
     assert licences.licences(docs).where("size(matches) > 0").count() == 0 and licences.licences(docs).count() == len(rows)
+
+
+def test_licences_with_repeated_bigrams(docs):
+    """Against Dice without any bound: texts whose bigrams repeat, and templates cut to a part."""
+    apache = licences._words(licences.TEMPLATES["Apache-2.0"][1])
+    r = random.Random(10)
+    texts = ["Released under the MIT License. Released under the MIT License.", "Licensed under CC BY 4.0. " * 40, "Released", "a b " * 500]
+    texts += [" ".join(apache[:k]) for k in range(40, 86)] + [" ".join(apache[: r.randrange(50, 86)] + apache[: r.randrange(86)]) for _ in range(20)]
+    grams = lambda t: set(itertools.pairwise(licences._words(t)))
+    want = []
+    for t in texts:
+        a, all_ = grams(t), [(n, grams(x)) for n, xs in licences.TEMPLATES.items() for x in xs]
+        want.append(sorted({(n, round(d, 9)) for n, b in all_ if a and (d := 2 * len(a & b) / (len(a) + len(b))) >= 0.8}))
+    got = {x.doc_id: sorted({(m.licence, round(m.dice, 9)) for m in x.matches}) for x in licences.licences(of(docs, [(k, t, "en", "s", 1, 1.0) for k, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(want)) and want[0] == [("MIT", round(8 / 9, 9))]
