@@ -3,7 +3,7 @@
 Normalising lower-cases A-Z and turns every run of other ASCII signs into one space; characters from U+0080 on belong to
 words. A window is `size` consecutive words of an item (a shorter item is one window). Every word of a document inside an
 occurrence of a window is hit. The automaton only ever holds a block of items of at most `block_bytes` of text, so what
-each worker keeps is bounded however many items there are; blocks are scanned one after the other and united per document.
+each worker keeps is bounded however many items there are; blocks are scanned one after the other and united per document row.
 
 Nulls, empty texts: no words, no hits. Null item ids count as the id 'null'. Repeated items with one id count once.
 Repeated documents are scored row by row. Other columns pass through.
@@ -58,11 +58,13 @@ def _automaton(items: list[tuple[str, str | None]], size: int, key: str):
     return _BUILT[key]
 
 
-def _spans(text: str, hit: np.ndarray) -> list[dict]:
-    """Hit words as maximal runs of code points of the text as it came."""
+def _spans(text: str, hit: np.ndarray, each: bool = False) -> list[dict]:
+    """Hit words as maximal runs of code points of the text as it came, or each hit word by itself."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw.translate(_FLAT))]
     lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    if each:
+        return [{"start": int(lead[at[k][0]]), "end": int(lead[at[k][1]])} for k in np.flatnonzero(hit)]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     return [{"start": int(lead[at[a][0]]), "end": int(lead[at[b - 1][1]])} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
@@ -71,7 +73,7 @@ _RESULT = [("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items
 _RESULT_SQL = "n_words bigint, hit_words array<int>, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _scan(docs: DataFrame, text: str, items: list[tuple[str, str | None]], size: int) -> DataFrame:
+def _scan(docs: DataFrame, text: str, items: list[tuple[str, str | None]], size: int, each: bool = False) -> DataFrame:
     key = hashlib.sha256(repr((items, size)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def _scan(docs: DataFrame, text: str, items: list[tuple[str, str | None]], size:
                 cols[0].append(len(words))
                 cols[1].append([] if hit is None else np.flatnonzero(hit).astype(np.int32))
                 cols[2].append(sorted({items[k][0] for k in found}))
-                cols[3].append([] if hit is None else _spans(value, hit))
+                cols[3].append([] if hit is None else _spans(value, hit, each))
             kept = [c for k, c in enumerate(batch.columns) if k != at]
             names = [n for k, n in enumerate(batch.schema.names) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, (_, t) in zip(cols, _RESULT, strict=True))], names=[*names, *(n for n, _ in _RESULT)])
@@ -127,15 +129,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     second = next(blocks, None)
     if second is None:
         return _scan(docs, "text", first, size)
-    docs = docs.withColumn("rid", F.xxhash64("text"))  # repeated ids with different texts stay apart
-    out = _scan(docs, "text", first, size)
+    # rows keep an id of their own, so that equal ones stay apart; hit words are united first, then joined to runs
+    docs = _base.staged(docs.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    out = _scan(docs, "text", first, size, each=True)
     for block in [second, *blocks]:
-        out = out.unionByName(_scan(docs, "text", block, size))
-    return (
-        out.groupBy("doc_id", "rid")
-        .agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-        .drop("rid")
+        out = out.unionByName(_scan(docs, "text", block, size, each=True))
+    words = F.expr("transform(hit_words, (w, i) -> named_struct('w', w, 'start', spans[i].start, 'end', spans[i].end))")
+    united = out.withColumn("words", words).groupBy("rid").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
+    heads = united.withColumn("heads", F.expr("filter(words, (x, i) -> i = 0 OR words[greatest(i - 1, 0)].w != x.w - 1)"))
+    both = heads.withColumn("tails", F.expr("filter(words, (x, i) -> i = size(words) - 1 OR words[least(i + 1, size(words) - 1)].w != x.w + 1)"))
+    return both.select("doc_id", "n_words", F.expr("words.w").alias("hit_words"), "items", F.expr("transform(heads, (x, i) -> named_struct('start', x.start, 'end', tails[i].end))").alias("spans"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 8 << 20) -> DataFrame:

@@ -347,6 +347,16 @@ def test_contamination(spark, docs, rows, block):
     assert all(r.n_words == 0 or not r.items for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+def test_contamination_of_any_block_size(spark):
+    """Repeated rows stay, and runs that meet over two blocks are one, whatever a block holds."""
+    texts = [(1, "Ah, one two;  three FOUR é five six"), (1, "Ah, one two;  three FOUR é five six"), (1, "other text"), (None, "one two"), (None, "one two"), (2, None), (2, None), (3, "four one two four"), (4, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, "one two"), (2, "three four"), (3, "two three"), (4, "six"), (10, "one two")], "item_id long, text string")
+    got = [bag((r.doc_id, r.n_words, list(r.hit_words), list(r.items), [(s.start, s.end) for s in r.spans]) for r in decontaminate.contamination(d, b, block_bytes=n).collect()) for n in (8 << 20, 20, 1)]
+    assert got[0].total() == len(texts) and got[1:] == [got[0]] * 2
+    assert got[0][repr((1, 8, [1, 2, 3, 4, 7], ["1", "10", "2", "3", "4"], [(4, 24), (32, 35)]))] == 2
+
+
 def test_original_offsets(spark):
     d = spark.createDataFrame([(1, "Ah, 😀 Is THIS—the answer? é No.")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "this—the ANSWER")], "item_id long, text string")
