@@ -42,9 +42,9 @@ def located(docs: DataFrame, kinds: list[Kind], *, text: str, keep: list[str], l
     spans = []
     for k, kind in enumerate(kinds):
         values = f"__v{k}" if kind.group else f"__m{k}"
-        near = f"array_join(slice(split(rtrim(lower(substr(x.g, -80))), '[\\\\x20\\\\x09-\\\\x0D]+'), -{left_words}, {left_words}), ' ')" if left_words else "''"
-        if left_words:
-            near = f"CASE WHEN size(split(rtrim(lower(substr(x.g, -80))), '[\\\\x20\\\\x09-\\\\x0D]+')) >= {left_words} THEN {near} ELSE '' END"
+        gap, word = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
+        # the last words of the gap are the first ones of its reverse
+        near = f"regexp_replace(lower(reverse(regexp_extract(reverse(x.g), '^{gap}*+({word}++(?:{gap}++{word}++){{0,{left_words - 1}}})', 1))), '{gap}+', ' ')" if left_words else "''"
         fold = (
             f"aggregate(arrays_zip(__m{k} AS m, {values} AS v, slice(__g{k}, 1, size(__m{k})) AS g), named_struct('at', 0L, 'out', CAST(array() AS array<{SPAN}>)), "
             f"(a, x) -> named_struct('at', a.at + length(x.g) + length(x.m), 'out', array_append(a.out, named_struct('start', a.at + length(x.g), 'rank', {k}, 'end', a.at + length(x.g) + length(x.m), 'kind', '{kind.name}', 'value', x.v, 'text', x.m, 'left', {near}))), "

@@ -43,8 +43,8 @@ def personal_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     scanned = _base.staged(raw.select(*names, F.expr(base).alias("base"), free.alias("more")).withColumn("__id", F.monotonically_increasing_id()), "personal")
     inst = F.sha2(F.regexp_replace(F.lower("s.text"), "[^a-z0-9@]", ""), 256)
     seen = scanned.where((F.size("base") > 0) | (F.size("more") > 0)).select("__id", F.explode(F.concat("base", "more")).alias("s")).select("__id", inst.alias("i"), (F.col("s.rank") < len(BASE)).alias("seed"), F.col("s.left").alias("left"), "s.start", "s.end", "s.text")
-    # patterns: both words, and the nearer one alone; without digits, so that no identifier is a pattern
-    pattern = F.expr("filter(array(left, concat('* ', element_at(split(left, ' '), -1))), p -> left != '' AND NOT p RLIKE '[0-9@]')")
+    # patterns: both words if there are two, and the nearer one alone; without digits, so that no identifier is a pattern
+    pattern = F.expr("filter(CASE WHEN contains(left, ' ') THEN array(left, concat('* ', element_at(split(left, ' '), -1))) ELSE array(concat('* ', left)) END, p -> left != '' AND NOT p RLIKE '[0-9@]')")
     edges = _base.staged(seen.select("i", "seed", F.explode(pattern).alias("p")).groupBy("p", "i").agg(F.max("seed").alias("seed")), "graph")
     known = edges.where("seed").select("i").distinct()
     for k in range(rounds):

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, licences, lmscore, mixing, neardup, pii, quality, secrets, substrings, toxicity
+from tallyweave.llm._spans import located
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -280,6 +281,17 @@ def test_bootstrapped(docs):
     assert got[0][0][0] == "phone"
 
 
+def test_words_before(docs):
+    """The one or two whole words before a match, however long they are; one word alone is a pattern too."""
+    long = "x" * 90
+    texts = ["Konto 12345678", f"my {long} 12345678", f"{long}  Nummer\n12345678", "12345678", " 12345678"]
+    got = {r.doc_id: r.token[0].left for r in located(of(docs, [(k, t, "en", "s", 1, 1.0) for k, t in enumerate(texts)]), [pii.TOKEN], text="text", keep=["doc_id"], left_words=2).collect()}
+    assert got == {0: "konto", 1: f"my {long}", 2: f"{long} nummer", 3: "", 4: ""}
+    texts = [f"Kontonummer: +1 555 {100 + k} {1000 + k} and more" for k in range(8)] + ["Kontonummer: ID-77821-X came", "Number ID-99999-Y came"]
+    got = {x.doc_id: [(s.kind, s.text) for s in x.spans] for x in pii.personal_spans(of(docs, [(k, t, "en", "s", 1, 1.0) for k, t in enumerate(texts)])).collect()}
+    assert got[8] == [("found", "ID-77821-X")] and got[9] == [] and got[0][0][0] == "phone"
+
+
 # ------------------------------------------------------------------ 5 substrings
 
 
