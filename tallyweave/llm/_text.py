@@ -1,7 +1,9 @@
 """Words and word windows of a whole Arrow column as numpy arrays, straight from its UTF-8 buffer.
 
-A word's 64-bit hash is a polynomial over its bytes (a random odd-base power sum, read off one running sum for all words
-at once) put through an avalanche mixer. Equal words have equal hashes on every executor: all tables are fixed.
+A word's 64-bit hash puts each of its eight-byte blocks, with the block's place, through an avalanche mixer and sums them:
+no step is linear in the text, so no two words meet by their structure. Windows are hashed by doubling: two runs of 1, 2,
+4, ... words are mixed into one. Equal words have equal hashes on every executor: all constants are fixed. Where words
+must be equal for certain, `equal_runs` compares their bytes.
 """
 
 from __future__ import annotations
@@ -12,15 +14,13 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _LOWER[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INV = pow(_BASE, -1, 2**64)
+_GOLD = U(0x9E3779B97F4A7C15)
+_PAIR = U(0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,13 +30,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            steps = np.full(max(n, 1 << 20), U(base))
-            steps[0] = U(1)
-            _POWERS[k] = np.cumprod(steps, dtype=U)
-    return _POWERS
+def _blocks(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The eight-byte blocks of byte runs (zeros after a run's end), each block's number in its run, and where runs begin."""
+    count = np.maximum((length + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    k = np.arange(int(count.sum())) - np.repeat(first, count)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    left = np.minimum(np.maximum(np.repeat(length, count) - 8 * k, 0), 8)
+    return every[np.minimum(np.repeat(at, count) + 8 * k, len(data))] & _MASK[left], k, first
+
+
+def equal_runs(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which byte runs a to a_end hold the same bytes as b to b_end."""
+    same = (a_end - a) == (b_end - b)
+    at = np.flatnonzero(same)
+    if len(at):
+        length = a_end[at] - a[at]
+        (x, _, first), (y, _, _) = _blocks(data, a[at], length), _blocks(data, b[at], length)
+        same[at] = np.logical_and.reduceat(x == y, first)
+    return same
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +78,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
 class Words:
     """All words of a column: start, end (bytes), row, hash, and first (where each row's words begin, one more at the end)."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
-        data, offs = buffers(column)
+    def __init__(self, column: pa.Array | None = None, lower: bool = False, raw: tuple[np.ndarray, np.ndarray] | None = None):
+        """Of a column, or of raw bytes and where each row starts."""
+        data, offs = buffers(column) if raw is None else raw
         n, rows = len(data), len(offs) - 1
         self.data, self.offsets = data, offs
         if n == 0:
@@ -82,18 +96,22 @@ class Words:
         self.start, self.end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.row = np.searchsorted(offs, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, offs)
-        up, down = _powers(n + 1)
-        run = np.zeros(n + 1, U)
-        np.cumsum((_LOWER if lower else _BYTES)[data] * up[:n], out=run[1:])
-        self.hash = mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(U))
+        if not len(self.start):
+            self.hash = np.zeros(0, U)
+            return
+        if lower:
+            self.data = data = _LOWER[data]
+        block, k, first = _blocks(data, self.start, self.end - self.start)
+        self.hash = mix(np.add.reduceat(mix(block ^ (k.astype(U) + U(1)) * _GOLD), first) + (self.end - self.start).astype(U))
 
-    def windows(self, size: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of `size` words (by their first word's index), and which of them lie in one row."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, U), np.zeros(0, bool)
-        out, factor = np.zeros(n, U), 1
-        for k in range(size):
-            out += self.hash[k : k + n] * U(factor)
-            factor = factor * base % 2**64
-        return mix(out), self.row[:n] == self.row[size - 1 :]
+        out, have = self.hash, 1
+        while have < size:
+            step = min(have, size - have)
+            out = mix(out[: len(out) - step] * _PAIR + out[step:])
+            have += step
+        return out, self.row[:n] == self.row[size - 1 :]
