@@ -1,4 +1,7 @@
-"""Where a pattern matches, in code points, by DataFrame functions only: what a pattern splits off and what it extracts alternate."""
+"""Where a pattern matches, in code points, by DataFrame functions only: what a pattern splits off and what it extracts alternate.
+
+Running sums and maxima over an array take log n rounds of one pass each (`scan`), so a text with n matches costs n log n.
+"""
 
 from __future__ import annotations
 
@@ -44,16 +47,52 @@ def located(docs: DataFrame, kinds: list[Kind], *, text: str, keep: list[str], l
         values = f"__v{k}" if kind.group else f"__m{k}"
         gap, word = "[\\\\x20\\\\x09-\\\\x0D]", "[^\\\\x20\\\\x09-\\\\x0D]"
         # the last words of the gap are the first ones of its reverse
-        near = f"regexp_replace(lower(reverse(regexp_extract(reverse(x.g), '^{gap}*+({word}++(?:{gap}++{word}++){{0,{left_words - 1}}})', 1))), '{gap}+', ' ')" if left_words else "''"
-        fold = (
-            f"aggregate(arrays_zip(__m{k} AS m, {values} AS v, slice(__g{k}, 1, size(__m{k})) AS g), named_struct('at', 0L, 'out', CAST(array() AS array<{SPAN}>)), "
-            f"(a, x) -> named_struct('at', a.at + length(x.g) + length(x.m), 'out', array_append(a.out, named_struct('start', a.at + length(x.g), 'rank', {k}, 'end', a.at + length(x.g) + length(x.m), 'kind', '{kind.name}', 'value', x.v, 'text', x.m, 'left', {near}))), "
-            "a -> a.out)"
-        ).replace(f"arrays_zip(__m{k} AS m, {values} AS v, slice(__g{k}, 1, size(__m{k})) AS g)", f"transform(__m{k}, (m, i) -> named_struct('m', m, 'v', {values}[i], 'g', __g{k}[i]))")
-        spans.append(F.expr(f"CASE WHEN size(__m{k}) = 0 THEN CAST(array() AS array<{SPAN}>) ELSE filter({fold}, x -> {kind.check}) END").alias(kind.name))
+        near = f"regexp_replace(lower(reverse(regexp_extract(reverse(z.g[i]), '^{gap}*+({word}++(?:{gap}++{word}++){{0,{left_words - 1}}})', 1))), '{gap}+', ' ')" if left_words else "''"
+        ends = scan("transform(z.m, (m, i) -> CAST(length(z.g[i]) + length(m) AS BIGINT))", "x + y")
+        each = f"named_struct('start', e[i] - length(m), 'rank', {k}, 'end', e[i], 'kind', '{kind.name}', 'value', z.v[i], 'text', m, 'left', {near})"
+        found = let(f"named_struct('m', __m{k}, 'v', {values}, 'g', __g{k})", "z", let(ends, "e", f"filter(transform(z.m, (m, i) -> {each}), x -> {kind.check})"))
+        spans.append(F.expr(f"CASE WHEN size(__m{k}) = 0 THEN CAST(array() AS array<{SPAN}>) ELSE {found} END").alias(kind.name))
     return two.select(*keep, *spans)
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL: body with value under a name, evaluated once a row wherever the planner puts it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scan(array: str, step: str) -> str:
+    """SQL: each element folded with all before it by an associative step of x and y."""
+    one = f"CASE WHEN i >= shiftleft(1, k) THEN {step.replace('x', 'a[i - shiftleft(1, k)]', 1)} ELSE y END"
+    return let(array, "s", f"aggregate(sequence(0, greatest(0, CAST(ceil(log2(greatest(size(s), 1))) AS INT) - 1)), s, (a, k) -> transform(a, (y, i) -> {one}))")
+
+
+def apart(more: str, base: str) -> str:
+    """SQL: the spans of `more` that overlap none of `base`. At each one's end stands the largest end of all base spans that
+    began before; it overlaps one if that lies beyond its start."""
+    events = (
+        f"sort_array(concat(transform(n.b, b -> named_struct('at', b.start, 'o', 1, 'e', b.end, 'x', CAST(NULL AS {SPAN}))), "
+        f"transform(n.m, m -> named_struct('at', m.end, 'o', 0, 'e', -1L, 'x', m))))"
+    )
+    free = "transform(filter(transform(v, (q, i) -> named_struct('x', q.x, 'r', r[i])), q -> q.x IS NOT NULL AND q.r <= q.x.start), q -> q.x)"
+    lots = let(events, "v", let(scan("transform(v, q -> q.e)", "greatest(x, y)"), "r", free))
+    return let(f"named_struct('b', {base}, 'm', {more})", "n", f"CASE WHEN size(n.b) = 0 OR size(n.m) = 0 THEN n.m ELSE {lots} END")
+
+
+def redacted(text: str, spans: str, block: int = 4096) -> str:
+    """SQL: the text with each span's own characters replaced by [kind]; spans by start, of overlapping ones the first covers.
+
+    The text is cut into blocks of code points first, so that each cut looks into one block and not through the whole text."""
+    cut = lambda a, e: (
+        f"CASE WHEN {e} <= {a} THEN '' WHEN {a} DIV {block} = ({e} - 1) DIV {block} THEN substr(n.t[CAST({a} DIV {block} AS INT)], CAST({a} % {block} + 1 AS INT), CAST({e} - {a} AS INT)) "
+        f"ELSE concat(substr(n.t[CAST({a} DIV {block} AS INT)], CAST({a} % {block} + 1 AS INT)), array_join(slice(n.t, CAST({a} DIV {block} + 2 AS INT), CAST(({e} - 1) DIV {block} - {a} DIV {block} - 1 AS INT)), ''), "
+        f"substr(n.t[CAST(({e} - 1) DIV {block} AS INT)], 1, CAST(({e} - 1) % {block} + 1 AS INT))) END"
+    )
+    before = "(CASE WHEN i = 0 THEN 0L ELSE r[i - 1] END)"
+    body = f"concat(array_join(transform(n.s, (q, i) -> CASE WHEN q.start < {before} THEN '' ELSE concat({cut(before, 'q.start')}, '[', q.kind, ']') END), ''), {cut('r[size(r) - 1]', 'n.l')})"
+    bound = f"named_struct('t', regexp_extract_all({text}, '(?s).{{1,{block}}}', 0), 's', {spans}, 'l', CAST(length({text}) AS BIGINT))"
+    return let(bound, "n", f"CASE WHEN size(n.s) = 0 THEN {text} ELSE {let(scan('transform(n.s, q -> q.end)', 'greatest(x, y)'), 'r', body)} END")
+
+
 def joined(spans: str) -> Column:
     """kind:start:end of an array of SPAN by start, then kind as listed."""
     return F.expr(f"array_join(transform(sort_array({spans}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")

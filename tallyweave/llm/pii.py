@@ -6,6 +6,9 @@ ones); an unknown identifier-like token whose patterns' noisy-or reaches `accept
 Its occurrences are added as kind found. The graph holds one edge per distinct pattern and instance, counted after
 map-side distinct, so a frequent word before numbers is folded before it is shuffled.
 
+The words before an instance are looked for back to the match of its kind before it. Such a match holds a digit or an at
+sign, and no pattern may, so no pattern is lost there.
+
 Nulls, empty texts: no spans. Repeated rows are scanned row by row. Offsets are code points, ends exclusive.
 """
 
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
-from tallyweave.llm._spans import Kind, joined, located
+from tallyweave.llm._spans import Kind, apart, joined, located
 
 _BYTE = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _LUHN = (
@@ -29,17 +32,23 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "__t RLIKE '([0-9][ -]?){13}[0-9]'", 0, f"CASE WHEN length(regexp_replace(x.text, '[ -]', '')) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(__t, '+')", 0, "length(regexp_replace(x.text, '[^0-9]', '')) BETWEEN 10 AND 15"),
 ]
-#: Identifier-like tokens: words with a digit or an at sign.
-TOKEN = Kind("token", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", "__t RLIKE '[0-9@]'", 0, "length(x.text) >= 6")
 
 
-def personal_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, support: int = 3, precision: float = 0.6, accept: float = 0.8) -> DataFrame:
-    """Per document row: keep, base (array of SPAN), spans (base ones and those of kind found)."""
+def token(least: int = 6) -> Kind:
+    """Identifier-like tokens: words with a digit or an at sign, of `least` characters at least."""
+    return Kind("token", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", "__t RLIKE '[0-9@]'", 0, f"length(x.text) >= {least}")
+
+
+def personal_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, support: int = 3, precision: float = 0.6, accept: float = 0.8, least: int = 6) -> DataFrame:
+    """Per document row: keep, base (array of SPAN), spans (base ones and those of kind found).
+
+    least: characters of the shortest unseen identifier. Base kinds have lengths of their own.
+    """
     own = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text).alias("__x"))
     names = [f"__k{i}" for i in range(len(keep))]
-    raw = located(own, [*BASE, TOKEN], text="__x", keep=names, left_words=2)
+    raw = located(own, [*BASE, token(least)], text="__x", keep=names, left_words=2)
     base = f"concat({', '.join(k.name for k in BASE)})"
-    free = F.expr(f"filter(token, m -> NOT exists({base}, b -> b.start < m.end AND m.start < b.end))")
+    free = F.expr(apart("token", base))
     scanned = _base.staged(raw.select(*names, F.expr(base).alias("base"), free.alias("more")).withColumn("__id", F.monotonically_increasing_id()), "personal")
     inst = F.sha2(F.regexp_replace(F.lower("s.text"), "[^a-z0-9@]", ""), 256)
     seen = scanned.where((F.size("base") > 0) | (F.size("more") > 0)).select("__id", F.explode(F.concat("base", "more")).alias("s")).select("__id", inst.alias("i"), (F.col("s.rank") < len(BASE)).alias("seed"), F.col("s.left").alias("left"), "s.start", "s.end", "s.text")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
-from tallyweave.llm._spans import SPAN, Kind, joined, located
+from tallyweave.llm._spans import Kind, apart, joined, located, redacted  # noqa: F401
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The base kinds, in the order in which equal starts are listed.
@@ -40,7 +40,7 @@ def secret_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     names = [f"__k{i}" for i in range(len(keep))]
     raw = located(own, BASE + MORE, text="__x", keep=[*names, "__o", "__p"])
     base = F.concat(*(F.col(k.name) for k in BASE))
-    free = F.expr(f"filter(concat({', '.join(k.name for k in MORE)}), m -> NOT exists(concat({', '.join(k.name for k in BASE)}), b -> b.start < m.end AND m.start < b.end))")
+    free = F.expr(apart(f"concat({', '.join(k.name for k in MORE)})", f"concat({', '.join(k.name for k in BASE)})"))
     scanned = _base.staged(raw.select(*names, "__o", "__p", base.alias("base"), free.alias("more")).withColumn("__id", F.monotonically_increasing_id()), "secrets")
     found = scanned.where((F.size("base") > 0) | (F.size("more") > 0)).select("__id", "__o", "__p", F.explode(F.concat("base", "more")).alias("s")).withColumn("h", F.sha2(F.col("s.value"), 256))
     per_owner = found.select("h", "__o", "__p").distinct().groupBy("h", "__o").agg(F.count(F.lit(1)).alias("n"))
@@ -57,15 +57,6 @@ def secret_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", "spans")
 
 
-def redacted(text: str, spans: str) -> str:
-    """SQL: the text with each span's own characters replaced by [kind]; of overlapping spans the first covers."""
-    return (
-        f"aggregate({spans}, named_struct('at', 0L, 'out', ''), (a, x) -> CASE WHEN x.end <= a.at THEN a ELSE named_struct('at', x.end, 'out', "
-        f"CASE WHEN x.start < a.at THEN a.out ELSE concat(a.out, substr({text}, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT)), '[', x.kind, ']') END) END, "
-        f"a -> concat(a.out, substr({text}, CAST(a.at + 1 AS INT))))"
-    )
-
-
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document; owner: source, repository: the document."""
     out = secret_spans(_base.table(spark, sf_dir, "documents"))
