@@ -5,9 +5,10 @@ unproven pair, take the second form. Counts cover all words of all documents; no
 least_count times, which a corpus scored by itself would otherwise always know.
 
 The n-gram tables are partitioned by hash and joined to the exploded n-grams where they lie:
-1. words: (word, count), folded per batch, summed per partition of the word's hash; N is their sum. Words with at least
-   one thousandth of all tokens, so at most a thousand words, are sent to every task; so are the pairs of two such words
-   that reach the same share, counted in a second scan. No other key holds more than a thousandth of the tokens.
+1. words: (word, count), folded per batch, summed per partition of the word's hash; N is their sum. Words that reach a
+   thousandth of all tokens, or a quarter of a partition, are sent to every task, a million at most (16 MB); so are the
+   pairs of two such words that reach the same count, found in a second scan. No other key fills a partition: it holds
+   less than a quarter of part_tokens, or than a millionth of all tokens where that is more.
 2. pairs: an occurrence of a pair that was sent is scored where it is read. Every other (v, w) goes to the partition of v,
    or, if v was sent, of (v, w). That partition counts its pairs, and its contexts unless they were sent, and sums
    log c(v w) - log c(v) per document. Occurrences that fall back go on to the partition of w, unless w was sent.
@@ -316,14 +317,14 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha
     vocab = texts.mapInArrow(lambda it: _word_counts(it, parts, part_tokens), "part int, words binary, counts binary").groupBy("part").applyInArrow(_summed, "part int, words binary, counts binary, tokens bigint")
     vocab = _base.staged(vocab, "words")
     total = vocab.agg(F.sum("tokens").alias("n")).first().n or 0
-    share = max(1, -(-total // 1000))
-    top = vocab.mapInArrow(lambda it: _frequent(it, share), "word bigint, count bigint").collect()  # a thousand rows at most
+    share = max(1, min(-(-total // 1000), max(part_tokens // 4, -(-total // 1_000_000))))
+    top = vocab.mapInArrow(lambda it: _frequent(it, share), "word bigint, count bigint").collect()  # a million rows at most
     top = sorted((r.word % 2**64, r["count"]) for r in top)
     words, counts = np.array([x for x, _ in top], U), np.array([x for _, x in top], np.int64)
     twos = []
     if len(words):
         found = texts.mapInArrow(lambda it: _both_frequent(it, words, part_tokens), "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("n"))
-        twos = sorted((r.code, r.n) for r in found.where(F.col("n") >= max(share, least_count)).collect())  # a thousand rows at most
+        twos = sorted((r.code, r.n) for r in found.where(F.col("n") >= max(share, least_count)).collect())  # a million rows at most
     sent = Sent(words, counts, np.array([x for x, _ in twos], np.int64), np.array([x for _, x in twos], np.int64))
     pairs = texts.mapInArrow(lambda it: _pairs(it, sent, parts, homes, part_tokens), "part int, docs binary, rows binary, table binary, v binary, w binary")
     scored = pairs.groupBy("part").applyInArrow(lambda t: _scored(t, sent, total, alpha, least_count, parts, homes), "kind int, home int, a binary, b binary, c binary, d binary")
@@ -339,3 +340,17 @@ def op7_lmscore(spark, sf_dir: str) -> DataFrame:
     """Every document's sum, mean per word and number of fallbacks."""
     out = scores(_base.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", "n_fallbacks", F.round("log_score", 4).alias("log_score"), F.round(F.try_divide("log_score", "n_tokens"), 6).alias("mean_log"))
+
+
+#: DuckDB SQL for the same rows; logs in whole numbers of 2**-20, as they are summed.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.doc_id, two.c IS NULL AS fell, CASE WHEN two.c IS NULL THEN round_even((ln(0.4::DOUBLE) + ln(x.c) - ln(n.n)) * 1048576, 0) ELSE round_even((ln(two.c) - ln(y.c)) * 1048576, 0) END AS z
+  FROM t JOIN one x ON t.w = x.w LEFT JOIN two ON t.v = two.v AND t.w = two.w LEFT JOIN one y ON t.v = y.w, n),
+g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE fell) AS n_fallbacks, sum(z::BIGINT)::DOUBLE / 1048576 AS z FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_fallbacks, 0)::BIGINT AS n_fallbacks, round(z, 4) AS log_score, round(z / n_tokens, 6) AS mean_log FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
