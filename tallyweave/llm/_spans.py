@@ -96,3 +96,19 @@ def redacted(text: str, spans: str, block: int = 4096) -> str:
 def joined(spans: str) -> Column:
     """kind:start:end of an array of SPAN by start, then kind as listed."""
     return F.expr(f"array_join(transform(sort_array({spans}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+
+
+def located_sql(kinds: list[tuple[str, str, int, str]], docs: str, key: str) -> str:
+    """DuckDB SQL: rows (key, rank, kind, start, stop, text, value, lead) of all matches that pass; kinds are (name, pattern,
+    group, test of m.text and m.value), lead the words since the match before."""
+    each = " UNION ALL ".join(
+        f"SELECT {key}, {k} AS rank, '{name}' AS kind, unnest(range(1, len(ms) + 1)) AS i, ms, vs, gs FROM (SELECT {key}, regexp_extract_all(t, '{q}') AS ms, regexp_extract_all(t, '{q}', {group}) AS vs, string_split_regex(t, '{q}') AS gs FROM {docs})"
+        for k, (name, p, group, _) in enumerate(kinds)
+        for q in [p.replace("'", "''")]
+    )
+    tests = " OR ".join(f"(kind = '{name}' AND {test})" for name, _, _, test in kinds)
+    before = "(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0))::BIGINT"
+    return (
+        f"SELECT * FROM (SELECT {key}, rank, kind, {before} AS start, {before} + length(ms[i]) AS stop, ms[i] AS text, vs[i] AS value, "
+        f"list_filter(string_split_regex(lower(gs[i]), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS lead FROM ({each})) m WHERE {tests}"
+    )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
-from tallyweave.llm._spans import Kind, apart, joined, located
+from tallyweave.llm._spans import Kind, apart, joined, located, located_sql
 
 _BYTE = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _LUHN = (
@@ -60,7 +60,7 @@ def personal_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
         marked = edges.join(known.withColumn("known", F.lit(True)), "i", "left").withColumn("known", F.coalesce("known", F.lit(False)))
         scored = marked.groupBy("p").agg(F.count_if("known").alias("pos"), F.count(F.lit(1)).alias("n")).where((F.col("pos") >= support) & (F.col("pos") >= precision * F.col("n")))
         weighed = marked.where(~F.col("known")).join(scored, "p").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("pos") / F.col("n"), F.lit(0.999)))))).alias("score"))
-        new = _base.staged(weighed.where(F.col("score") >= accept).select("i", F.lit(k).alias("round")), "discovered")
+        new = _base.staged(weighed.where(F.round("score", 9) >= accept).select("i", F.lit(k).alias("round")), "discovered")
         if new.isEmpty():
             break
         known = known.unionByName(new.select("i"))
@@ -76,3 +76,45 @@ def op4_personal(spark, sf_dir: str) -> DataFrame:
     out = personal_spans(_base.table(spark, sf_dir, "documents"))
     count = lambda column, kind: F.expr(f"CAST(size(filter({column}, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
     return out.select("doc_id", *(count("base", k.name) for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), count("spans", "found"))
+
+
+def _oracle(rounds: int = 3, support: int = 3, precision: float = 0.6, accept: float = 0.8, least: int = 6) -> str:
+    digits = "regexp_replace(text, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT ELSE ('0246813579')[reverse({digits})[i]::INT + 1]::INT END)) % 10 = 0"
+    found = located_sql(
+        [
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0, "true"),
+            ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 0, "list_max(list_transform(string_split(text, '.'), lambda x: try_cast(x AS DOUBLE))) <= 255"),
+            ("card", r"[0-9](?:[\x20-]?[0-9])+", 0, f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({digits}) BETWEEN 10 AND 15"),
+            ("token", r"[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*", 0, f"length(text) >= {least}"),
+        ],
+        "d",
+        "doc_id",
+    )
+    n = len(BASE)
+    steps = ""
+    for k in range(rounds):
+        known = " UNION ".join(["SELECT inst FROM edges WHERE seed", *(f"SELECT inst FROM new{j}" for j in range(k))])
+        steps += f"""known{k} AS ({known}),
+marked{k} AS (SELECT p, inst, inst IN (SELECT inst FROM known{k}) AS known FROM edges),
+scored{k} AS (SELECT p, count(*) FILTER (WHERE known) AS pos, count(*) AS n FROM marked{k} GROUP BY p HAVING count(*) FILTER (WHERE known) >= {support} AND count(*) FILTER (WHERE known) >= {precision} * count(*)),
+new{k} AS (SELECT inst FROM marked{k} JOIN scored{k} USING (p) WHERE NOT known GROUP BY inst HAVING round(1 - exp(sum(ln(1 - least(pos::DOUBLE / n, 0.999)))), 9) >= {accept}),
+"""
+    extra = " UNION ".join(f"SELECT inst FROM new{j}" for j in range(rounds))
+    count = lambda kind: f"(SELECT count(*) FROM kept k WHERE k.doc_id = d.doc_id AND kind = '{kind}')::BIGINT AS n_{kind}"
+    listed = lambda table: f"(SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s FROM {table} GROUP BY doc_id)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+c AS (SELECT *, rank < {n} AS seed, regexp_replace(lower(text), '[^a-z0-9@]', '', 'g') AS inst FROM m WHERE rank < {n} OR NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id AND b.rank < {n} AND b.start < m.stop AND m.start < b.stop)),
+edges AS (SELECT p, inst, bool_or(seed) AS seed FROM (SELECT inst, seed, unnest(CASE WHEN len(lead) > 1 THEN [lead[-2] || ' ' || lead[-1], '* ' || lead[-1]] WHEN len(lead) = 1 THEN ['* ' || lead[-1]] ELSE [] END) AS p FROM c) WHERE NOT regexp_matches(p, '[0-9@]') GROUP BY p, inst),
+{steps}extra AS (SELECT inst FROM ({extra}) WHERE inst NOT IN (SELECT inst FROM edges WHERE seed)),
+kept AS (SELECT doc_id, rank, start, stop, kind FROM c WHERE seed UNION ALL SELECT doc_id, {n}, start, stop, 'found' FROM c WHERE NOT seed AND inst IN (SELECT inst FROM extra))
+SELECT d.doc_id, {", ".join(count(k.name) for k in BASE)}, sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans, {count("found")}
+FROM d LEFT JOIN {listed("kept")} a ON a.doc_id = d.doc_id LEFT JOIN {listed(f"(SELECT * FROM kept WHERE rank < {n})")} b ON b.doc_id = d.doc_id
+"""
+
+
+#: DuckDB SQL for the same rows, the rounds written out.
+ORACLE_SQL = _oracle()

@@ -103,3 +103,32 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     out = judged(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _oracle(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """DuckDB SQL for the same rows, binomial tails as sums of their terms."""
+    rate, choices = alpha / len(RULES), sum(len(g) for _, g in RULES.values())
+    ratio = {r: f"coalesce({top}::DOUBLE / nullif({bottom}, 0), 0)" for r, (x, _) in RULES.items() for top, bottom in [x.split(" / ")]}
+    grid = ", ".join(f"('{r}', {k}, {cut}::DOUBLE)" for r, (_, g) in RULES.items() for k, cut in enumerate(g))
+    of_rule = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in ratio.items()) + " END"
+    term = f"exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({rate}::DOUBLE) + (n_good - j) * ln(1 - {rate}::DOUBLE))"
+    failed = ", ".join(f"CASE WHEN {ratio[r]} > (SELECT cut FROM best WHERE best.stratum = f.stratum AND rule = '{r}') THEN '{r}' END" for r in RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '-') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+x AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x) WHERE c > 1) GROUP BY doc_id),
+f AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+l AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+known AS (SELECT f.*, good FROM f JOIN l ON f.doc_id = l.doc_id),
+grid(rule, k, cut) AS (VALUES {grid}),
+tried AS (SELECT stratum, rule, k, cut, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE good AND {of_rule} > cut) AS lost, count(*) FILTER (WHERE NOT good AND {of_rule} > cut) AS caught FROM known, grid GROUP BY stratum, rule, k, cut),
+safe AS (SELECT * FROM tried WHERE lost < {rate} * n_good AND caught > 0 AND list_sum(list_transform(range(0, lost + 1), lambda j: {term})) <= {delta}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM known) * {choices})),
+best AS (SELECT stratum, rule, cut FROM safe QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, k) = 1),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS fails FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(fails) = 0 AS kept, coalesce(array_to_string(fails, ','), '') AS failed_rules FROM j
+"""
+
+
+ORACLE_SQL = _oracle()

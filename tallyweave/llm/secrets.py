@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
-from tallyweave.llm._spans import Kind, apart, joined, located, redacted  # noqa: F401
+from tallyweave.llm._spans import Kind, apart, joined, located, located_sql, redacted  # noqa: F401
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The base kinds, in the order in which equal starts are listed.
@@ -63,3 +63,25 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.expr(f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
     verdicts = [F.expr(f"CAST(size(filter(spans, x -> x.verdict = '{v}')) AS BIGINT)").alias(f"n_{v}") for v in ("live", "shared", "example")]
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *verdicts)
+
+
+def _oracle() -> str:
+    length = {"assign": "length(value) >= 8", "access": "length(text) >= 16", "hex": "true", "signed": "length(text) >= 40", "block": "true"}
+    length |= {"credential": "length(value) >= 8 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')", "bearer": "length(value) >= 20 AND regexp_matches(value, '[0-9]')"}
+    found = located_sql([(k.name, k.pattern, k.group, length[k.name]) for k in BASE + MORE], "d", "doc_id, source")
+    listed = lambda table: f"(SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s FROM {table} GROUP BY doc_id)"
+    count = lambda test: f"coalesce((SELECT count(*) FROM kept k WHERE k.doc_id = d.doc_id AND {test}), 0)::BIGINT"
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+c AS (SELECT * FROM m WHERE rank < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id AND b.rank < {len(BASE)} AND b.start < m.stop AND m.start < b.stop)),
+v AS (SELECT value, count(DISTINCT coalesce('=' || source, '-')) AS owners FROM c GROUP BY value),
+kept AS (SELECT c.*, CASE WHEN owners <= 1 THEN 'live' WHEN owners >= 3 THEN 'example' ELSE 'shared' END AS verdict FROM c JOIN v USING (value) WHERE rank < {len(BASE)} OR owners <= 1)
+SELECT d.doc_id, {count("kind = 'assign'")} AS n_assign, {count("kind = 'access'")} AS n_access, {count("kind = 'hex'")} AS n_hex, sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans,
+  {count("verdict = 'live'")} AS n_live, {count("verdict = 'shared'")} AS n_shared, {count("verdict = 'example'")} AS n_example
+FROM d LEFT JOIN {listed("kept")} a ON a.doc_id = d.doc_id LEFT JOIN {listed(f"(SELECT * FROM kept WHERE rank < {len(BASE)})")} b ON b.doc_id = d.doc_id
+"""
+
+
+#: DuckDB SQL for the same rows.
+ORACLE_SQL = _oracle()
