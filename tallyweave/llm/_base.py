@@ -41,6 +41,48 @@ def drop_staged(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a few numbers that are sent to every task at most (about 5 MB).
+SENT_ROWS = 100_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, *, counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """rows left-joined with facts (one row a key at most, a few numbers each), whatever share of the rows a key has.
+
+    Up to SENT_ROWS facts are sent to every task. Beyond that, keys with over one `share`th of all rows are joined where
+    they lie: there are fewer than `share` of them, so their facts are sent. All other keys are dealt by hash.
+    counts: (key, n) where it is known already.
+    """
+    if facts.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return rows.join(F.broadcast(facts), key, "left")
+    most = max(1, rows.count() // share)
+    counts = counts if counts is not None else rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = [r[0] for r in counts.where((F.col("n") > most) & F.col(key).isNotNull()).select(key).collect()]  # fewer than `share` keys
+    if not hot:
+        return rows.join(facts, key, "left")
+    lit = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = rows.where(lit).join(F.broadcast(facts.where(lit)), key, "left")
+    return near.unionByName(rows.where(~lit).join(facts, key, "left"))
+
+
+def dealt(pairs: DataFrame, facts: DataFrame, value: str, names: tuple[str, str] = ("a", "b"), most: int = 512) -> DataFrame:
+    """pairs (two keys) joined with the large `value` that facts hold for each key, as z<key>. A key of more than `most`
+    pairs is dealt to several tasks by the hash of its partner, and its value goes to each of them: too large to be sent
+    everywhere, it travels once a `most` pairs. pairs should be a stored table, as it is read several times."""
+    out = pairs
+    fans = {}
+    for key in names:
+        fan = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        fans[key] = staged(fan.select(key, F.ceil(F.col("n") / most).cast("int").alias(f"__k{key}")), "fans")
+        out = looked_up(out, fans[key], key)
+    for key, other in (names, names[::-1]):
+        out = out.withColumn(f"__s{key}", F.pmod(F.xxhash64(other), F.coalesce(f"__k{key}", F.lit(1))).cast("int"))
+    for key in names[::-1]:
+        own = facts.select(F.col(facts.columns[0]).alias(key), F.col(value).alias(f"z{key}")).join(fans[key], key, "left")
+        own = own.withColumn(f"__s{key}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__k{key}", F.lit(1)) - 1))).drop(f"__k{key}")
+        out = out.drop(f"__k{key}").join(own, [key, f"__s{key}"])
+    return out.select(*names, *(f"z{key}" for key in names))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

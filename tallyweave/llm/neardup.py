@@ -4,20 +4,22 @@ Sketch: each round hashes every shingle into one of `coords` bins with a value;
 round that reaches it. After `coords` random rounds, round coords + j sends every shingle to bin j, so every coordinate
 fills; equal coordinates concentrate like sampling without replacement (Dahlgaard, Knudsen, Thorup 2017).
 
-Documents with equal shingle sets (128-bit set fingerprint and size) form a class; its least doc_id stands for it. Bands of
-`rows` coordinates put representatives into buckets. First every bucket is tied to its most central member (the one
-sharing buckets with most others), pairs are verified on full shingle sets, and verified links are contracted. Only
-buckets that still hold several components are then searched for further pairs: members of different components whose
-sketches agree often enough, in blocks, each pair once, verified exactly as well. No bucket is capped or sampled; no group
-of all members is ever paired before the contraction.
+Documents with equal words (SHA-256 of all of them, lower-cased) form a class, which stands for them in all that follows.
+Bands of `rows` coordinates put classes into buckets. First every bucket is tied to its most central member (the one
+sharing buckets with most others), pairs are verified on their full sets of shingles, word by word, and verified links are
+contracted. Only buckets that still hold several components are then searched for further pairs: members of different
+components whose sketches agree often enough (4.5 standard deviations below the threshold, for the number of
+coordinates at hand: a pair right there is left out with a chance of 3e-6) and whose sizes allow it, in blocks, each pair once, verified exactly as well. No bucket is capped or sampled; no group of all
+members is ever paired before the contraction. Joins that many rows of one key meet in send that key's one fact to the rows.
 
 Words are split at ASCII white space, A-Z lower-cased. Fewer words than `size`: one shingle of them all. Null or blank
-texts: empty set, linked with nothing. Null doc_ids: never linked. Rows sharing one doc_id are one vertex, each row is
-returned. An empty table gives no rows. Columns that aren't asked for are ignored.
+texts: empty set, linked with nothing. Null doc_ids: never linked. Rows sharing one doc_id are one vertex, whatever their
+texts: it has the links of each; every row is returned. An empty table gives no rows. Columns that aren't asked for are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -76,12 +78,12 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: in
     for batch in batches:
         for part in slices(batch, "text"):
             n, prints, keys, small = [], [], [], []
-            for items in shingle_sets(Words(part.column(1), lower=True), size):
+            for items, text in zip(shingle_sets(Words(part.column(1), lower=True), size), part.column(1), strict=True):
                 n.append(len(items))
                 if not len(items):
                     prints.append(None), keys.append(None), small.append(None)
                     continue
-                prints.append(np.array([mix(items).sum(), mix(items ^ _M).sum()], U).tobytes())
+                prints.append(_print(text.as_py()))
                 s = sketch(items, coords)
                 h = np.zeros(bands, U)
                 for col in s.reshape(bands, rows).T:
@@ -91,66 +93,84 @@ def _features(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: in
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["doc_id", "n", "print", "bands", "small"])
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # both know ASCII only
+
+
+def _print(text: str) -> bytes:
+    return hashlib.sha256(b" ".join(_words(text))).digest()
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed, as they are shuffled more than once."""
+    """Words and their print; packed, as they are shuffled more than once."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress((x.as_py() or "").encode("utf-8", "surrogatepass"), 1) for x in batch.column(1)], pa.binary())], names=["doc_id", "z"])
+        words = [b" ".join(_words(x.as_py() or "")) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(w).digest() for w in words], pa.binary()), pa.array([zlib.compress(w, 1) for w in words], pa.binary())], names=["doc", "print", "z"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose full sets pass; za and zb are packed texts. Rows of one a mostly follow each other."""
-    last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, U))
+    """Pairs (a, b) whose full sets pass; za and zb are packed words. Rows of one a mostly follow each other."""
+    last: tuple[bytes | None, set[bytes]] = (None, set())
     for batch in batches:
         a, b = [], []
         for i, j, za, zb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if za != last[0]:
                 last = (za, _set_of(za, size))
             other = _set_of(zb, size)
-            both = len(np.intersect1d(last[1], other, assume_unique=True))
+            both = len(last[1] & other)
             if 100 * both >= percent * (len(last[1]) + len(other) - both):
                 a.append(i), b.append(j)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _set_of(z: bytes, size: int) -> np.ndarray:
-    return shingle_sets(Words(pa.array([zlib.decompress(z).decode("utf-8", "surrogatepass")]), lower=True), size)[0]
+def _set_of(z: bytes, size: int) -> set[bytes]:
+    """The shingles themselves."""
+    words = zlib.decompress(z).split()
+    return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, c): each vertex of the links (a, b) and the least vertex it can reach. Contraction: every vertex hooks to its
-    least neighbour, two jumps, links are renamed; each round is a table in the shared folder."""
+    """(v, c): each vertex of the links (a, b) and the vertex that stands for all it can reach.
+
+    Contraction: every vertex hooks to the least of itself and its neighbours in an order dealt anew each round (so chains
+    of hooks stay short), one jump, links are renamed; each round is a table in the shared folder. Vertices with very many
+    links are looked up where the links lie.
+    """
     spark = edges.sparkSession
     label: DataFrame | None = None
     live = _base.staged(edges.where("a != b").select("a", "b").distinct(), "links")
+    turn = 0
     while not live.isEmpty():
+        rank = lambda x: F.struct(F.xxhash64(F.col(x), F.lit(turn)).alias("h"), F.col(x).alias("v"))  # noqa: B023, E731
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        for _ in range(2):
-            up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            hook = hook.join(up, "p").select("v", F.col("q").alias("p"))
-        hook = _base.staged(hook, "hooks")
+        hook = _base.staged(both.groupBy(F.col("a").alias("v")).agg(F.min(rank("b")).alias("m")).select("v", F.least(rank("v"), "m")["v"].alias("p")), "hooks")
+        up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        hook = _base.staged(_base.looked_up(hook, up, "p").select("v", F.col("q").alias("p")), "hooks")
         if label is None:
             label = hook.select("v", F.col("p").alias("c"))
         else:
-            label = label.join(hook.select(F.col("v").alias("c"), F.col("p").alias("__p")), "c", "left").select("v", F.coalesce("__p", "c").alias("c"))
-        label = _base.staged(label, "labels")
+            label = _base.staged(_base.looked_up(label, hook.select(F.col("v").alias("c"), "p"), "c").select("v", F.coalesce("p", "c").alias("c")), "labels")
         a, b = (hook.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-        live = _base.staged(live.join(a, "a").join(b, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        live = _base.staged(_base.looked_up(live, a, "a").select("pa", "b"), "links")
+        live = _base.looked_up(live, b, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        live = _base.staged(live.distinct(), "links")
+        turn += 1
     return label if label is not None else spark.createDataFrame([], "v bigint, c bigint")
 
 
-def _further(least: float):
-    """Pairs of one block pair of a bucket: different components, first common band is this one, sketches alike."""
+def _further(least: float, percent: int):
+    """Pairs of one block pair of a bucket: different components, first common band is this one, sizes and sketches alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for band, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lv, rv = ((np.array([x["v"] for x in s]), np.array([x["c"] for x in s])) for s in (left, right))
+                lv, rv = ((np.array([x["v"] for x in s]), np.array([x["c"] for x in s]), np.array([x["size"] for x in s])) for s in (left, right))
                 lb, rb = (np.array([x["bands"] for x in s]) for s in (left, right))
                 ls, rs = (np.frombuffer(b"".join(x["small"] for x in s), np.uint8).reshape(len(s), -1) for s in (left, right))
                 for i in range(len(left)):
-                    js = np.flatnonzero(rv[1] != lv[1][i])
+                    n = lv[2][i]
+                    js = np.flatnonzero((rv[1] != lv[1][i]) & (100 * np.minimum(n, rv[2]) >= percent * np.maximum(n, rv[2])))
                     if len(js):
                         js = js[(rs[js] == ls[i]).mean(1) >= least]
                     if len(js):
@@ -173,8 +193,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = _base.staged(own.mapInArrow(lambda it: _features(it, size, bands, rows), "doc_id bigint, n bigint, print binary, bands array<bigint>, small binary"), "sketches")
     sets = feats.where("n > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("n", "print").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("small", "doc_id").alias("small"))
-    reps = _base.staged(classes.select("v", "n", "print", "size", "bands", "small"), "classes")
+    classes = sets.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("small", "doc_id").alias("small"))
+    reps = _base.staged(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     placed = reps.select("v", F.posexplode("bands").alias("band", "key"))
     fill = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = _base.staged(placed.join(fill, ["band", "key"]), "buckets")
@@ -182,37 +202,45 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ranked = members.join(central, "v")
     heads = ranked.groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("v")).alias("u"))).alias("m")).select("band", "key", (-F.col("m.u")).alias("head"))
     star = members.join(heads, ["band", "key"]).where("v != head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
-    texts = own.where("doc_id IS NOT NULL").mapInArrow(_zipped, "doc_id bigint, z binary")
-    wanted = members.select(F.col("v").alias("doc_id")).distinct()
-    packed = _base.staged(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("z").alias("z")), "texts")
+    texts = own.where("doc_id IS NOT NULL").mapInArrow(_zipped, "doc bigint, print binary, z binary")
+    wanted = reps.join(members.select("v").distinct(), "v", "left_semi").select("v", "doc", "print")
+    packed = _base.staged(texts.join(wanted, ["doc", "print"]).groupBy("v").agg(F.min("z").alias("z")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        zb = pairs.join(packed.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-        both = zb.join(packed.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
+        both = _base.dealt(_base.staged(pairs, "pairs"), packed.select("v", "z"), "z")
         return both.mapInArrow(lambda it: _links(it, size, percent), "a bigint, b bigint")
 
     links = _base.staged(verified(star), "verified")
+    # classes of rows that share a doc_id are one vertex
+    shared = _base.staged(sets.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high").select("doc_id"), "shared")
+    if not shared.isEmpty():
+        tied = _base.staged(sets.select("doc_id", "print").join(shared, "doc_id").distinct().join(reps.select("print", "v"), "print").select("doc_id", "v"), "tied")
+        links = links.unionByName(tied.join(tied.groupBy("doc_id").agg(F.min("v").alias("a")), "doc_id").select("a", F.col("v").alias("b")).where("a != b"))
     label = components(links)
     # buckets that still hold several components: what lies outside a bucket's largest component meets the whole bucket
     colored = members.join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
     sizes = colored.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "key", F.col("top.c").alias("top"), "m", (F.col("m") - F.col("top.m")).alias("m_out"))
-    rest = colored.join(mixed, ["band", "key"]).join(reps.select("v", "bands", "small"), "v")
-    rest = rest.select("band", "key", "v", "c", "bands", "small", "m", "m_out", (F.col("c") != F.col("top")).alias("out"), F.xxhash64("v").alias("h"))
-    member = F.struct("v", "c", "bands", "small")
+    rest = colored.join(mixed, ["band", "key"]).join(reps.select("v", "bands", "small", F.col("n").alias("size")), "v")
+    rest = rest.select("band", "key", "v", "c", "bands", "small", "size", "m", "m_out", (F.col("c") != F.col("top")).alias("out"), F.xxhash64("v").alias("h"))
+    member = F.struct("v", "c", "size", "bands", "small")
     part = lambda count: F.pmod(F.col("h"), F.ceil(F.col(count) / block)).cast("int")
     rest = _base.staged(rest, "rest")
     left = rest.where("out").groupBy("band", "key", part("m_out").alias("k")).agg(F.collect_list(member).alias("left"))
     right = rest.groupBy("band", "key", part("m").alias("k2")).agg(F.collect_list(member).alias("right"))
-    pairs = left.join(right, ["band", "key"]).select("band", "left", "right").mapInArrow(_further(percent / 100 - 0.1), "a bigint, b bigint").distinct()
+    p = percent / 100
+    alike = p - 4.5 * math.sqrt(p * (1 - p) / (bands * rows))
+    pairs = left.join(right, ["band", "key"]).select("band", "left", "right").mapInArrow(_further(alike, percent), "a bigint, b bigint").distinct()
     more = _base.staged(verified(pairs), "verified")
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    label = label.select(F.col("v").alias("rep"), "c")
-    rep_of = reps.where("size > 1").select("n", "print", F.col("v").alias("rep"))
-    out = feats.select("doc_id", "n", "print").join(rep_of, ["n", "print"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(label, "rep", "left")
-    final = F.coalesce("c", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), final.alias("component_id"), F.coalesce(F.col("doc_id") == final, F.lit(True)).alias("kept"))
+    least = _base.staged(label.join(reps.select("v", "doc"), "v").select("v", "c", "doc"), "linked")
+    found = _base.looked_up(least.select("v", "c"), least.groupBy("c").agg(F.min("doc").alias("component_id")), "c").select("v", "component_id")
+    known = reps.where("size > 1").select("print", "v", "doc").unionByName(reps.where("size = 1").join(found.select("v"), "v", "left_semi").select("print", "v", "doc"))
+    known = _base.staged(known.join(found, "v", "left").select("print", F.coalesce("component_id", "doc").alias("component_id")), "known")
+    out = _base.looked_up(feats.select("doc_id", "n", "print"), known, "print", counts=reps.select("print", F.col("size").alias("n")))
+    final = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), final).alias("component_id"), F.coalesce(F.col("doc_id") == final, F.lit(True)).alias("kept"))
 
 
 def op2_neardup(spark, sf_dir: str) -> DataFrame:
