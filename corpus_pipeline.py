@@ -5,8 +5,8 @@ further ones), and returns a DataFrame; all but the last return those columns ag
 repeated ids keep each row's own verdict. run() writes every stage into the shared folder and reads it back, so a lost
 executor costs one stage at most.
 
-Decisions: rows that quality rules reject go; of each near-duplicate component one document stays (its least doc_id;
-of rows sharing that id the one with the least text hash); documents with an occurrence of a benchmark window go; spans
+Decisions: rows that quality rules reject go; of each near-duplicate component one document stays (its least doc_id,
+then its least text hash); documents with an occurrence of a benchmark window go; spans
 that look like live or shared secrets are replaced by their kind in brackets and n_chars follows; widely copied examples
 stay; mixing returns the selected documents with the passes they belong to. Null texts have no words and so fail the
 quality rules. Empty tables give empty results.
@@ -40,14 +40,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (five words, similarity 0.8)."""
-    gone = neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return left
-    # rows that share an id are one document to the operator: one of them stays
-    one = left.join(repeated, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        gone = neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids repeat: rows get ids of their own, so that each has its own links; of a component the least doc_id, then text, stays
+    own, names = _safe(docs)
+    own = _base.staged(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    i, t = (F.col(names[c]) for c in ("doc_id", "text"))
+    found = neardup.near_duplicates(own.where(i.isNotNull()), doc_id="row", text=names["text"], size=5, percent=80)
+    order = own.select("row", i.alias("i"), F.xxhash64(t).alias("h"))
+    first = found.join(order.withColumnRenamed("row", "doc_id"), "doc_id").groupBy("component_id").agg(F.min(F.struct("i", "h", "doc_id")).alias("m"))
+    kept = first.select(F.col("m.doc_id").alias("row"))
+    return _named(own.where(i.isNull()).unionByName(own.join(kept, "row", "left_semi")), names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
