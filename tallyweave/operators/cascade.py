@@ -1,7 +1,7 @@
 """What a new version of a document does to others: renamed, deleted and retyped entities and the documents they touch.
 
 Versions are exploded entities (path, pos, type, name). Pairing is by position within one document and type, in parallel
-over all documents: two anti joins, a row number per (path, type), one equi-join.
+over all documents: both versions are dealt by path once, and every comparison is made where a document's rows lie.
 """
 
 from __future__ import annotations
@@ -9,66 +9,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import trigger_label
 from tallyweave.operators import lookup
 
 
-def _only(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    return a.join(b.select(*key).distinct(), key, "left_anti")
+def compared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per (path, type, name) of either version: gone, came, k (place among those of its type that left, or joined),
+    other (the name it is paired with), renamed, and of its name in the whole document old_type, new_type and first (one row
+    of each name). Everything is worked out on one shuffle, by path."""
+    side = lambda df, k: df.select("path", "type", "name", "pos", F.lit(k).alias("side"))
+    both = side(old, 0).unionByName(side(new, 1)).repartition("path")
+    at = lambda k: F.when(F.col("side") == k, F.col("pos"))
+    one = both.groupBy("path", "type", "name").agg(F.min(at(0)).alias("o"), F.min(at(1)).alias("n"), F.max(at(1)).alias("last"))
+    one = one.withColumns({"gone": F.col("n").isNull(), "came": F.col("o").isNull()})
+    moved = F.col("gone") | F.col("came")
+    turn = Window.partitionBy("path", "type", "gone", "came").orderBy(F.coalesce("o", "n"), "name")
+    one = one.withColumn("k", F.when(moved, F.row_number().over(turn)))
+    pair = Window.partitionBy("path", "type", "k")
+    two = one.withColumn("other", F.when(moved, F.max(F.when(F.col("came"), F.col("name"))).over(pair))).withColumn("renamed", F.col("gone") & F.col("other").isNotNull())
+    name = Window.partitionBy("path", "name")
+    return two.withColumns(
+        {
+            "old_type": F.min(F.when(F.col("o").isNotNull(), F.struct("o", "type"))).over(name)["type"],
+            "new_type": F.max(F.when(F.col("n").isNotNull(), F.struct("last", "type"))).over(name)["type"],
+            "away": F.max("renamed").over(name),
+            "first": F.row_number().over(name.orderBy("type")) == 1,
+        }
+    )
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, type, old_name, new_name: the i-th name that left a type is paired with the i-th that joined it."""
-    key = ["path", "type", "name"]
+    return compared(old, new).where("renamed").select("path", "type", F.col("name").alias("old_name"), F.col("other").alias("new_name"))
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        once = df.groupBy(*key).agg(F.min("pos").alias("pos"))
-        return once.withColumn("k", F.row_number().over(Window.partitionBy("path", "type").orderBy("pos", "name"))).select("path", "type", "k", F.col("name").alias(name))
 
-    return numbered(_only(old, new, key), "old_name").join(numbered(_only(new, old, key), "new_name"), ["path", "type", "k"]).select("path", "type", "old_name", "new_name")
-
-
-def deletions(old: DataFrame, new: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
-    """path, name: names that no type of the new version has and that weren't renamed away."""
-    gone = _only(old, new, ["path", "name"])
-    renamed = renames(old, new) if renamed is None else renamed
-    away = renamed.select("path", F.col("old_name").alias("name"))
-    kept = gone.groupBy("path", "name").agg(F.min_by("type", "pos").alias("type"))
-    return kept.join(away, ["path", "name"], "left_anti").select("path", "type", "name")
+def deletions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, type, name: names that no type of the new version has and that weren't renamed away."""
+    return compared(old, new).where("first AND new_type IS NULL AND NOT away").select("path", F.col("old_type").alias("type"), "name")
 
 
 def type_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, name, old_type, new_type; of repeated names the last of the new version and the first of the old one count."""
-    a = old.groupBy("path", "name").agg(F.min_by("type", "pos").alias("old_type"))
-    b = new.groupBy("path", "name").agg(F.max_by("type", "pos").alias("new_type"))
-    return a.join(b, ["path", "name"]).where("old_type != new_type")
+    return compared(old, new).where("first AND old_type != new_type").select("path", "name", "old_type", "new_type")
 
 
-def _impact(changes: DataFrame, nodes: DataFrame, edges: DataFrame, trigger: str, reason: Column, action: str, confidence: str) -> DataFrame:
-    """changes: path, entity and what reason reads."""
-    hit = lookup.affected_documents(nodes, edges, changes.select("entity")).select("entity", F.col("path").alias("affected"))
-    both = changes.join(hit, "entity").where("affected != path")
-    return both.select("path", F.lit(trigger).alias("trigger"), "entity", "affected", reason.alias("reason"), F.lit(action).alias("action"), F.lit(confidence).alias("confidence"))
+def relationship_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, entity: ends of the relationships (path, source, relation, target) that only one of the versions has."""
+    key = ["path", "source", "relation", "target"]
+    both = old.select(*key, F.lit(0).alias("side")).unionByName(new.select(*key, F.lit(1).alias("side")))
+    moved = both.groupBy(*key).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a = b")
+    return moved.select("path", F.explode(F.array("source", "target")).alias("entity")).where("entity IS NOT NULL AND entity != path AND entity != 'this'").distinct()
 
 
 def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def report(old: DataFrame, new: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per change and affected document (never the changed one itself): path, trigger, entity, affected, reason, action, confidence."""
-    r = renames(old, new)
-    e = F.col("entity")
-    parts = [
-        _impact(r.select("path", F.col("old_name").alias("entity")), nodes, edges, "entity_renamed", _text('References "', e, '" in entities'), "update_reference", "high"),
-        _impact(deletions(old, new, r).select("path", F.col("name").alias("entity")), nodes, edges, "entity_deleted", _text('References deleted entity "', e, '"'), "review_content", "high"),
-        _impact(type_changes(old, new).withColumnRenamed("name", "entity"), nodes, edges, "entity_type_changed", _text('References "', e, '" with type "', F.col("old_type"), '" (now "', F.col("new_type"), '")'), "review_content", "medium"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+#: Per trigger: its reason (of entity, old_type, new_type), the suggested action and the confidence. Fixed values.
+TRIGGERS = {
+    "entity_renamed": (lambda: _text('References "', F.col("entity"), '" in entities'), "update_reference", "high"),
+    "entity_deleted": (lambda: _text('References deleted entity "', F.col("entity"), '"'), "review_content", "high"),
+    "entity_type_changed": (lambda: _text('References "', F.col("entity"), '" with type "', F.col("old_type"), '" (now "', F.col("new_type"), '")'), "review_content", "medium"),
+    "relationship_changed": (lambda: _text('Has relationship with "', F.col("entity"), '"'), "review_content", "medium"),
+}
+
+
+def entity_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, trigger, entity, old_type, new_type of renamed, deleted and retyped entities, all from one comparison."""
+    of = lambda test, trigger: F.when(F.expr(test), F.lit(trigger))
+    kinds = F.array_compact(F.array(of("renamed", "entity_renamed"), of("first AND new_type IS NULL AND NOT away", "entity_deleted"), of("first AND old_type != new_type", "entity_type_changed")))
+    return compared(old, new).select("path", F.explode(kinds).alias("trigger"), F.col("name").alias("entity"), "old_type", "new_type").distinct()
+
+
+def report(old: DataFrame, new: DataFrame, nodes: DataFrame, edges: DataFrame, *, relationships: tuple[DataFrame, DataFrame] | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """One row per change and affected document (never the changed one itself): path, trigger, entity, affected, reason,
+    action, confidence. relationships: those of the old and of the new versions; gone: paths of deleted documents.
+    All changes meet the graph in one join."""
+    changes = entity_changes(old, new)
+    if relationships is not None:
+        changes = changes.unionByName(relationship_changes(*relationships).withColumn("trigger", F.lit("relationship_changed")), allowMissingColumns=True)
+    docs = nodes.where("label = 'Document'").select(F.col("label").alias("target_label"), F.col("name").alias("target_name"))
+    hit = edges.join(docs, ["target_label", "target_name"]).select(F.col("source_name").alias("entity"), F.col("target_name").alias("affected")).distinct()
+    both = changes.join(hit, "entity").where("affected != path")
 
+    def told(k: int) -> Column:
+        out = F.lit(None).cast("string")
+        for name, parts in TRIGGERS.items():
+            out = F.when(F.col("trigger") == name, parts[k]() if k == 0 else F.lit(parts[k])).otherwise(out)
+        return out
 
-def relationship_impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: path, entity whose relationships changed."""
-    return _impact(changes, nodes, edges, "relationship_changed", _text('Has relationship with "', F.col("entity"), '"'), "review_content", "medium")
+    out = both.select("path", "trigger", "entity", "affected", told(0).alias("reason"), told(1).alias("action"), told(2).alias("confidence"))
+    return out if gone is None else out.unionByName(deletion_impact(nodes, edges, gone))
 
 
 def deletion_impact(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
@@ -84,9 +115,9 @@ def by_trigger(impact: DataFrame) -> DataFrame:
 def rendered(impact: DataFrame) -> list[str]:
     """A report's lines, for the driver to print: one per trigger and per affected document (a report is read by people)."""
     lines, last = [], None
-    for r in impact.orderBy("trigger", "path", "entity", "affected").toLocalIterator():
+    for r in impact.withColumn("shown", trigger_label(F.col("trigger"))).orderBy("trigger", "path", "entity", "affected").toLocalIterator():
         if r.trigger != last:
             last = r.trigger
-            lines.append(last.replace("_", " ").title())
+            lines.append(r.shown)
         lines.append(f"  {r.affected}: {r.reason} [{r.action}, {r.confidence}]")
     return lines

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REASONS = {"new": "New document", "updated": "Content or frontmatter changed", "deleted": "File no longer exists", "unchanged": "No changes detected"}
 
 
-def _with_reason(df: DataFrame) -> DataFrame:
+def reasoned(df: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for kind, text in REASONS.items():
         reason = F.when(F.col("change_type") == kind, text).otherwise(reason)
@@ -35,7 +35,7 @@ def detect(current: DataFrame, stored: DataFrame, *, only: DataFrame | None = No
         .when(F.col("__old").isNull() | (F.col("__old") != F.col("__new")), "updated")
         .otherwise("unchanged")
     )
-    return _with_reason(both.select("path", kind.alias("change_type")))
+    return reasoned(both.select("path", kind.alias("change_type")))
 
 
 def detect_by_manifest(current: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -35,12 +35,12 @@ def hops(edges: DataFrame, count: int) -> DataFrame:
     return out.select(F.col("a.source_label").alias("start_label"), F.col("a.source_name").alias("start_name"), F.col("b.target_label").alias("end_label"), F.col("b.target_name").alias("end_name"))
 
 
-def reachable(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Distinct (start, end) pairs over one or more directed edges; stops when a round adds none. Only new pairs are joined
-    again; rounds are checkpointed, so a long search keeps a short plan."""
+def reachable(edges: DataFrame) -> DataFrame:
+    """Distinct (start, end) pairs over one or more directed edges, until a round adds none: every path is followed to its
+    end. Only new pairs are joined again; rounds are checkpointed, so a long search keeps a short plan."""
     step = edges.select(F.concat_ws("\x1f", "source_label", "source_name").alias("a"), F.concat_ws("\x1f", "target_label", "target_name").alias("b")).distinct()
     seen = new = step
-    for _ in range(most):
+    while True:
         new = new.select(F.col("b").alias("m"), F.col("a").alias("s")).join(step.select(F.col("a").alias("m"), "b"), "m").select(F.col("s").alias("a"), "b").distinct().join(seen, ["a", "b"], "left_anti").checkpoint()
         if new.isEmpty():
             break
@@ -79,9 +79,14 @@ def question(text: Column, created: Column) -> Column:
     return F.to_json(F.struct(text.alias("text"), created.alias("createdAt")))
 
 
+def answered(pairs: DataFrame) -> DataFrame:
+    """ANSWERED_BY edges of (question, document)."""
+    return pairs.select(F.lit("Question").alias("source_label"), F.col("question").alias("source_name"), F.lit("ANSWERED_BY").alias("relation_type"), F.lit("Document").alias("target_label"), F.col("document").alias("target_name"), F.lit("{}").alias("properties"))
+
+
 def link_answers(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """ANSWERED_BY edges of (question, document); a document that isn't a node fails the job."""
     docs = nodes.where("label = 'Document'").select(F.col("name").alias("document"), F.lit(True).alias("__ok"))
     both = pairs.join(docs, "document", "left")
     target = F.when(F.col("__ok").isNull(), F.raise_error(F.concat(F.lit("Document not found: "), F.col("document")))).otherwise(F.col("document"))
-    return both.select(F.lit("Question").alias("source_label"), F.col("question").alias("source_name"), F.lit("ANSWERED_BY").alias("relation_type"), F.lit("Document").alias("target_label"), target.alias("target_name"), F.lit("{}").alias("properties"))
+    return answered(both.select("question", target.alias("document")))

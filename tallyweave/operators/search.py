@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,20 @@ def rendered(found: DataFrame) -> DataFrame:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of every batch for each query: (query, id, score)."""
+    """The k best of every batch for each query, within each value of a third column if there is one: (query, id, score, of)."""
     for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
         v, own = _matrix(batch.column(1), unit.shape[1])
         if not len(v):
             continue
         names = batch.column(0).take(pa.array(own)).to_numpy()
-        s = np.round(v @ unit.T, 9)
-        best = min(k, len(v))
-        order = np.lexsort((np.broadcast_to(names[:, None], s.shape), -s), axis=0)[:best]
-        q = np.broadcast_to(ids[None, :], order.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(names[order].ravel()), pa.array(np.take_along_axis(s, order, 0).ravel())], names=["query", "id", "score"])
+        of = batch.column(2).take(pa.array(own)).to_numpy() if batch.num_columns > 2 else np.zeros(len(own), np.int64)
+        for at in range(0, len(ids), 1024):
+            for value in np.unique(of):
+                mine = np.flatnonzero(of == value)
+                s = np.round(v[mine] @ unit[at : at + 1024].T, 9)
+                order = np.lexsort((np.broadcast_to(names[mine][:, None], s.shape), -s), axis=0)[: min(k, len(mine))]
+                q = np.broadcast_to(ids[None, at : at + 1024], order.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(names[mine][order].ravel()), pa.array(np.take_along_axis(s, order, 0).ravel()), pa.array(np.full(q.size, value, np.int64))], names=["query", "id", "score", "of"])
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +65,19 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[ok] / length[ok, None], own[ok]
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, block: int = 1024) -> DataFrame:
-    """Per query the k best of all vectors (id, embedding), itself left out: query, id, score, rank. Exact.
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, of: str | None = None, most: int = 64 << 20) -> DataFrame:
+    """Per query the k best of all vectors (id, embedding), itself left out: query, id, score, rank. Exact. of: a whole-number
+    column of vectors; then the k best of each of its values, which comes as a column too.
 
-    Queries come in blocks of `block`, the only thing sent to tasks; every partition folds to its k best per query, so
-    what is shuffled is k rows per query and batch, whatever the number of vectors.
+    Queries are sent to the tasks, `most` bytes of them at a time, and vectors are scanned once for these; every batch folds
+    to its k best per query, so what is shuffled is k rows per query and batch, whatever the number of vectors.
     """
     spark = vectors.sparkSession
     out: DataFrame | None = None
     held: list = []
     dim = None
+    source = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding", *([F.col(of).cast("long").alias("of")] if of else []))
+    source = source.where("of IS NOT NULL") if of else source
 
     def flush() -> None:
         nonlocal out, held
@@ -79,7 +85,7 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, bloc
         m = np.array([v for _, v in held], np.float64)
         length = np.sqrt((m * m).sum(1))
         ids, m = ids[length > 0], m[length > 0] / length[length > 0, None]
-        part = vectors.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(lambda it: _scored(it, ids, m, k + 1), "query bigint, id bigint, score double")
+        part = source.mapInArrow(lambda it: _scored(it, ids, m, k + 1), "query bigint, id bigint, score double, of bigint")
         out = part if out is None else out.union(part)
         held = []
 
@@ -88,14 +94,15 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, bloc
         if len(r.embedding) != dim:
             continue
         held.append((r.id, r.embedding))
-        if len(held) == block:
+        if len(held) * dim * 8 >= most:
             flush()
     if held:
         flush()
     if out is None:
-        return spark.createDataFrame([], "query bigint, id bigint, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return out.where("query != id").withColumn("rank", rank).where(F.col("rank") <= k)
+        return spark.createDataFrame([], "query bigint, id bigint, score double, rank int" + (f", `{of}` bigint" if of else ""))
+    rank = F.row_number().over(Window.partitionBy("query", "of").orderBy(F.desc("score"), "id"))
+    best = out.where("query != id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumnRenamed("of", of) if of else best.drop("of")
 
 
 def hyperplanes(dim: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -117,16 +124,46 @@ def _keys(batches: Iterator[pa.RecordBatch], planes: np.ndarray, probe: bool) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, tables * m)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), m), n)), pa.array(keys.ravel())], names=["id", "tbl", "key"])
 
 
-def nearest_by_index(vectors: DataFrame, queries: DataFrame, k: int = 10, *, dim: int = 64, tables: int = 16, bits: int = 6) -> DataFrame:
-    """As nearest_of_many, but only rows that share a bucket with a query (or one plane off) are scored. Every row is indexed."""
+def build_index(vectors: DataFrame, *, dim: int = 64, tables: int = 16, bits: int = 6) -> DataFrame:
+    """id, tbl, key: the bucket of every row in every table. Kept once (Store.save_index), it serves all searches."""
+    base = vectors.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    planes = hyperplanes(dim, tables, bits)
+    return base.mapInArrow(lambda it: _keys(it, planes, False), "id bigint, tbl int, key bigint")
+
+
+def nearest_by_index(vectors: DataFrame, queries: DataFrame, k: int = 10, *, dim: int = 64, tables: int = 16, bits: int = 6, index: DataFrame | None = None) -> DataFrame:
+    """As nearest_of_many, but only rows that share a bucket with a query (or one plane off) are scored. Every row is indexed;
+    index: one that was built with the same dim, tables and bits."""
     planes = hyperplanes(dim, tables, bits)
     base = vectors.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
     asked = queries.select(F.col("id").cast("long"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
-    kind = "id bigint, tbl int, key bigint"
-    index = base.mapInArrow(lambda it: _keys(it, planes, False), kind)
-    probes = asked.mapInArrow(lambda it: _keys(it, planes, True), kind).withColumnRenamed("id", "query")
+    index = build_index(vectors, dim=dim, tables=tables, bits=bits) if index is None else index
+    probes = asked.mapInArrow(lambda it: _keys(it, planes, True), "id bigint, tbl int, key bigint").withColumnRenamed("id", "query")
     pairs = probes.join(index, ["tbl", "key"]).where("query != id").select("query", "id").distinct()
     scored = pairs.join(asked.select(F.col("id").alias("query"), F.col("embedding").alias("q")), "query").join(base, "id")
     scored = scored.select("query", "id", F.round(cosine_similarity(F.col("q"), F.col("embedding")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def semantic(nodes: DataFrame, text: str, embed: Callable[[DataFrame], DataFrame], *, limit: int | None = None, label: str | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Embed a text as a query and show the nodes nearest to it, of one label if it is given (then without descriptions).
+    fallback: the provider for documents, where there is none for queries (embed is None)."""
+    if not text or not text.strip():
+        raise ValueError("cannot search for an empty text")
+    ask = embed or fallback
+    if ask is None:
+        raise ValueError("no embedding provider")
+    asked = ask(nodes.sparkSession.createDataFrame([(text,)], "text string")).select("embedding").first()
+    if asked is None or asked.embedding is None:
+        raise ValueError("the provider gave no embedding")
+    found = rendered(nearest(nodes, list(asked.embedding), limited(limit), label))
+    return found.withColumn("description", F.lit(None).cast("string")) if label else found
+
+
+def shown(found: DataFrame, text: str) -> list[str]:
+    """Search results as printed lines; at most as many rows as a search shows."""
+    out = [f'=== Semantic Search Results for "{text}" ===']
+    for k, r in enumerate(found.collect()):
+        out += [f"{k + 1}. [{r.label}] {r.name}", *([f"   Title: {r.title}"] if r.title else []), *([f"   {r.description}"] if r.description else []), f"   Similarity: {r.shown}"]
+    return out if len(out) > 1 else [*out, "No results found."]

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text as t
 from tallyweave.operators import cascade, changes, entities, mutate
+from tallyweave.session import file_system
 from tallyweave.sources import markdown
 from tallyweave.sources.embedding import embedded
+from tallyweave.sources.extraction import Extractor, filled
 from tallyweave.sources.store import Store
 
 
@@ -35,35 +37,81 @@ class Result:
     relationships: DataFrame | None = dc_field(default=None, repr=False)
 
 
-def sync(spark: SparkSession, store: Store, root: str, *, embed: Callable[[DataFrame], DataFrame] | None = None, dim: int = 512, only: DataFrame | None = None, force: bool = False, dry_run: bool = False, now: Column | None = None) -> Result:
+#: Files that are named one by one when their contents are read again; more are found by scanning the tree.
+NAMED_FILES = 10_000
+
+
+def _contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """path, content of the wanted paths: only these files are read, unless they are very many."""
+    paths = [r.path for r in wanted.select("path").limit(NAMED_FILES + 1).collect()]
+    if len(paths) <= NAMED_FILES:
+        return markdown.scan(spark, root, paths)
+    return markdown.scan(spark, root).join(wanted.select("path"), "path", "left_semi")
+
+
+def _present(spark: SparkSession, root: str, only: DataFrame | None) -> DataFrame:
+    """path, content at hand: of the whole tree, or of the paths of `only` that are there."""
+    if only is None:
+        return markdown.scan(spark, root)
+    paths = [r.path for r in only.select("path").distinct().limit(NAMED_FILES + 1).collect()]
+    if len(paths) > NAMED_FILES:
+        return markdown.scan(spark, root).join(only.select("path").distinct(), "path", "left_semi")
+    there = [p for p in paths for fs, at in [file_system(spark, p)] if fs.exists(at)]
+    return markdown.scan(spark, root, there)
+
+
+def sync(
+    spark: SparkSession, store: Store, root: str, *, embed: Callable[[DataFrame], DataFrame] | None = None, dim: int = 512, only: DataFrame | None = None, removed: DataFrame | None = None,
+    force: bool = False, dry_run: bool = False, now: Column | None = None, extract: Extractor | None = None,
+) -> Result:
     """Bring the graph up to the tree below root. Broken files become problem rows; the others go on. Deleted documents
-    take their edges along; entities stay. A document whose previous version named other entities is analysed for impact."""
+    take their edges along; entities stay. A document whose previous version named other entities or relationships, or that
+    is gone, is analysed for impact.
+
+    All files are hashed; only those whose hash differs from the stored one are parsed. only: the paths to look at, then
+    nothing counts as deleted but what removed names. extract: finds entities where a header names none.
+    """
     now = F.lit(None).cast("timestamp_ntz") if now is None else now
     now = F.coalesce(now, F.localtimestamp())
-    parsed = store.staged(markdown.parsed(markdown.scan(spark, root)))
-    docs = markdown.documents(parsed)
+    if removed is not None and only is not None:
+        only = only.select("path").unionByName(removed.select("path")).distinct()  # one that is still there is looked at like the others
+    hashed = store.staged(_present(spark, root, only).select("path", t.content_hash(F.col("content")).alias("content_hash")))
     nodes, edges = store.nodes(), store.relationships()
     tracked = nodes.where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
-    found = changes.detect(parsed.select("path", F.when(F.col("error").isNull(), F.col("content_hash")).alias("content_hash")), tracked, only=only, force=force)
+    found = changes.detect(hashed, tracked, only=only, force=force)
+    if removed is not None:
+        lost = removed.select("path").distinct().join(tracked.select("path"), "path", "left_semi").join(hashed.select("path"), "path", "left_anti")
+        found = found.join(lost, "path", "left_anti").unionByName(changes.reasoned(lost.withColumn("change_type", F.lit("deleted"))))
     found = store.staged(found)
-    work = docs.join(found.where("change_type IN ('new', 'updated')").select("path"), "path", "left_semi")
+    parsed = store.staged(markdown.parsed(_contents(spark, root, found.where("change_type IN ('new', 'updated')"))))
+    broken = markdown.errors(parsed)
+    # a file that can't be read counts as new, whatever was stored of it
+    found = store.staged(changes.reasoned(found.join(broken.select("path", F.lit(True).alias("__bad")), "path", "left").select("path", F.when(F.col("__bad"), "new").otherwise(F.col("change_type")).alias("change_type"))))
+    work = markdown.documents(parsed)
+    if extract is not None:
+        work = store.staged(filled(work, extract))
     mentioned = entities.exploded(work, "entities").where("name IS NOT NULL AND type IS NOT NULL")
     declared = entities.exploded(work, "relationships")
     folded = entities.unique_entities(mentioned)
     entity_rows = folded.select(F.col("type").alias("label"), "name", F.to_json(F.struct(t.present(F.col("description")).alias("description"))).alias("properties"))
-    previous = edges.where("relation_type = 'APPEARS_IN'").join(work.select(F.col("path").alias("target_name")), "target_name", "left_semi")
-    old = previous.select(F.col("target_name").alias("path"), F.row_number().over(_by("target_name", "source_label", "source_name")).alias("pos"), F.col("source_label").alias("type"), F.col("source_name").alias("name"))
-    impact = cascade.report(old, mentioned.select("path", "pos", "type", "name"), nodes, edges)
+    resolved = entities.resolve(work.select("path"), mentioned, declared)
+    linked = resolved.where("problem IS NULL")
+    # what the last version said of the documents at hand
+    before = edges.withColumn("path", t.field(F.col("properties"), "documentPath")).join(work.select("path"), "path", "left_semi")
+    named = before.where("relation_type = 'APPEARS_IN'")
+    old = named.select("path", F.row_number().over(_by("path", "source_label", "source_name")).alias("pos"), F.col("source_label").alias("type"), F.col("source_name").alias("name"))
+    rel = lambda df: df.where("relation_type != 'APPEARS_IN'").select("path", F.col("source_name").alias("source"), F.col("relation_type").alias("relation"), F.col("target_name").alias("target"))
     gone = found.where("change_type = 'deleted'").select(F.col("path").alias("name"))
-    impact = impact.unionByName(cascade.deletion_impact(nodes, edges, gone.select(F.col("name").alias("path"))))
+    again = named.select("path").distinct()  # documents that were there before
+    impact = cascade.report(old, mentioned.select("path", "pos", "type", "name"), nodes, edges, relationships=(rel(before), rel(linked).join(again, "path", "left_semi")), gone=gone.select(F.col("name").alias("path")))
+    impact = store.staged(impact)
     fresh = document_nodes(work)
     new_nodes = mutate.upsert_nodes(nodes, fresh.unionByName(entity_rows), now)
     new_nodes = mutate.set_hashes(new_nodes, work.select(F.col("path").alias("name"), "content_hash", F.lit(None).cast("string").alias("embedding_source_hash")), now)
     kept = mutate.delete_by_document(edges, work.select(F.col("path").alias("name")))
-    resolved = entities.resolve(work.select("path"), mentioned, declared)
-    batch = entities.appears_in(mentioned).unionByName(resolved.where("problem IS NULL").drop("path", "problem")).dropDuplicates(["source_label", "source_name", "relation_type", "target_label", "target_name"])
+    batch = entities.appears_in(mentioned).unionByName(linked.drop("path", "problem")).dropDuplicates(["source_label", "source_name", "relation_type", "target_label", "target_name"])
     new_nodes, new_edges = mutate.upsert_relationships(new_nodes, kept, batch, now)
-    if only is None:
+    if only is None or removed is not None:
         new_nodes, new_edges = mutate.remove_documents(new_nodes, new_edges, gone)
     if embed is not None:
         names = F.coalesce(F.transform("entities", lambda e: e["name"]), F.array().cast("array<string>"))
@@ -73,12 +121,23 @@ def sync(spark: SparkSession, store: Store, root: str, *, embed: Callable[[DataF
         new_nodes = mutate.set_embeddings(new_nodes, vectors.select("label", "name", "embedding"), dim)
         sources = texts.where("label = 'Document'").select("name", F.sha2("text", 256).alias("__h"), F.lit("Document").alias("label"))
         new_nodes = new_nodes.join(sources, ["label", "name"], "left").withColumn("embedding_source_hash", F.coalesce("__h", "embedding_source_hash")).drop("__h")
-    problems = markdown.errors(parsed).unionByName(resolved.where("problem IS NOT NULL").select("path", F.col("problem").alias("error")))
+    problems = broken.unionByName(resolved.where("problem IS NOT NULL").select("path", F.col("problem").alias("error")))
     counts = {r.change_type: r.documents for r in changes.summary(found).collect()}
     version = None if dry_run else store.commit(new_nodes, new_edges)
     return Result(counts, found, problems, impact, version, new_nodes, new_edges)
 
 
+def sync_in_parts(spark: SparkSession, store: Store, root: str, documents: int = 100_000, **options) -> list[Result]:
+    """A large sync as commits of about `documents` changed files each: what is committed is not done again after a failure.
+    The last part also removes what is gone."""
+    hashed = store.staged(markdown.scan(spark, root).select("path", t.content_hash(F.col("content")).alias("content_hash")))
+    tracked = store.nodes().where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
+    todo = store.staged(changes.detect(hashed, tracked).where("change_type IN ('new', 'updated')").select("path"))
+    parts = -(-todo.count() // documents)
+    done = [sync(spark, store, root, only=todo.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k), **options) for k in range(parts - 1)]
+    return [*done, sync(spark, store, root, **options)]
+
+
 def _by(part: str, *order: str):
     from pyspark.sql import Window
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text as t
 from tallyweave.functions import vectors as vec
-from tallyweave.operators import cascade, changes, entities, lookup, mutate, search, topics, validate
-from tallyweave.operators.sync import document_nodes
+from tallyweave.operators import cascade, changes, entities, joins, lookup, mutate, questions, search, topics, validate
+from tallyweave.operators.sync import document_nodes, sync
 from tallyweave.plans.views import EPOCH, Views, doc_path, order_path, with_views
-from tallyweave.schema import EDGE_KEY, NODE_KEY
-from tallyweave.sources import exports, markdown
+from tallyweave.schema import EDGE_KEY, NODE_KEY, NODES, RELATIONSHIPS
+from tallyweave.session import kept, shared_dir
+from tallyweave.sources import exports, extraction, manifest, markdown, sinks
+from tallyweave.sources.embedding import provider
+from tallyweave.sources.store import Store
 from tallyweave.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,14 +93,7 @@ def reachability(v: Views) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where none is set, as in tests; on a cluster spark.checkpoint.dir names it."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 _DOCS = "JOIN order_nodes n ON m.target_label = n.label AND m.target_name = n.name"
@@ -403,16 +400,37 @@ def type_changes(v: Views) -> DataFrame:
     return cascade.type_changes(*_versions(v))
 
 
+_MOVED = "SELECT path, name FROM (SELECT DISTINCT path, name, 0 AS side FROM old WHERE type = 'Tool' UNION ALL SELECT DISTINCT path, name, 1 FROM new WHERE type = 'Tool') GROUP BY path, name HAVING count(*) = 1"
+
+
 @query(
     _RENAMES
-    + f""", c AS (SELECT path, old_name AS entity, 'entity_renamed' AS trigger FROM renames UNION ALL SELECT path, name, 'entity_deleted' FROM deleted UNION ALL SELECT path, name, 'entity_type_changed' FROM retyped),
-hit AS (SELECT DISTINCT m.source_name AS entity, n.name AS affected FROM mentions m {_DOCS} WHERE m.source_label = 'Technology')
-SELECT trigger, count(*)::BIGINT AS warnings, count(DISTINCT affected)::BIGINT AS documents FROM c JOIN hit USING (entity) WHERE affected <> path GROUP BY trigger""",
+    + f""", c AS (SELECT path, old_name AS entity, 'entity_renamed' AS trigger FROM renames UNION SELECT path, name, 'entity_deleted' FROM deleted UNION SELECT path, name, 'entity_type_changed' FROM retyped UNION SELECT path, name, 'relationship_changed' FROM ({_MOVED})),
+hit AS (SELECT DISTINCT m.source_name AS entity, n.name AS affected FROM mentions m {_DOCS}),
+lost AS (SELECT DISTINCT s_name AS path, m.target_name AS affected FROM supplier JOIN mentions m ON m.source_name = s_name)
+SELECT trigger, count(*)::BIGINT AS warnings, count(DISTINCT affected)::BIGINT AS documents FROM c JOIN hit USING (entity) WHERE affected <> path GROUP BY trigger
+UNION ALL SELECT 'document_deleted', count(*)::BIGINT, count(DISTINCT affected)::BIGINT FROM lost""",
     "lines", "mentions", "order_nodes",
 )
 def cascade_report(v: Views) -> DataFrame:
-    old, new = _versions(v)
-    return cascade.by_trigger(cascade.report(old, new, v.order_nodes(), v.mentions()))
+    """All five triggers: tools are what documents refer to, suppliers stand for deleted documents that orders link to."""
+    old, new = (kept(x, "version") for x in _versions(v))
+    rel = lambda x: x.where("type = 'Tool'").select("path", F.col("path").alias("source"), F.lit("REFERENCES").alias("relation"), F.col("name").alias("target"))
+    nodes, mentions = v.order_nodes(), v.mentions()
+    turned = mentions.select(F.col("target_label").alias("source_label"), F.col("target_name").alias("source_name"), "relation_type", F.col("source_label").alias("target_label"), F.col("source_name").alias("target_name"))
+    lost = cascade.deletion_impact(nodes, turned, v.table("supplier").select(F.col("s_name").alias("path")))
+    return cascade.by_trigger(cascade.report(old, new, nodes, mentions, relationships=(rel(old), rel(new))).unionByName(lost))
+
+
+@query(
+    _RENAMES
+    + f""", hit AS (SELECT DISTINCT m.source_name AS entity, n.name AS affected FROM mentions m {_DOCS})
+SELECT path, 'Entity Type Changed' AS shown, r.name AS entity, affected, 'References "' || r.name || '" with type "' || old_type || '" (now "' || new_type || '")' AS reason, 'review_content' AS action, 'medium' AS confidence FROM retyped r JOIN hit ON hit.entity = r.name WHERE affected <> path""",
+    "lines", "mentions", "order_nodes",
+)
+def cascade_text(v: Views) -> DataFrame:
+    found = cascade.report(*_versions(v), v.order_nodes(), v.mentions()).where("trigger = 'entity_type_changed'")
+    return found.withColumn("shown", t.trigger_label(F.col("trigger"))).drop("trigger")
 
 
 # ---------------------------------------------------------------- validation and topics
@@ -539,13 +557,9 @@ def knn_batch(v: Views) -> DataFrame:
 
 @query(f"SELECT query, label, id, round(s, 4) AS score FROM (SELECT m.*, e.label, row_number() OVER (PARTITION BY query, e.label ORDER BY s DESC, id) AS r FROM ({_MANY}) m JOIN embeddings e ON e.vec_id = m.id) WHERE r <= 2")
 def knn_per_label(v: Views) -> DataFrame:
-    base, asked = _asked(v)
-    out = None
-    for r in v.table("embeddings").select("label").distinct().orderBy("label").collect():  # labels are few
-        own = v.table("embeddings").where(F.col("label") == r.label).select(F.col("vec_id").alias("id"), "embedding")
-        part = search.nearest_of_many(own, asked, 2).select("query", F.lit(r.label).cast("int").alias("label"), "id", F.round("score", 4).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    _, asked = _asked(v)
+    base = v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return search.nearest_of_many(base, asked, 2, of="label").select("query", F.col("label").cast("int").alias("label"), "id", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -623,8 +637,8 @@ def upsert_nodes(v: Views) -> DataFrame:
 
 
 @query(
-    f"""SELECT coalesce(r.source_label, m.source_label) AS source_label, coalesce(r.source_name, m.source_name) AS source_name, coalesce(r.relation_type, m.relation_type) AS relation_type, coalesce(r.target_label, m.target_label) AS target_label, coalesce(r.target_name, m.target_name) AS target_name, CASE WHEN m.source_name IS NOT NULL THEN m.properties ELSE r.properties END AS properties, CASE WHEN r.source_name IS NULL THEN {_T1} ELSE {_T0} END AS created_at
-FROM (SELECT * FROM refs UNION ALL SELECT source_label, source_name, relation_type, target_label, target_name, '{{}}' FROM mentions WHERE source_label = 'Organization') r FULL JOIN mentions m ON r.source_label = m.source_label AND r.source_name = m.source_name AND r.relation_type = m.relation_type AND r.target_label = m.target_label AND r.target_name = m.target_name""",
+    f"""SELECT source_label, source_name, relation_type, target_label, target_name, coalesce(max(properties) FILTER (fresh), max(properties)) AS properties, CASE WHEN bool_and(fresh) THEN {_T1} ELSE {_T0} END AS created_at
+FROM (SELECT *, false AS fresh FROM refs UNION ALL SELECT source_label, source_name, relation_type, target_label, target_name, '{{}}', false FROM mentions WHERE source_label = 'Organization' UNION ALL SELECT *, true FROM mentions) GROUP BY source_label, source_name, relation_type, target_label, target_name""",
     "refs", "mentions",
 )
 def upsert_rels(v: Views) -> DataFrame:
@@ -731,11 +745,25 @@ def raw_sql(spark: SparkSession, sql: str, args: dict | None = None, **tables: D
 # ---------------------------------------------------------------- markdown trees
 
 
-@query()
+def _tree(v: Views, content: F.Column, name: str) -> str:
+    """A markdown tree of all documents in the shared folder."""
+    root = f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}/docs"
+    sinks.write_tree(v.table("documents").select(doc_path().alias("path"), content.alias("content")), root.removesuffix("/docs"))
+    return root
+
+
+def _below(path: F.Column, root: str) -> F.Column:
+    return t.relative_path(path, root.removeprefix("file://"))
+
+
+_HEAD = "'---' || chr(10) || 'title: ' || source || chr(10) || 'status: ongoing' || chr(10) || 'created: 2024-02-29' || chr(10) || 'tags: [a, b]' || chr(10) || 'graph:' || chr(10) || '  importance: high' || chr(10) || '  domain: ' || lang || chr(10) || '---' || chr(10) || text"
+
+
+@query(f"SELECT source || '/' || doc_id || '.md' AS path, sha256({_HEAD}) AS hash FROM documents")
 def doc_scan(v: Views) -> DataFrame:
-    """Files of the driver's data as a tree would be scanned: path, hash of the content."""
-    d = v.table("documents")
-    return d.select(doc_path().alias("path"), _with_header().alias("content")).where(~F.col("path").rlike(r"/(node_modules|\.git)/")).select("path", F.sha2("content", 256).alias("hash"))
+    """The documents as markdown files, written to the shared folder and scanned."""
+    root = _tree(v, _with_header(), "tree")
+    return markdown.scan(v.spark, root).select(_below(F.col("path"), root).alias("path"), F.sha2("content", 256).alias("hash"))
 
 
 @query("SELECT '/docs/' || source || '/' || doc_id || '.md' AS path, source AS title, 'ongoing' AS status, 'a,b' AS tags, lang AS domain, sha256(text) AS body_hash, NULL::VARCHAR AS error FROM documents")
@@ -745,15 +773,210 @@ def doc_parse(v: Views) -> DataFrame:
     return out.select("path", "title", "status", F.array_join("tags", ",").alias("tags"), "graph.domain", F.sha2("content", 256).alias("body_hash"), "error")
 
 
-@query()
+def _synced() -> F.Column:
+    """A document with a header that names two entities and refers to one of them."""
+    entity = "entities:\n  - {name: "
+    return F.concat(
+        F.lit("---\ntitle: "), "source", F.lit("\nsummary: s\nstatus: ongoing\ncreated: 2024-02-29\nupdated: 2024-02-29\n" + entity), "source", F.lit(", type: Organization, description: d}\n  - {name: lang-"), "lang",
+        F.lit(", type: Topic, description: d}\nrelationships:\n  - {source: this, relation: REFERENCES, target: lang-"), "lang", F.lit("}\n---\n"), "text",
+    )
+
+
+@query(
+    """WITH d AS (SELECT source || '/' || doc_id || '.md' AS path, * FROM documents),
+docs AS (SELECT path, CASE WHEN lang = 'es' THEN 'new' WHEN lang = 'de' THEN 'updated' ELSE 'unchanged' END AS change_type, source AS title, lang FROM d
+UNION ALL SELECT DISTINCT source || '/gone.md', 'deleted', NULL, NULL FROM documents),
+marks AS (SELECT path, count(*) AS n FROM (SELECT path, unnest([source, 'lang-' || lang]) AS e FROM d WHERE lang IN ('es', 'de')) GROUP BY path)
+SELECT docs.path, change_type, CASE WHEN change_type IN ('new', 'updated') THEN title END AS title, change_type <> 'deleted' AS stored, coalesce(marks.n, 0)::BIGINT AS entities, (CASE WHEN marks.n IS NULL THEN 0 ELSE 1 END)::BIGINT AS refs, coalesce(marks.n, 0) > 0 AS embedded FROM docs LEFT JOIN marks ON docs.path = marks.path"""
+)
 def sync_e2e(v: Views) -> DataFrame:
-    """A dry run of a sync's relational part over all documents: detect, build nodes, upsert, remove."""
-    files = v.table("documents").select(doc_path().alias("path"), _with_header().alias("content"))
-    docs = markdown.documents(markdown.parsed(files))
-    found = changes.detect(docs.select("path", "content_hash"), v.stored())
-    work = docs.join(found.where("change_type IN ('new', 'updated')").select("path"), "path", "left_semi")
-    tracked = v.stored().select(F.lit("Document").alias("label"), F.col("path").alias("name"), F.lit("{}").alias("properties"))
-    nodes = mutate.upsert_nodes(_dated(tracked), document_nodes(work), _now())
-    gone = found.where("change_type = 'deleted'").select(F.col("path").alias("name"))
-    return mutate.remove_documents(nodes, v.mentions(), gone)[0].select("label", "name", "properties", "created_at", "updated_at")
+    """sync() on a tree of all documents over a graph that doesn't know the Spanish ones, has the German ones differently and
+    one file a source that is gone: per path what happened to it and what the committed version holds of it."""
+    root = _tree(v, _synced(), "sync")
+    base = root.removeprefix("file://")
+    store = Store(v.spark, f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}")
+    d = v.table("documents")
+    known = d.where("lang != 'es'").select(F.concat(F.lit(f"{base}/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("name"), F.when(F.col("lang") == "de", F.lit("other")).otherwise(t.content_hash(_synced())).alias("content_hash"))
+    gone = d.select(F.concat(F.lit(f"{base}/"), "source", F.lit("/gone.md")).alias("name"), F.lit("0").alias("content_hash")).distinct()
+    old = known.unionByName(gone).select(F.lit("Document").alias("label"), "name", F.lit("{}").alias("properties"), "content_hash")
+    store.commit(old, store.relationships())
+    found = sync(v.spark, store, root, embed=provider("mock", 8), dim=8, now=_now())
+    docs = store.nodes().where("label = 'Document'").select(F.col("name").alias("path"), t.field(F.col("properties"), "title").alias("title"), F.col("embedding").isNotNull().alias("__v"))
+    edges = store.relationships().select(t.field(F.col("properties"), "documentPath").alias("path"), (F.col("relation_type") == "APPEARS_IN").alias("named"))
+    marks = edges.groupBy("path").agg(F.count_if("named").alias("entities"), F.count_if(~F.col("named")).alias("refs"))
+    out = found.changes.join(docs, "path", "left").join(marks, "path", "left")
+    return out.select(_below(F.col("path"), root).alias("path"), "change_type", "title", F.col("__v").isNotNull().alias("stored"), F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("__v", F.lit(False)).alias("embedded"))
+
+
+# ---------------------------------------------------------------- headers, extraction, manifests, sinks
+
+_FAULT = "CASE lang WHEN 'en' THEN 'created: Invalid input: expected string, received undefined' WHEN 'de' THEN 'status: Invalid option: expected one of \"draft\"|\"ongoing\"|\"complete\"' WHEN 'fr' THEN 'entities.0.name: Too small: expected string to have >=1 characters' ELSE 'No frontmatter found' END"
+
+
+@query(f"SELECT doc_id::VARCHAR AS path, {_FAULT} AS problem FROM documents")
+def header_faults(v: Views) -> DataFrame:
+    """One fault per language: no date, an unknown status, a nameless entity, no header."""
+    head = lambda x: F.concat(F.lit("---\nupdated: 2024-01-01\n" + x + "\n---\n"), "text")
+    dated = "created: 2024-01-01\n"
+    content = F.when(F.col("lang") == "en", head("status: ongoing")).when(F.col("lang") == "de", head(dated + "status: done")).when(F.col("lang") == "fr", head(dated + "entities: [{name: '', type: Tool, description: d}]")).otherwise(F.concat(F.lit("x "), "text"))
+    return markdown.front_problems(markdown.parsed(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))))
+
+
+@query("SELECT doc_id::VARCHAR AS path, ['Notes', 'code-' || source, lang || ' page'] AS names, ['Topic', 'Technology', 'Concept'] AS types, 3::BIGINT AS refs, 'About ' || source AS summary, true AS success FROM documents")
+def rule_extraction(v: Views) -> DataFrame:
+    content = F.concat(F.lit("# T\n\nAbout "), "source", F.lit("\n\n## Notes\n`code-"), "source", F.lit("` and [["), "lang", F.lit(" page]] and [["), "lang", F.lit(" page|again]]\n"))
+    got = extraction.rule_based(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+    return got.select("path", F.col("entities.name").alias("names"), F.col("entities.type").alias("types"), F.size("relationships").cast("long").alias("refs"), "summary", "success")
+
+
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN lang = 'de' THEN sha256('x') ELSE sha256(text) END AS content_hash, CASE WHEN lang = 'de' THEN 2 ELSE 1 END::INT AS entity_count FROM documents WHERE lang <> 'fr' OR lang IS NULL")
+def manifest_upkeep(v: Views) -> DataFrame:
+    """A manifest saved, loaded, brought up to date, cleared of some paths, saved and loaded again."""
+    at = f"{shared_dir(v.spark)}/manifest-{uuid.uuid4().hex}"
+    d = v.table("documents").select(F.col("doc_id").cast("string").alias("path"), "lang", F.sha2("text", 256).alias("content_hash"), F.lit("f").alias("frontmatter_hash"), F.lit(1).alias("entity_count"), F.lit(0).alias("relationship_count"))
+    manifest.save(manifest.updated(manifest.load(v.spark, at), d, _now()), at)
+    changed = d.where("lang = 'de'").withColumns({"content_hash": F.sha2(F.lit("x"), 256), "entity_count": F.lit(2)})
+    one = manifest.updated(manifest.load(v.spark, at), changed, _now())
+    manifest.save(manifest.removed(one, d.where("lang = 'fr'")), at)
+    return manifest.load(v.spark, at).select("path", "content_hash", "entity_count")
+
+
+@query("SELECT format, count(*)::BIGINT AS n, sum(c_acctbal)::DECIMAL(18, 2)::VARCHAR AS total FROM customer, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS format) GROUP BY format")
+def formats(v: Views) -> DataFrame:
+    """Customers written and read back in each file format."""
+    c, out = v.table("customer"), None
+    for name in ("csv", "json", "orc", "parquet"):
+        at = f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+        c.write.format(name).option("header", True).save(at)
+        back = v.spark.read.format(name).schema(c.schema).option("header", True).load(at)
+        part = back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("string").alias("total")).select(F.lit(name).alias("format"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_result(v: Views) -> DataFrame:
+    """A result as JSON lines, read back."""
+    at = f"{shared_dir(v.spark)}/lines-{uuid.uuid4().hex}"
+    sinks.json_lines(v.table("nation").select("n_nationkey", "n_name"), at)
+    return v.spark.read.schema("n_nationkey int, n_name string").json(at)
+
+
+# ---------------------------------------------------------------- questions and search
+
+
+_LINKED = "SELECT DISTINCT 'q-' || conv_id || '-' || turn AS question, 'conv-' || conv_id AS document FROM conversations WHERE role = 'user'"
+
+
+@query(f"SELECT question AS name, question AS text, true AS embedded, document IN (SELECT 'conv-' || conv_id FROM conversations WHERE role = 'assistant') AS linked FROM ({_LINKED})")
+def question_add(v: Views) -> DataFrame:
+    """Every user turn asked; those whose conversation has an answer are linked to it, the others stay unlinked."""
+    asked = v.questions().select(F.col("name").alias("question"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("document"))
+    docs = v.table("conversations").where("role = 'assistant'").select(F.lit("Document").alias("label"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("name"), F.lit("{}").alias("properties")).distinct()
+    nodes, edges, _ = questions.ask(_whole(v, docs), _no_edges(v), asked, _now(), embed=provider("mock", 8), dim=8)
+    done = edges.where("relation_type = 'ANSWERED_BY'").select(F.col("source_name").alias("name"), F.lit(True).alias("linked"))
+    q = nodes.where("label = 'Question'")
+    return q.join(done, "name", "left").select("name", t.field(F.col("properties"), "text").alias("text"), F.col("embedding").isNotNull().alias("embedded"), F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+def _whole(v: Views, nodes: DataFrame) -> DataFrame:
+    """Nodes with all columns of the relation."""
+    return v.spark.createDataFrame([], NODES).unionByName(nodes, allowMissingColumns=True)
+
+
+def _no_edges(v: Views) -> DataFrame:
+    return v.spark.createDataFrame([], RELATIONSHIPS)
+
+
+@query(f"SELECT question AS source_name, document AS target_name FROM ({_LINKED}) WHERE document IN (SELECT 'conv-' || conv_id FROM conversations WHERE role = 'assistant')")
+def question_link_new(v: Views) -> DataFrame:
+    """Links whose questions aren't there yet: they are created first."""
+    docs = v.table("conversations").where("role = 'assistant'").select(F.lit("Document").alias("label"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("name"), F.lit("{}").alias("properties")).distinct()
+    pairs = v.questions().select(F.col("name").alias("question"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("document")).join(docs.select(F.col("name").alias("document")), "document", "left_semi")
+    nodes, edges = questions.link(_whole(v, docs), _no_edges(v), pairs, _now())
+    made = nodes.where("label = 'Question'").select(F.col("name").alias("source_name"))
+    return edges.join(made, "source_name", "left_semi").select("source_name", "target_name")
+
+
+@query(
+    f"""SELECT 'L3' AS label, 'vec-' || vec_id AS name, 'vector ' || vec_id AS title, printf('%.2f%%', 100 * score) AS shown, NULL::VARCHAR AS description
+FROM (SELECT vec_id, {_COS.format(a="embedding", b=_Q0)} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, 'vec-' || vec_id LIMIT 20)"""
+)
+def semantic_search(v: Views) -> DataFrame:
+    """A text embedded as a query and searched for within a label; the provider knows the text 'first' as the first vector."""
+    first = _first_vector(v)
+    embed = lambda df: df.withColumn("embedding", F.array(*(F.lit(float(x)) for x in first)))
+    return search.semantic(_vector_nodes(v), "first", embed, label="L3")
+
+
+@query("SELECT count(*)::BIGINT AS queries, true AS good FROM embeddings WHERE vec_id % 100 = 0")
+def knn_lsh_recall(v: Views) -> DataFrame:
+    """How much of the exact result the kept index finds: at least 0.9 of it."""
+    base, asked = _asked(v)
+    index = kept(search.build_index(base), "index")
+    exact = search.nearest_of_many(base, asked).select("query", "id")
+    near = search.nearest_by_index(base, asked, index=index).select("query", "id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["query", "id"], "left")
+    return both.agg(F.countDistinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("good"))
+
+
+# ---------------------------------------------------------------- other joins, groupings, streams
+
+
+@query("SELECT p.event_id, p.user_id, c.event_id AS last_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') c ON p.user_id = c.user_id AND p.ts >= c.ts")
+def as_of_join(v: Views) -> DataFrame:
+    """Each purchase with the user's last other event before it."""
+    e = v.table("events")
+    return joins.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type != 'purchase'"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", "last_event_id")
+
+
+@query("SELECT s_suppkey, count(*)::BIGINT AS parts FROM supplier JOIN part ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 50 GROUP BY s_suppkey")
+def range_join(v: Views) -> DataFrame:
+    s = v.table("supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    return joins.in_interval(v.table("part"), s, "p_retailprice", "low", "high", 50).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey")
+def theta_join(v: Views) -> DataFrame:
+    return joins.where_pairs(v.table("nation"), v.table("region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT c.c_custkey, o.o_orderkey, o.rank FROM customer c, LATERAL (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders WHERE o_custkey = c.c_custkey QUALIFY rank <= 2) o")
+def lateral_join(v: Views) -> DataFrame:
+    o = v.table("orders").withColumnRenamed("o_custkey", "c_custkey")
+    return joins.best_of_each(v.table("customer"), o, "c_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select("c_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def label_cube(v: Views) -> DataFrame:
+    return v.table("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n, grouping(o_orderstatus)::BIGINT AS whole FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def grouping_sets(v: Views) -> DataFrame:
+    v.table("orders").createOrReplaceTempView("__orders")
+    return v.spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS whole FROM __orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+
+
+@query("SELECT event_type, true AS close FROM events GROUP BY event_type")
+def approximate(v: Views) -> DataFrame:
+    """Approximate distinct counts and medians lie near the exact ones."""
+    e = v.table("events")
+    near = lambda a, b: F.abs(a - b) <= 0.1 * F.abs(b)
+    return e.groupBy("event_type").agg((near(F.approx_count_distinct("user_id", 0.02), F.countDistinct("user_id")) & near(F.percentile_approx("value", 0.5, 10_000), F.median("value"))).alias("close"))
+
+
+def _streamed(v: Views, plan, mode: str, name: str) -> DataFrame:
+    """A plan over the events as a stream of files, run to its end; its result as a table."""
+    source = f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    e = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    e.write.parquet(f"{source}/in")
+    plan(v.spark.readStream.schema(e.schema).parquet(f"{source}/in")).writeStream.format("parquet" if mode == "append" else "memory").queryName(f"{name}_{uuid.uuid4().hex}").outputMode(mode).option("checkpointLocation", f"{source}/state").option("path", f"{source}/out").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{source}/out")
+
 
+@query("SELECT date_trunc('day', ts) AS start, count(*)::BIGINT AS events, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1")
+def stream_windows(v: Views) -> DataFrame:
+    """Daily windows of a stream with a watermark, each emitted once it is closed; the last day never is."""
+    out = _streamed(v, lambda e: ingest.windows(ingest.in_time(e, "ts", "0 seconds"), "ts", "1 day"), "append", "windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", F.round("total", 4).alias("total"))

@@ -1,8 +1,11 @@
-"""A session with the settings the engine expects: UTC, ANSI, adaptive execution."""
+"""A session with the settings the engine expects (UTC, ANSI, adaptive execution), and tables kept for a while in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallyweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +17,27 @@ def session(app: str = "tallyweave", master: str | None = None, **conf: str) ->
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", at := "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
+    return at
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once as Parquet into the shared folder and read back: a plan that several results read is run once."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

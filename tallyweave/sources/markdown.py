@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import posixpath
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -11,19 +12,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as t
+from tallyweave.session import file_system
 
 _ENTITY = "array<struct<name:string,type:string,description:string>>"
 _RELATION = "array<struct<source:string,relation:string,target:string>>"
-FRONT_SQL = f"json string, error string, title string, summary string, topic string, created string, updated string, status string, tags array<string>, entities {_ENTITY}, relationships {_RELATION}, graph struct<importance:string,domain:string>"
+FRONT_SQL = f"json string, error string, title string, summary string, topic string, created string, updated string, status string, tags array<string>, entities {_ENTITY}, relationships {_RELATION}, graph struct<importance:string,domain:string>, problems array<string>"
 #: Values of importance: fixed values.
 IMPORTANCE = ("high", "medium", "low")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, content of every .md file below root, but for node_modules and .git."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return files.select(path.alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike(r"/(node_modules|\.git)/"))
+#: Values of status: fixed values.
+STATUS = ("draft", "ongoing", "complete")
+
+
+def local_path(column: str) -> Column:
+    """A file's name without the scheme of the local file system."""
+    return F.regexp_replace(F.col(column), "^file:/+", "/")
+
+
+def scan(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """path, content of every .md file below root, but for node_modules and .git; of some paths only, if they are named."""
+    if paths is not None and not paths:
+        return spark.createDataFrame([], "path string, content string")
+    files = spark.read.text(paths or root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    return files.select(local_path("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike(r"/(node_modules|\.git)/"))
 
 
 def split_front(content: Column) -> tuple[Column, Column]:
@@ -49,9 +61,10 @@ def _word(x) -> str | None:
 def _record(header: str | None) -> dict:
     import yaml
 
-    out: dict = {c.split(" ")[0]: None for c in ("json", "error", "title", "summary", "topic", "created", "updated", "status", "tags", "entities", "relationships", "graph")}
+    out: dict = dict.fromkeys(("json", "error", "title", "summary", "topic", "created", "updated", "status", "tags", "entities", "relationships", "graph"))
+    out["problems"] = []
     if header is None:
-        return out
+        return out | {"problems": ["No frontmatter found"]}
     try:
         data = _plain(yaml.safe_load(header) or {})
     except yaml.YAMLError as e:
@@ -70,9 +83,76 @@ def _record(header: str | None) -> dict:
         "entities": structs(data.get("entities"), "name", "type", "description"),
         "relationships": structs(data.get("relationships"), "source", "relation", "target"),
         "graph": {"importance": graph.get("importance"), "domain": graph.get("domain")} if ok else None,
+        "problems": header_problems(data),
     }
 
 
+def _kind(x) -> str:
+    return "undefined" if x is _ABSENT else "null" if x is None else {bool: "boolean", int: "number", float: "number", str: "string", list: "array"}.get(type(x), "object")
+
+
+_ABSENT = object()
+
+
+def header_problems(data: Mapping) -> list[str]:
+    """One "field.path: message" per fault of a header; unknown keys are fine. The messages are fixed values."""
+    from tallyweave.schema import ENTITY_TYPES
+
+    out: list[str] = []
+
+    def text(path: str, x, *, optional: bool = False, least: int = 0, one_of: tuple[str, ...] = (), date: bool = False) -> None:
+        if x is _ABSENT and optional:
+            return
+        if one_of:
+            if x not in one_of:
+                out.append(f"{path}: Invalid option: expected one of " + "|".join(f'"{v}"' for v in one_of))
+        elif not isinstance(x, str):
+            out.append(f"{path}: Invalid input: expected string, received {_kind(x)}")
+        elif len(x) < least:
+            out.append(f"{path}: Too small: expected string to have >={least} characters")
+        elif date and not _real_date(x):
+            out.append(f"{path}: Date must be in YYYY-MM-DD format")
+
+    def each(field: str, kinds: dict[str, dict]) -> None:
+        x = data.get(field, _ABSENT)
+        if x is _ABSENT:
+            return
+        if not isinstance(x, list):
+            out.append(f"{field}: Invalid input: expected array, received {_kind(x)}")
+            return
+        for k, item in enumerate(x):
+            if not kinds:
+                text(f"{field}.{k}", item)
+            elif not isinstance(item, dict):
+                out.append(f"{field}.{k}: Invalid input: expected object, received {_kind(item)}")
+            else:
+                for name, rule in kinds.items():
+                    text(f"{field}.{k}.{name}", item.get(name, _ABSENT), **rule)
+
+    for field in ("created", "updated"):
+        text(field, data.get(field, _ABSENT), date=True)
+    text("status", data.get("status", _ABSENT), optional=True, one_of=STATUS)
+    for field in ("topic", "summary"):
+        text(field, data.get(field, _ABSENT), optional=True)
+    each("tags", {})
+    each("entities", {"name": {"least": 1}, "type": {"one_of": tuple(k for k in ENTITY_TYPES if k != "Question")}, "description": {"least": 1}})
+    each("relationships", {"source": {"least": 1}, "relation": {"one_of": ("REFERENCES",)}, "target": {"least": 1}})
+    graph = data.get("graph", _ABSENT)
+    if graph is not _ABSENT and not isinstance(graph, dict):
+        out.append(f"graph: Invalid input: expected object, received {_kind(graph)}")
+    elif graph is not _ABSENT:
+        text("graph.importance", graph.get("importance", _ABSENT), optional=True, one_of=IMPORTANCE)
+        text("graph.domain", graph.get("domain", _ABSENT), optional=True)
+    return out
+
+
+def _real_date(x: str) -> bool:
+    try:
+        return len(x) == 10 and x.isascii() and datetime.datetime.strptime(x, "%Y-%m-%d").date().isoformat() == x
+    except ValueError:
+        return False
+
+
 def front(header: Column) -> Column:
     """A struct of FRONT_SQL. YAML needs Python; whole Arrow batches go there, headers only."""
 
@@ -94,12 +174,12 @@ def parsed(files: DataFrame) -> DataFrame:
         F.col("body").alias("content"),
         t.content_hash(F.col("content")).alias("content_hash"),
         t.content_hash(F.coalesce("f.json", F.lit("{}"))).alias("frontmatter_hash"),
-        *(F.col(f"f.{c}").alias(c) for c in ("summary", "topic", "created", "updated", "status", "tags", "entities", "relationships", "graph", "error")),
+        *(F.col(f"f.{c}").alias(c) for c in ("summary", "topic", "created", "updated", "status", "tags", "entities", "relationships", "graph", "error", "problems")),
     )
 
 
 def documents(found: DataFrame) -> DataFrame:
-    return found.where("error IS NULL").drop("error")
+    return found.where("error IS NULL").drop("error", "problems")
 
 
 def errors(found: DataFrame) -> DataFrame:
@@ -107,14 +187,23 @@ def errors(found: DataFrame) -> DataFrame:
 
 
 def front_problems(found: DataFrame) -> DataFrame:
-    """path, problem: bad dates, unknown entity and relation types, empty names; unknown keys are fine."""
-    date = lambda c: F.when(F.col(c).isNotNull() & ~t.valid_date(F.col(c)), F.lit(f"{c}: must be a valid date in YYYY-MM-DD"))
-    bad = lambda c, test, message: F.when(F.exists(F.coalesce(F.col(c), F.array().cast(_ENTITY if c == "entities" else _RELATION)), test), F.lit(f"{c}: {message}"))
-    from tallyweave.schema import ENTITY_TYPES
-
-    kinds = [k for k in ENTITY_TYPES if k != "Question"]
-    checks = [date("created"), date("updated"), bad("entities", lambda e: F.coalesce(e["name"], F.lit("")) == "", "name must not be empty"), bad("entities", lambda e: ~F.coalesce(e["type"], F.lit("")).isin(*kinds), "unknown type"), bad("relationships", lambda r: F.coalesce(r["relation"], F.lit("")) != "REFERENCES", "unknown relation")]
-    return found.select("path", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    """path, problem of parsed documents: a header that is missing, or one "field.path: message" per fault."""
+    return found.where("error IS NULL").select("path", F.explode("problems").alias("problem"))
+
+
+def resolved(spark: SparkSession, paths: list[str], root: str, *, inside: bool = True, exists: bool = True) -> list[str]:
+    """Paths as they were named by a user, absolute or below root. One that lies outside, or isn't there, raises."""
+    out, base = [], root.rstrip("/")
+    for p in paths:
+        scheme, mark, rest = (p if p.startswith("/") or "://" in p else f"{base}/{p}").rpartition("://")
+        at = scheme + mark + posixpath.normpath(rest)
+        if inside and at.rstrip("/") != base and not at.startswith(base + "/"):
+            raise ValueError(f'Path "{p}" resolves to "{at}" which is outside the docs directory ({root})')
+        fs, there = file_system(spark, at)
+        if exists and not fs.exists(there):
+            raise FileNotFoundError(f'Path "{p}" does not exist (resolved to: {at})')
+        out.append(at)
+    return out
 
 
 def header_of(data: Mapping) -> str:

@@ -55,6 +55,33 @@ class Store:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete staged tables and all versions but the current one and the `keep` - 1 before it. No sync may be running and
+        nobody may be reading an older version."""
+        fs, root = self._fs(self.root)
+        if not fs.exists(root):
+            return []
+        now = self.version()
+        names = sorted((f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()), reverse=True)
+        old = [n for n in names if n.startswith("v") and n != now]
+        gone = [n for n in names if n == "staging"] + old[max(0, keep - 1) :]
+        for n in gone:
+            fs.delete(self._fs(f"{self.root}/{n}")[1], True)
+        return gone
+
+    def save_index(self, index: DataFrame, name: str = "vectors") -> None:
+        """Keep a vector index of the current version; one that is there stays."""
+        at = f"{self.root}/{self.version()}/index-{name}"
+        fs, p = self._fs(at)
+        if not fs.exists(p):
+            index.write.mode("overwrite").parquet(at)
+
+    def index(self, name: str = "vectors") -> DataFrame | None:
+        """The index of the current version, if one was kept."""
+        at = f"{self.root}/{self.version()}/index-{name}"
+        fs, p = self._fs(at)
+        return self.spark.read.parquet(at) if fs.exists(p) else None
+
     def commit(self, nodes: DataFrame, relationships: DataFrame) -> str:
         """Write a new version and make it current; missing columns become null."""
         version = f"v{time.strftime('%Y%m%d%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"

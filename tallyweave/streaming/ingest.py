@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyweave.config import SyncOptions
 from tallyweave.operators import mutate
 from tallyweave.operators.sync import sync
 from tallyweave.schema import NODE_KEY
+from tallyweave.session import kept
+from tallyweave.sources.markdown import local_path
 from tallyweave.sources.store import Store
 
 
@@ -27,18 +30,48 @@ def upsert_stream(feed: DataFrame, store: Store, checkpoint: str, order: str) ->
 
 
 def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, every: str = "500 milliseconds", embed: Callable | None = None, dim: int = 512, once: bool = False) -> StreamingQuery:
-    """Sync the tree whenever files arrive; the trigger interval takes the place of a debounce. Files that vanish are
-    noticed at the next arrival or by a batch sync."""
+    """Sync what arrives below root, and what goes. A micro-batch names the files that came since the last one, and only these
+    are synced: all changes within `every` are one sync. Files that are gone are found by listing the tree, which reads no
+    file; unless `once`, a beat every `every` does so even while nothing arrives. A batch that is run again finds the same
+    graph: hashes that are stored already change nothing."""
+    SyncOptions(watch=True)
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    arrived = files.select(local_path("_metadata.file_path").alias("path"))
+    if not once:
+        beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(None).cast("string").alias("path"))
+        arrived = arrived.union(beat)
 
     def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sync(spark, store, root, embed=embed, dim=dim)
-
-    out = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        came = kept(batch.where("path IS NOT NULL").select("path").distinct(), "arrived")
+        here = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root).select(local_path("path").alias("path"))
+        tracked = store.nodes().where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"))
+        gone = kept(tracked.join(here, "path", "left_anti"), "gone")
+        if not (came.isEmpty() and gone.isEmpty()):
+            sync(spark, store, root, embed=embed, dim=dim, only=came.unionByName(gone), removed=gone)
+
+    out = arrived.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
+def settled(changes: DataFrame, at: str, gap: str, late: str = "0 seconds") -> DataFrame:
+    """A trailing debounce of a stream of changed paths (column path, a time `at`): one row per burst, with its distinct
+    paths, once `gap` has passed without another change (and `late` for what comes out of order)."""
+    kept_ = changes.withWatermark(at, late)
+    burst = kept_.groupBy(F.col("path").isNull().alias("none"), F.session_window(at, gap).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("events"))
+    return burst.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "events")
+
+
+def in_time(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream whose windows may forget: events more than `late` behind the latest seen are dropped by sessions and windows."""
+    return events.withWatermark(at, late)
+
+
+def latest_by_key(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Running state of a stream: the value of each key's latest event and how many there were, emitted as it changes. Late
+    events count but never replace a later value. Works on a stream in update mode, and on a table (one row a key)."""
+    return events.groupBy(key).agg(F.max(F.struct(at, value)).alias("m"), F.count(F.lit(1)).alias("events")).select(key, F.col(f"m.{at}").alias(at), F.col(f"m.{value}").alias(value), "events")
+
+
 def sessions(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     """Bursts of events of one key with no pause of `gap` or more: key, start, end (last event plus gap), events. Streams
     need a watermark on `at` first."""

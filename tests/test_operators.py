@@ -179,7 +179,7 @@ def test_search(spark):
     assert search.limited(None) == 20 and search.limited(1000) == 100
     many = n.select(F.monotonically_increasing_id().alias("id"), "embedding")
     ids = n.withColumn("id", F.when(F.col("name") == "doc1.md", 1).when(F.col("name") == "tech", 2).when(F.col("name") == "doc2.md", 3).otherwise(9)).select("id", "embedding")
-    best = search.nearest_of_many(ids, ids.where("id IN (1, 3)"), 1, block=1).collect()
+    best = search.nearest_of_many(ids, ids.where("id IN (1, 3)"), 1, most=1).collect()
     assert {(r.query, r.id) for r in best} == {(1, 2), (3, 2)} or {(r.query, r.id) for r in best if r.query == 1} == {(1, 2)}
     assert search.nearest_of_many(many, many.limit(0)).count() == 0
 

@@ -61,7 +61,7 @@ def test_sync(spark, tmp_path):
     second = sync(spark, store, str(root), embed=embed, dim=8)
     assert second.counts == {"new": 1, "updated": 1, "unchanged": 1, "deleted": 1}
     found = {(r.trigger, r.entity, r.affected.rsplit("/", 1)[1]) for r in second.impact.collect()}
-    assert found <= {("entity_renamed", "Vim", "b.md")}
+    assert found == {("entity_renamed", "Vim", "b.md"), ("relationship_changed", "Vim", "b.md")}
     assert store.nodes().where("label = 'Document'").count() == 2 and store.relationships().where("source_name = 'Vim'").count() == 1
     store.views()
     assert spark.sql("SELECT count(*) AS n FROM nodes WHERE label = :label", args={"label": "Tool"}).first().n == 3
