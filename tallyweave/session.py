@@ -19,6 +19,9 @@ def session(app: str = "tallyweave", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+_OWN: dict[str, str] = {}  # the folders of local sessions that have none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,8 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", at := "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
-    return at
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+    return _OWN[app]
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
