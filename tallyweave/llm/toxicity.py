@@ -2,8 +2,9 @@
 (each word: its character runs), a document's score the
 noisy-or of its sentences, and only document labels train both. The sentences that carry the score are located.
 
-Training reads at most `max_docs` labelled documents (the documented bound: half of each class, the least hashes of the
-id first, so the choice does not depend on how the rows are laid out); scoring reads every text whole.
+Training reads at most `max_docs` labelled documents and `max_bytes` of text (the documented bounds: half of each class,
+the least hashes of the id first, whole texts, so the choice does not depend on how the rows are laid out); scoring reads
+every text whole.
 
 Features are chosen by an exact test against the classes' sizes, not by a fixed bar: see `selected`.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
@@ -139,13 +140,17 @@ def train(texts: list[str], labels: list[int], *, rate_false: float = 0.05, roun
     return Model({t: float(w[k]) for t, k in vocab.items() if abs(w[k]) > 1e-3}, float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, max_docs: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
-    """At most max_docs (text, label) of rows that aren't held out, half of each class; only ids are ranked, so no text is shuffled."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, max_docs: int, max_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
+    """At most max_docs (text, label) and max_bytes of rows that aren't held out, half of each class; only ids are ranked, so
+    no text is shuffled but those that are picked."""
     rows = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("i")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = [F.xxhash64(F.col("i")), F.col("i")]
     picked = rows.where("y = 1").orderBy(*order).limit(max_docs // 2).unionByName(rows.where("y = 0").orderBy(*order).limit(max_docs // 2))
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i")  # max_docs ids at most
-    return sorted((r.t or "", r.y, r.i) for r in texts.groupBy("i", "y").agg(F.min("t").alias("t")).collect())
+    own = _base.staged(texts.groupBy("i", "y").agg(F.min("t").alias("t")), "training")
+    upto = F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sized = own.select("i", "y", upto.alias("upto")).where(F.col("upto") <= max_bytes // 2).select("i", "y")
+    return sorted((r.t or "", r.y, r.i) for r in own.join(F.broadcast(sized), ["i", "y"]).collect())
 
 
 def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", sentence_at: float = 0.5) -> DataFrame:
