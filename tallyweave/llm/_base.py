@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.session import shared_dir
+
 #: Separators of words, as a Java character class and as the characters themselves.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", at := "file://" + tempfile.mkdtemp(prefix="tallyweave-"))
-    return at
+_SCOPES: list[list[str]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -29,16 +24,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return out
 
 
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+def drop_staged(*frames: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more (as staged() gave them; anything else is left alone)."""
     for df in frames:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if (path := getattr(df, "staged_at", None)) is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes what is staged inside, once it is left; what is still to be read must be taken from the list."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            _delete(spark, path)
 
 
 #: Rows of a few numbers that are sent to every task at most (about 5 MB).

@@ -104,8 +104,9 @@ def _print(text: str) -> bytes:
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their print; packed, as they are shuffled more than once."""
     for batch in batches:
-        words = [b" ".join(_words(x.as_py() or "")) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(w).digest() for w in words], pa.binary()), pa.array([zlib.compress(w, 1) for w in words], pa.binary())], names=["doc", "print", "z"])
+        for part in slices(batch, "text"):
+            words = [b" ".join(_words(x.as_py() or "")) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(w).digest() for w in words], pa.binary()), pa.array([zlib.compress(w, 1) for w in words], pa.binary())], names=["doc", "print", "z"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -113,10 +114,10 @@ def _links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
     last: tuple[bytes | None, set[bytes]] = (None, set())
     for batch in batches:
         a, b = [], []
-        for i, j, za, zb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if za != last[0]:
-                last = (za, _set_of(za, size))
-            other = _set_of(zb, size)
+        for i, j, za, zb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if (z := za.as_py()) != last[0]:
+                last = (z, _set_of(z, size))
+            other = _set_of(zb.as_py(), size)
             both = len(last[1] & other)
             if 100 * both >= percent * (len(last[1]) + len(other) - both):
                 a.append(i), b.append(j)
@@ -143,31 +144,36 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         rank = lambda x: F.struct(F.xxhash64(F.col(x), F.lit(turn)).alias("h"), F.col(x).alias("v"))  # noqa: B023, E731
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = _base.staged(both.groupBy(F.col("a").alias("v")).agg(F.min(rank("b")).alias("m")).select("v", F.least(rank("v"), "m")["v"].alias("p")), "hooks")
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = _base.staged(_base.looked_up(hook, up, "p").select("v", F.col("q").alias("p")), "hooks")
+        first = _base.staged(both.groupBy(F.col("a").alias("v")).agg(F.min(rank("b")).alias("m")).select("v", F.least(rank("v"), "m")["v"].alias("p")), "hooks")
+        hook = _base.staged(_base.looked_up(first, first.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")), "hooks")
         if label is None:
-            label = hook.select("v", F.col("p").alias("c"))
+            old, label = None, _base.staged(hook.select("v", F.col("p").alias("c")), "labels")
         else:
-            label = _base.staged(_base.looked_up(label, hook.select(F.col("v").alias("c"), "p"), "c").select("v", F.coalesce("p", "c").alias("c")), "labels")
+            old, label = label, _base.staged(_base.looked_up(label, hook.select(F.col("v").alias("c"), "p"), "c").select("v", F.coalesce("p", "c").alias("c")), "labels")
         a, b = (hook.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-        live = _base.staged(_base.looked_up(live, a, "a").select("pa", "b"), "links")
-        live = _base.looked_up(live, b, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        live = _base.staged(live.distinct(), "links")
+        half = _base.staged(_base.looked_up(live, a, "a").select("pa", "b"), "links")
+        ends = _base.looked_up(half, b, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        spent, live = live, _base.staged(ends.distinct(), "links")
+        _base.drop_staged(first, hook, old, half, spent)
         turn += 1
     return label if label is not None else spark.createDataFrame([], "v bigint, c bigint")
 
 
+def _members(block: pa.StructArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(v, c, size), bands and sketches of a block's members."""
+    n = len(block)
+    v, c, size, bands, small = block.flatten()
+    return [x.to_numpy() for x in (v, c, size)], bands.flatten().to_numpy().reshape(n, -1), np.frombuffer(b"".join(small.to_pylist()), np.uint8).reshape(n, -1)
+
+
 def _further(least: float, percent: int):
     """Pairs of one block pair of a bucket: different components, first common band is this one, sizes and sketches alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for band, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lv, rv = ((np.array([x["v"] for x in s]), np.array([x["c"] for x in s]), np.array([x["size"] for x in s])) for s in (left, right))
-                lb, rb = (np.array([x["bands"] for x in s]) for s in (left, right))
-                ls, rs = (np.frombuffer(b"".join(x["small"] for x in s), np.uint8).reshape(len(s), -1) for s in (left, right))
+            for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                (lv, lb, ls), (rv, rb, rs) = _members(left.values), _members(right.values)
                 for i in range(len(left)):
                     n = lv[2][i]
                     js = np.flatnonzero((rv[1] != lv[1][i]) & (100 * np.minimum(n, rv[2]) >= percent * np.maximum(n, rv[2])))

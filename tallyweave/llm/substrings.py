@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
-from tallyweave.llm._text import U, Words, equal_runs, mix
+from tallyweave.llm._text import U, Words, equal_runs, mix, slices
 
 _PIECES = (4, 8)
 _MOST = U(2**64 - 1)
@@ -293,7 +293,8 @@ def _by_document(found: pa.Table, window: int) -> pa.Table:
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_squeezed((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)], pa.binary())], names=["doc_id", "tkey", "z"])
+        for part in slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_squeezed((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in part.column(2)], pa.binary())], names=["doc_id", "tkey", "z"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
