@@ -90,10 +90,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read back."""
+    """All stages over documents, each written to the shared folder and read back. What a stage has staged for itself goes
+    when its result is written, and so does the result before."""
     docs = _base.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _base.staged(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with _base.scratch(spark) as mine:
+            before, docs = docs, _base.staged(stage(spark, docs, sf_dir), "stage")
+            mine.remove(docs.staged_at)
+        _base.drop_staged(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
