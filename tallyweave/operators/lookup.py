@@ -18,6 +18,11 @@ def node(nodes: DataFrame, label: str, name: str) -> DataFrame:
     return nodes.where((F.col("label") == label) & (F.col("name") == name))
 
 
+def document_hashes(nodes: DataFrame) -> DataFrame:
+    """path, content_hash of the documents that a sync has stored."""
+    return nodes.where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
+
+
 def neighbours(edges: DataFrame, name: str, label: str | None = None) -> DataFrame:
     """relation_type and the other end of every edge at a name (of any label unless one is given); a loop gives itself."""
     out, into = F.col("source_name") == name, F.col("target_name") == name

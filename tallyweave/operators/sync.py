@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text as t
-from tallyweave.operators import cascade, changes, entities, mutate
+from tallyweave.operators import cascade, changes, entities, lookup, mutate
 from tallyweave.session import file_system
 from tallyweave.sources import markdown
 from tallyweave.sources.embedding import embedded
@@ -77,7 +77,7 @@ def sync(
         only = only.select("path").unionByName(removed.select("path")).distinct()  # one that is still there is looked at like the others
     hashed = store.staged(_present(spark, root, only).select("path", t.content_hash(F.col("content")).alias("content_hash")))
     nodes, edges = store.nodes(), store.relationships()
-    tracked = nodes.where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
+    tracked = lookup.document_hashes(nodes)
     found = changes.detect(hashed, tracked, only=only, force=force)
     if removed is not None:
         lost = removed.select("path").distinct().join(tracked.select("path"), "path", "left_semi").join(hashed.select("path"), "path", "left_anti")
@@ -131,7 +131,7 @@ def sync_in_parts(spark: SparkSession, store: Store, root: str, documents: int =
     """A large sync as commits of about `documents` changed files each: what is committed is not done again after a failure.
     The last part also removes what is gone."""
     hashed = store.staged(markdown.scan(spark, root).select("path", t.content_hash(F.col("content")).alias("content_hash")))
-    tracked = store.nodes().where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"), "content_hash")
+    tracked = lookup.document_hashes(store.nodes())
     todo = store.staged(changes.detect(hashed, tracked).where("change_type IN ('new', 'updated')").select("path"))
     parts = -(-todo.count() // documents)
     done = [sync(spark, store, root, only=todo.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k), **options) for k in range(parts - 1)]

@@ -14,7 +14,7 @@ from tallyweave.operators import cascade, changes, entities, joins, lookup, muta
 from tallyweave.operators.sync import document_nodes, sync
 from tallyweave.plans.views import EPOCH, Views, doc_path, order_path, with_views
 from tallyweave.schema import EDGE_KEY, NODE_KEY, NODES, RELATIONSHIPS
-from tallyweave.session import kept, shared_dir
+from tallyweave.session import file_system, kept, shared_dir
 from tallyweave.sources import exports, extraction, manifest, markdown, sinks
 from tallyweave.sources.embedding import provider
 from tallyweave.sources.store import Store
@@ -226,7 +226,7 @@ def yaml_quote(v: Views) -> DataFrame:
     return x.select("id", "x", t.quoted(F.col("x")).alias("quoted"))
 
 
-_SLUG = "array_to_string(list_transform(string_split(slug, '-'), lambda w: CASE WHEN lower(w) IN ('ai', 'ml', 'api', 'llm', 'gpu', 'ui', 'ux', 'ci', 'cd', 'aws', 'gcp', 'seo', 'css', 'html', 'sql', 'cli', 'sdk', 'mcp') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
+_SLUG = f"array_to_string(list_transform(string_split(slug, '-'), lambda w: CASE WHEN lower(w) IN {t.ACRONYMS!r} THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
 
 
 @query(f"SELECT p_partkey, slug, {_SLUG} AS title FROM (SELECT p_partkey, replace(p_name, ' ', '-') || '-api-' || lower(p_brand) AS slug FROM part)")
@@ -340,8 +340,8 @@ _BAD = """SELECT path, 'Relationship source "' || source || '" not found in any
 
 @query(f", {_DECLARED} {_BAD}", "lines")
 def rel_validate(v: Views) -> DataFrame:
-    none = v.order_nodes().limit(0).select(F.col("name").alias("path"), *(F.lit("x").alias(c) for c in entities.REQUIRED))
-    return entities.document_errors(none, v.lines(), _declared(v))
+    whole = v.order_nodes().select(F.col("name").alias("path"), *(F.lit("x").alias(c) for c in entities.REQUIRED))
+    return entities.document_errors(whole, v.lines(), _declared(v))
 
 
 @query(
@@ -463,9 +463,14 @@ def validate_stats(v: Views) -> DataFrame:
     return validate.stats(_checked(v))
 
 
-@query("SELECT * FROM (VALUES ('Document', 'none.md', 'error', 'node', 'Document not found in graph', 'Run sync to add this document')) x(label, name, type, field, message, suggestion)")
+@query(
+    f"""SELECT * FROM (VALUES ('Document', 'none.md', 'error', 'node', 'Document not found in graph', 'Run sync to add this document')) x(label, name, type, field, message, suggestion)
+UNION ALL SELECT 'Document', '/docs/' || source || '/0.md', 'warning', f, 'Missing recommended field: ' || f, 'Add ' || chr(39) || f || chr(39) || ' to document frontmatter' FROM documents, (SELECT unnest(['summary', 'created', 'updated', 'status']) AS f) WHERE doc_id = 0"""
+)
 def validate_one(v: Views) -> DataFrame:
-    return validate.document(v.nodes(), "none.md")
+    """What is wrong with one document that is there, and with one that isn't."""
+    first = v.table("documents").where("doc_id = 0").select(doc_path().alias("p")).first().p
+    return validate.document(v.nodes(), "none.md").unionByName(validate.document(v.nodes(), first))
 
 
 def _topic_nodes(v: Views) -> DataFrame:
@@ -980,3 +985,91 @@ def stream_windows(v: Views) -> DataFrame:
     """Daily windows of a stream with a watermark, each emitted once it is closed; the last day never is."""
     out = _streamed(v, lambda e: ingest.windows(ingest.in_time(e, "ts", "0 seconds"), "ts", "1 day"), "append", "windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", F.round("total", 4).alias("total"))
+
+
+@query("WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, count(*)::BIGINT AS events, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM g WHERE k < (SELECT max(k) FROM g) GROUP BY k")
+def stream_debounce(v: Views) -> DataFrame:
+    """Bursts of a stream, each given once an hour has passed without an event; the last one isn't over."""
+    out = _streamed(v, lambda e: ingest.settled(e.withColumn("path", F.col("event_type")), "ts", "1 hour"), "append", "bursts")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", F.array_join("paths", ",").alias("paths"))
+
+
+# ---------------------------------------------------------------- the store, hashes, providers
+
+
+@query("SELECT '/docs/' || source || '/' || doc_id || '.md' AS path, sha256(text) AS content_hash FROM documents")
+def document_hashes(v: Views) -> DataFrame:
+    """The stored hashes of a committed version, as change detection reads them."""
+    return lookup.document_hashes(_stored(v).nodes())
+
+
+def _stored(v: Views) -> Store:
+    store = Store(v.spark, f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}")
+    store.commit(v.doc_nodes().unionByName(v.entity_nodes(), allowMissingColumns=True), v.references())
+    return store
+
+
+@query("SELECT label, count(*)::BIGINT AS nodes, count(embedding)::BIGINT AS embedded, count(content_hash)::BIGINT AS hashed, 0::BIGINT AS dated FROM (SELECT label, embedding, content_hash FROM doc_nodes UNION ALL SELECT label, NULL, NULL FROM entity_nodes) GROUP BY label", "doc_nodes", "entity_nodes")
+def store_commit(v: Views) -> DataFrame:
+    """A version written twice, the first one vacuumed: columns that a source lacks are there and empty."""
+    store = _stored(v)
+    store.commit(store.nodes(), store.relationships())
+    store.vacuum()
+    return store.nodes().groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count("embedding").alias("embedded"), F.count("content_hash").alias("hashed"), F.count("created_at").alias("dated"))
+
+
+@query("SELECT s_suppkey, 'It' || chr(39) || 's \"' || s_name || '\"; --' AS name FROM supplier")
+def literal_escape(v: Views) -> DataFrame:
+    """Names with quotes and comment signs, stored and looked up by parameters."""
+    odd = F.concat(F.lit("It's \""), "s_name", F.lit('"; --'))
+    nodes = v.table("supplier").select("s_suppkey", F.lit("Organization").alias("label"), odd.alias("name"))
+    first = nodes.orderBy("s_suppkey").first().name
+    one = v.spark.sql("SELECT s_suppkey, name FROM {n} WHERE name = :name", args={"name": first}, n=nodes)
+    return one.unionByName(nodes.where(F.col("name") != first).select("s_suppkey", "name"))
+
+
+@query("SELECT p_partkey, length(p_name)::FLOAT AS x, 'document' AS kind FROM part")
+def http_embed(v: Views) -> DataFrame:
+    """A service that answers in reverse order: vectors come back to their texts, and texts are told to be documents."""
+
+    def post(url: str, headers: dict, body: dict) -> dict:
+        return {"data": [{"index": k, "embedding": [float(len(x)), float(body["input_type"] == "document")]} for k, x in reversed(list(enumerate(body["input"])))]}
+
+    out = provider("voyage", 2, key="k", model="m", batch=7, post=post)(v.table("part").select("p_partkey", F.col("p_name").alias("text")))
+    return out.select("p_partkey", F.col("embedding")[0].alias("x"), F.when(F.col("embedding")[1] == 1, "document").otherwise("query").alias("kind"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256('{\"title\":\"' || source || '\",\"when\":{\"from\":\"2024-01-02\",\"list\":[\"2024-02-29\"]},\"n\":1}') AS hash FROM documents")
+def header_hash(v: Views) -> DataFrame:
+    """Headers hashed as compact JSON in the order they were written, dates as text at any depth."""
+    content = F.concat(F.lit("---\ntitle: "), "source", F.lit("\nwhen: {from: 2024-01-02, list: [2024-02-29]}\nn: 1\n---\nx"))
+    return markdown.parsed(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))).select("path", F.col("frontmatter_hash").alias("hash"))
+
+
+@query("SELECT count(*)::BIGINT AS documents, 'unchanged' AS change_type, true AS same FROM documents")
+def sync_rerun(v: Views) -> DataFrame:
+    """A second sync of the same tree finds nothing to do and leaves the same graph."""
+    root = _tree(v, F.col("text"), "rerun")
+    store = Store(v.spark, f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}")
+    sync(v.spark, store, root, now=_now())
+    before = store.nodes()
+    again = sync(v.spark, store, root, now=F.expr(EPOCH))
+    moved = before.exceptAll(store.nodes()).limit(1).count() + store.nodes().exceptAll(before).limit(1).count()
+    return changes.summary(again.changes).select("documents", "change_type", F.lit(moved == 0).alias("same"))
+
+
+@query("SELECT source || '/' || doc_id || '.md' AS path FROM documents WHERE lang <> 'es' OR lang IS NULL")
+def watch_tree(v: Views) -> DataFrame:
+    """A watched tree: all files arrive, then the Spanish ones go and one file comes; the graph has what is left."""
+    root = _tree(v, F.col("text"), "watch")
+    base = root.removeprefix("file://")
+    store = Store(v.spark, f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}")
+    run = lambda: ingest.watch(v.spark, root, store, f"{root}-state", once=True).awaitTermination()
+    run()
+    fs, _ = file_system(v.spark, root)
+    for r in v.table("documents").where("lang = 'es'").select(doc_path().alias("p")).toLocalIterator():
+        fs.delete(file_system(v.spark, f"{root.removesuffix('/docs')}{r.p}")[1], False)
+    sinks.write_tree(v.spark.createDataFrame([("last.md", "x")], "path string, content string"), root)
+    run()
+    docs = store.nodes().where("label = 'Document'").select(t.relative_path(F.col("name"), base).alias("path"))
+    return docs.where("path != 'last.md'") if docs.where("path = 'last.md'").count() == 1 else docs.limit(0)

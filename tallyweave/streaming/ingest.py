@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyweave.config import SyncOptions
-from tallyweave.operators import mutate
+from tallyweave.operators import lookup, mutate
 from tallyweave.operators.sync import sync
 from tallyweave.schema import NODE_KEY
 from tallyweave.session import kept
@@ -44,8 +44,7 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, ever
     def apply(batch: DataFrame, _: int) -> None:
         came = kept(batch.where("path IS NOT NULL").select("path").distinct(), "arrived")
         here = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root).select(local_path("path").alias("path"))
-        tracked = store.nodes().where("label = 'Document' AND content_hash IS NOT NULL").select(F.col("name").alias("path"))
-        gone = kept(tracked.join(here, "path", "left_anti"), "gone")
+        gone = kept(lookup.document_hashes(store.nodes()).select("path").join(here, "path", "left_anti"), "gone")
         if not (came.isEmpty() and gone.isEmpty()):
             sync(spark, store, root, embed=embed, dim=dim, only=came.unionByName(gone), removed=gone)
 
