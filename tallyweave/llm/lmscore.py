@@ -1,28 +1,26 @@
-"""Stupid-backoff scores of whole documents under bigram counts of the whole corpus, computed as joins of packed tables.
-
-S(w | v) = c(v w) / c(v) where c(v w) >= least_count, else alpha * c(w) / N. A document's first word, and a word after an
-unproven pair, take the second form. Counts cover all words of all documents; nothing is cut off but pairs seen fewer than
-least_count times, which a corpus scored by itself would otherwise always know.
-
-The n-gram tables are partitioned by hash and joined to the exploded n-grams where they lie:
-1. words: (word, count), folded per batch, summed per partition of the word's hash; N is their sum. Words that reach a
-   thousandth of all tokens, or a quarter of a partition, are sent to every task, a million at most (16 MB); so are the
-   pairs of two such words that reach the same count, found in a second scan. No other key fills a partition: it holds
-   less than a quarter of part_tokens, or than a millionth of all tokens where that is more.
-2. pairs: an occurrence of a pair that was sent is scored where it is read. Every other (v, w) goes to the partition of v,
-   or, if v was sent, of (v, w). That partition counts its pairs, and its contexts unless they were sent, and sums
-   log c(v w) - log c(v) per document. Occurrences that fall back go on to the partition of w, unless w was sent.
-3. fallbacks: joined there to the word table, log alpha + log c(w) - log N, summed per document.
-Rows carry packed arrays of one partition each (words are coded by a small table per row), so a token costs a few bytes.
-Sums are whole numbers of 2**-20, so their order doesn't matter.
-
-Words are split at ASCII white space, A-Z lower-cased, named by 64-bit hashes. Null or blank texts: no tokens, null score.
-Repeated rows and ids are scored row by row and all count. An empty table gives no rows.
+"""Stupid-backoff scores of whole documents under trigram counts of the whole corpus, computed as joins of count tables.
+
+S(w | u v) = c(u v w) / c(u v) where c(u v w) >= least_count, else alpha * S(w | v); S(w | v) = c(v w) / c(v) where
+c(v w) >= least_count, else alpha * c(w) / N. A document's first word is scored by c(w) / N and its second by S(w | v): what
+a word has no context for is no fallback. Counts cover all words of all documents; n-grams seen fewer than least_count times
+fall back, which a corpus scored by itself would otherwise always know.
+
+1. Texts are staged in packs of about `pack_tokens` words; long ones go on in the next pack, with two words of context.
+2. A pack's n-grams of all orders are folded to distinct ones with their counts and dealt by hash: the count tables'
+   partitions. An n-gram that every document holds so reaches its partition once a pack, and no key is hot.
+3. A partition sums its n-grams, and answers each pack with the totals of what it sent: the join of the exploded n-grams with
+   the table, in the order they came, so an answer is a number.
+4. A pack meets its answers, scores its words and sums them per document.
+Rows carry packed arrays, so an n-gram costs a few bytes. Sums are whole numbers of 2**-20, so their order doesn't matter.
+
+Words are split at ASCII white space, A-Z lower-cased. N-grams are named by hashes of as many bits as leave an eighth of a
+collision in the whole table (twice the bits of the number of tokens and three more, 64 at most).
+Null or blank texts: no tokens, null score. Repeated rows and ids are scored row by row and all count. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,302 +32,174 @@ from tallyweave.llm import _base
 from tallyweave.llm._text import U, Words, mix, slices
 
 _ONE = 2.0**20
-_GOLD = U(0x9E3779B97F4A7C15)
+_PACK = pa.schema([("docs", pa.binary()), ("text", pa.binary())])
+_STRETCH = 4 << 20  # bytes of one text in a pack
 
 
-def _packed(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+def _squeezed(raw: bytes, level: int = 1) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
-def _unpacked(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
-
-
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
-    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+def _full(b: bytes) -> bytes:
+    n = int.from_bytes(b[:8], "little")
+    return pa.decompress(b[8:], n, codec="zstd", asbytes=True) if n else b""
 
 
 def _planes(a: np.ndarray) -> bytes:
     """Packed with equal bytes of all numbers together: the upper ones repeat."""
-    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+    return _squeezed(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), 8).T).tobytes())
 
 
-def _coded(hashes: np.ndarray) -> tuple[bytes, bytes]:
-    """A sorted table of distinct hashes as steps (six bytes as they are, the upper two packed), and the codes of all."""
-    table, code = np.unique(hashes, return_inverse=True)
-    steps = np.diff(table, prepend=U(0)).view(np.uint8).reshape(len(table), 8)
-    return np.ascontiguousarray(steps[:, :6]).tobytes() + zlib.compress(np.ascontiguousarray(steps[:, 6:].T).tobytes(), 1) + len(table).to_bytes(8, "little"), _planes(code.astype(np.uint16 if len(table) < 65536 else np.uint32))
+def _numbers(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_full(b), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _decoded(table: bytes, codes: bytes) -> np.ndarray:
-    n = int.from_bytes(table[-8:], "little")
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(table, np.uint8, 6 * n).reshape(n, 6)
-    steps[:, 6:] = np.frombuffer(zlib.decompress(table[6 * n : -8]), np.uint8).reshape(2, n).T
-    hashes = np.cumsum(steps.view(U).ravel(), dtype=U)
-    raw = np.frombuffer(zlib.decompress(codes), np.uint8)
-    width = 2 if n < 65536 else 4
-    code = np.ascontiguousarray(raw.reshape(width, -1).T).view(np.uint16 if width == 2 else np.uint32).ravel()
-    return hashes[code]
+def _packs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """docs: row ids and how many first words of each stretch are context only; text: stretches, one a line."""
+    texts, ids, held = [], [], 0
 
+    def pack() -> pa.RecordBatch:
+        table = np.array(ids, np.int64).ravel()
+        return pa.RecordBatch.from_pydict({"docs": [_squeezed(table.tobytes())], "text": [_squeezed(b"\n".join(texts), 9)]}, schema=_PACK)
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row ids, hashes, which words begin a document) of about `most` words each, whole documents at a time."""
-    held, n = [], 0
     for batch in batches:
         for part in slices(batch, "text"):
-            words = Words(part.column(1), lower=True)
-            begin = np.zeros(len(words.hash), bool)
-            begin[words.first[:-1][words.first[:-1] < words.first[1:]]] = True
-            held.append((part.column(0).to_numpy()[words.row], words.hash, begin))
-            n += len(words.hash)
-            if n >= most:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, n = [], 0
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch], parts: int, most: int) -> Iterator[pa.RecordBatch]:
-    for _, hashes, _ in _batches(batches, most):
-        word, count = np.unique(hashes, return_counts=True)
-        part = (mix(word ^ _GOLD) % U(parts)).astype(np.int32)
-        by = np.argsort(part, kind="stable")
-        rows: list[list] = [[], [], []]
-        for a, b in _runs(part[by]):
-            rows[0].append(int(part[by[a]])), rows[1].append(word[by[a:b]].tobytes()), rows[2].append(_packed(count[by[a:b]].astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["part", "words", "counts"])
-
-
-def _summed(t: pa.Table) -> pa.Table:
-    words = np.concatenate([np.frombuffer(x, U) for x in t.column("words").to_pylist()])
-    counts = np.concatenate([_unpacked(x, np.int64) for x in t.column("counts").to_pylist()])
-    word, inverse = np.unique(words, return_inverse=True)
-    total = np.zeros(len(word), np.int64)
-    np.add.at(total, inverse, counts)
-    return pa.table({"part": t.column("part").slice(0, 1), "words": [word.tobytes()], "counts": [total.tobytes()], "tokens": pa.array([int(total.sum())], pa.int64())})
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+            for rid, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                words = b" ".join((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())  # both know ASCII only
+                at, head, context = 0, 0, 0  # where words to score begin, where those of their context do, and how many these are
+                while at < len(words):
+                    end = words.find(b" ", at + _STRETCH)
+                    end = len(words) if end < 0 else end
+                    texts.append(words[head:end]), ids.append((rid, context))
+                    held += end - head
+                    if held >= 6 * most:
+                        yield pack()
+                        texts, ids, held = [], [], 0
+                    last = words.rfind(b" ", 0, end)
+                    head, context = (words.rfind(b" ", 0, last) + 1, 2) if last >= 0 else (0, 1)
+                    at = end + 1
+    if texts:
+        yield pack()
+
+
+class Grams:
+    """The n-grams of a pack: keys (distinct, sorted), at (per order, each word's n-gram that ends there, or -1), own (which
+    words are scored), row (each word's stretch)."""
+
+    def __init__(self, text: bytes, context: np.ndarray, bits: int):
+        hashes, rows, base = [], [], 0
+        raw = _full(text)
+        lines = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1, [len(raw) + 1]])
+        at = 0
+        while at < len(lines) - 1:  # about a megabyte at a time
+            end = max(at + 1, int(np.searchsorted(lines, lines[at] + (1 << 20), side="right")) - 1)
+            a, b = int(lines[at]), min(int(lines[end]), len(raw))
+            words = Words(raw=(np.frombuffer(raw, np.uint8, b - a, a), np.minimum(lines[at : end + 1] - a, b - a)))
+            hashes.append(words.hash), rows.append(words.row + base)
+            base += end - at
+            at = end
+        h, self.row = np.concatenate(hashes), np.concatenate(rows)
+        first = np.searchsorted(self.row, np.arange(base))
+        place = np.arange(len(h)) - first[self.row]
+        self.own = place >= context[self.row]
+        keys, ends, out = [], [], h
+        for order in (1, 2, 3):
+            if order > 1:
+                out = mix(out[:-1] * U(0xD6E8FEB86659FD93) + h[order - 1 :])
+            end = np.arange(order - 1, len(h))
+            ok = np.flatnonzero(place[order - 1 :] >= order - 1)
+            keys.append(mix(out[ok] + U(order)) >> U(64 - bits))
+            ends.append(end[ok])
+        self.keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        self.at, used = [], 0
+        for e in ends:
+            where = np.full(len(h), -1, np.int32)
+            where[e] = inverse[used : used + len(e)]
+            self.at.append(where)
+            used += len(e)
+
+    def counts(self) -> np.ndarray:
+        out = np.zeros(len(self.keys), np.int64)
+        for where in self.at:
+            out += np.bincount(where[self.own & (where >= 0)], minlength=len(out))
+        return out
+
+    def cuts(self, parts: int, bits: int) -> np.ndarray:
+        """Where each partition's keys begin; partitions are ranges of keys."""
+        bounds = np.array([(k << bits) // parts for k in range(1, parts)], U)
+        return np.concatenate([[0], np.searchsorted(self.keys, bounds), [len(self.keys)]])
+
+
+def _table(docs: bytes) -> np.ndarray:
+    return np.frombuffer(_full(docs), np.int64).reshape(-1, 2)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            w, c = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w[c >= least]), pa.array(c[c >= least])], names=["word", "count"])
-
-
-def _both_frequent(batches: Iterator[pa.RecordBatch], hot: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of frequent words, each pair as one number."""
-    for _, w, begin in _batches(batches, most):
-        at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-        ok = hot[at] == w
-        code, count = np.unique((at[:-1] * len(hot) + at[1:])[ok[:-1] & ok[1:] & ~begin[1:]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(count.astype(np.int64))], names=["code", "count"])
-
-
-_NONE, _END = U(0), U(1)  # what stands before a document's first word, and after its last
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], sent: Sent, parts: int, homes: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Occurrences (document, v, w) by partition, and the sums of those that were scored here (rows without a table)."""
-    for ids, w, begin in _batches(batches, most):
-        v = np.concatenate([[_NONE], w[:-1]])
-        v[begin] = _NONE
-        count, context = sent.pairs(v, w)
-        here = count > 0
-        value = np.rint((np.log(count[here]) - np.log(context[here])) * _ONE).astype(np.int64)
-        rows: list[list] = [[] for _ in range(6)]
-        for home, who, total, fell in _sums(ids[here], value, np.zeros(len(value), np.int64), homes):
-            for col, x in zip(rows, (home, who, total, None, fell, None), strict=True):
-                col.append(x)
-        last = np.append(begin[1:], True) & ~sent.has(w)  # so that rare words are counted there as contexts
-        ids, v, w = np.concatenate([ids[~here], ids[last]]), np.concatenate([v[~here], w[last]]), np.concatenate([w[~here], np.full(last.sum(), _END)])
-        apart = (v == _NONE) | sent.has(v)
-        part = (np.where(apart, mix(v * U(3) ^ mix(w)), mix(v ^ _GOLD)) % U(parts)).astype(np.int32)
-        by = np.lexsort((ids, part))
-        ids, v, w, part = ids[by], v[by], w[by], part[by]
-        for a, b in _runs(part):
-            who, steps = _listed(ids[a:b])
-            (tv, cv), (tw, cw) = _coded(v[a:b]), _coded(w[a:b])
-            for col, x in zip(rows, (int(part[a]), who, steps, len(tv).to_bytes(8, "little") + tv + tw, cv, cw), strict=True):
-                col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "docs", "rows", "table", "v", "w"])
-
-
-def _listed(ids: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted ids as a table and steps through it."""
-    doc, inverse = np.unique(ids, return_inverse=True)
-    return _packed(np.diff(doc, prepend=0)), _packed(np.diff(inverse, prepend=0).astype(np.uint16 if len(doc) < 65536 else np.uint32))
-
-
-class Sent:
-    """Frequent words and pairs with their counts, sorted."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, codes: np.ndarray, pair_counts: np.ndarray):
-        self.words, self.counts, self.codes, self.pair_counts = words, counts, codes, pair_counts
-
-    def _at(self, table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return at, table[at] == x
-
-    def has(self, w: np.ndarray) -> np.ndarray:
-        return self._at(self.words, w)[1]
-
-    def count(self, w: np.ndarray) -> np.ndarray:
-        """c(w), 0 if it wasn't sent."""
-        at, ok = self._at(self.words, w)
-        return np.where(ok, self.counts[at], 0) if len(self.counts) else at
-
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """c(v w), 0 if it wasn't sent, and c(v)."""
-        (i, ok), (j, also) = self._at(self.words, v), self._at(self.words, w)
-        at, known = self._at(self.codes, i * len(self.words) + j)
-        count = np.where(known & ok & also, self.pair_counts[at], 0) if len(self.codes) else np.zeros(len(v), np.int64)
-        return count, np.where(ok, self.counts[i], 0) if len(self.counts) else i
-
-
-def _documents(docs: bytes, rows: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(rows)
-    at = np.cumsum(np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32), dtype=np.int64)
-    return np.cumsum(_unpacked(docs, np.int64))[at]
-
-
-def _sums(doc: np.ndarray, value: np.ndarray, back: np.ndarray, homes: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Per home: documents, their sums and how many of their words fell back."""
-    who, inverse = np.unique(doc, return_inverse=True)
-    total, fell = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
-    np.add.at(total, inverse, value)
-    np.add.at(fell, inverse, back)
-    home = (mix(who.view(U)) % U(homes)).astype(np.int32)
-    by = np.argsort(home, kind="stable")
-    for a, b in _runs(home[by]):
-        at = by[a:b]
-        yield int(home[at[0]]), _packed(np.diff(who[at], prepend=0)), _planes(total[at]), _planes(fell[at])
-
-
-def _scored(t: pa.Table, sent: Sent, tokens: int, alpha: float, least: int, parts: int, homes: int) -> pa.Table:
-    """One partition of pairs. Out: sums by home (kind 0) and fallbacks by the partition of w (kind 1)."""
-    docs, vs, ws = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]
-    out: list[list] = [[] for _ in range(6)]
-
-    def put(*row) -> None:
-        for col, x in zip(out, row, strict=True):
-            col.append(x)
-
-    for part, d, r, table, cv, cw in zip(*(c.to_pylist() for c in t.columns), strict=True):
-        if table is None:
-            put(0, part, d, r, cv, None)
-            continue
-        cut = 8 + int.from_bytes(table[:8], "little")
-        vs.append(_decoded(table[8:cut], cv))
-        ws.append(_decoded(table[cut:], cw))
-        docs.append(_documents(d, r, len(vs[-1])))
-    doc, v, w = (np.concatenate(x) for x in (docs, vs, ws))
-    if len(doc):
-        by = np.lexsort((w, v))
-        doc, v, w = doc[by], v[by], w[by]
-        new_v = np.concatenate([[True], v[1:] != v[:-1]])
-        new = new_v | np.concatenate([[True], w[1:] != w[:-1]])
-        size = lambda first: np.diff(np.append(np.flatnonzero(first), len(v)))[np.cumsum(first) - 1]
-        pair, context = size(new), sent.count(v)
-        context = np.where(context > 0, context, size(new_v))
-        word = w != _END
-        proven = word & (pair >= least) & (v != _NONE)
-        value = np.zeros(len(v), np.int64)
-        value[proven] = np.rint((np.log(pair[proven]) - np.log(context[proven])) * _ONE).astype(np.int64)
-        alone = sent.count(w)
-        here = word & ~proven & (alone > 0)
-        value[here] = _fallback(alone[here], tokens, alpha)
-        done = proven | here
-        for home, who, total, fell in _sums(doc[done], value[done], here[done].astype(np.int64), homes):
-            put(0, home, who, total, fell, None)
-        onward = word & ~done
-        doc, w = doc[onward], w[onward]
-        part = (mix(w ^ _GOLD) % U(parts)).astype(np.int32)
-        by = np.lexsort((doc, part))
-        for a, b in _runs(part[by]):
-            who, steps = _listed(doc[by[a:b]])
-            table, code = _coded(w[by[a:b]])
-            put(1, int(part[by[a]]), who, steps, code, table)
-    return pa.table({"kind": pa.array(out[0], pa.int32()), "home": pa.array(out[1], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("a", "b", "c", "d"), out[2:], strict=True)}})
-
-
-def _fallback(count: np.ndarray, tokens: int, alpha: float) -> np.ndarray:
-    return np.rint((np.log(alpha) + np.log(count) - np.log(tokens)) * _ONE).astype(np.int64)
-
-
-def _fallen(left: pa.Table, right: pa.Table, tokens: int, alpha: float, homes: int) -> pa.Table:
-    """One partition of fallbacks with its words' counts; sums whose home it is pass through."""
-    out: list[list] = [[] for _ in range(4)]
-    docs, values, words = [], [], None
-    for kind, home, a, b, code, table in zip(*(left.column(n).to_pylist() for n in ("kind", "home", "a", "b", "c", "d")), strict=True):
-        if kind == 0:
-            for col, x in zip(out, (home, a, b, code), strict=True):
-                col.append(x)
-            continue
-        if words is None:
-            words = np.concatenate([np.frombuffer(x, U) for x in right.column("words").to_pylist()])
-            counts = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("counts").to_pylist()])
-        w = _decoded(table, code)
-        docs.append(_documents(a, b, len(w)))
-        values.append(_fallback(counts[np.searchsorted(words, w)], tokens, alpha))
-    if docs:
-        value = np.concatenate(values)
-        for row in _sums(np.concatenate(docs), value, np.ones(len(value), np.int64), homes):
-            for col, x in zip(out, row, strict=True):
-                col.append(x)
-    return pa.table({"home": pa.array(out[0], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip("abc", out[1:], strict=True)}})
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
-def _totals(t: pa.Table) -> pa.Table:
-    who = np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in t.column("a").to_pylist()])
-    total, fell = (np.concatenate([_numbers(x) for x in t.column(c).to_pylist()]) for c in "bc")
-    doc, inverse = np.unique(who, return_inverse=True)
-    sums = [np.zeros(len(doc), np.int64) for _ in range(2)]
-    np.add.at(sums[0], inverse, total)
-    np.add.at(sums[1], inverse, fell)
-    return pa.table({"rid": doc, "total": sums[0], "fallbacks": sums[1]})
-
-
-def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, part_tokens: int = 1_400_000) -> DataFrame:
-    """Per document row: doc_id, n_tokens, n_fallbacks, log_score (sum of natural logs, null without tokens).
-
-    part_tokens: about how many occurrences a partition and a batch hold; it sets memory, not results.
+        for pack, docs, text in zip(*batch.columns, strict=True):
+            grams = Grams(text.as_py(), _table(docs.as_py())[:, 1], bits)
+            counts, cut = grams.counts(), grams.cuts(parts, bits)
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            keys = [_planes(np.diff(grams.keys[cut[p] : cut[p + 1]], prepend=U(0))) for p in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), pack.as_py(), np.int64)), pa.array(keys, pa.binary()), pa.array([_planes(counts[cut[p] : cut[p + 1]]) for p in full], pa.binary())], names=["part", "pack", "keys", "counts"])
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """One partition: the totals of every pack's n-grams, in the order they were sent."""
+    keys = [np.cumsum(_numbers(k.as_py(), np.uint64), dtype=U) for k in t.column("keys")]
+    counts = np.concatenate([_numbers(c.as_py(), np.int64) for c in t.column("counts")])
+    sizes = np.cumsum([len(k) for k in keys])
+    table, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(table), np.int64)
+    np.add.at(total, inverse, counts)
+    answers = [_planes(total[i]) for i in np.split(inverse, sizes[:-1])]
+    return pa.table({"pack": t.column("pack"), "part": t.column("part"), "totals": pa.array(answers, pa.binary())})
+
+
+def _scored(pack: pa.Table, answers: pa.Table, tokens: int, alpha: float, least: int, bits: int) -> pa.Table:
+    """One pack and its answers: sums and fallbacks per document."""
+    docs = _table(pack.column("docs")[0].as_py())
+    grams = Grams(pack.column("text")[0].as_py(), docs[:, 1], bits)
+    order = np.argsort(answers.column("part").to_numpy())
+    total = np.concatenate([_numbers(answers.column("totals")[int(k)].as_py(), np.int64) for k in order])
+    c1, c2, c3 = (np.where(where >= 0, total[where], 0) for where in grams.at)
+    before = np.concatenate([[0], np.arange(len(c1) - 1)])
+    lead1, lead2 = c1[before], c2[before]  # c(v) and c(u v)
+    ln = lambda x: np.log(np.maximum(x, 1))
+    one = ln(c1) - np.log(tokens)
+    two = np.where(c2 >= least, ln(c2) - ln(lead1), np.log(alpha) + one)
+    two = np.where(grams.at[1] >= 0, two, one)
+    three = np.where(c3 >= least, ln(c3) - ln(lead2), np.log(alpha) + two)
+    value = np.rint(np.where(grams.at[2] >= 0, three, two) * _ONE).astype(np.int64)
+    fell = np.where(grams.at[2] >= 0, c3 < least, (grams.at[1] >= 0) & (c2 < least))
+    rid, inverse = np.unique(docs[:, 0], return_inverse=True)
+    who = inverse[grams.row[grams.own]]
+    sums, back = np.zeros(len(rid), np.int64), np.zeros(len(rid), np.int64)
+    np.add.at(sums, who, value[grams.own])
+    np.add.at(back, who, fell[grams.own].astype(np.int64))
+    return pa.table({"rid": rid, "total": sums, "fallbacks": back})
+
+
+def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, pack_tokens: int = 2_400_000, part_grams: int = 3_000_000) -> DataFrame:
+    """Per document row: doc_id, n_tokens, n_fallbacks (words scored below the order their context allows), log_score (sum of
+    natural logs, null without tokens).
+
+    pack_tokens, part_grams: about how many words a pack and how many sent n-grams a partition hold; they set memory, not results.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    # whole-number ids that are there once name their rows (near ids pack well); else a hash of id and text does
-    rows = _base.staged(own.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), count.alias("n_tokens")), "rows")
     rid = F.xxhash64("doc_id", "text").alias("rid")
-    if own.schema["doc_id"].dataType.typeName() in ("integer", "long") and rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        rid = F.col("doc_id").cast("long").alias("rid")
-        rows = rows.select("doc_id", rid, "n_tokens")
+    rows = _base.staged(own.select("doc_id", rid, count.alias("n_tokens")), "rows")
     tokens = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    parts = max(48, int(tokens / part_tokens) + 1)
-    homes = parts
-    texts = own.select(rid, "text").where("length(text) > 0")
-    vocab = texts.mapInArrow(lambda it: _word_counts(it, parts, part_tokens), "part int, words binary, counts binary").groupBy("part").applyInArrow(_summed, "part int, words binary, counts binary, tokens bigint")
-    vocab = _base.staged(vocab, "words")
-    total = vocab.agg(F.sum("tokens").alias("n")).first().n or 0
-    share = max(1, min(-(-total // 1000), max(part_tokens // 4, -(-total // 1_000_000))))
-    top = vocab.mapInArrow(lambda it: _frequent(it, share), "word bigint, count bigint").collect()  # a million rows at most
-    top = sorted((r.word % 2**64, r["count"]) for r in top)
-    words, counts = np.array([x for x, _ in top], U), np.array([x for _, x in top], np.int64)
-    twos = []
-    if len(words):
-        found = texts.mapInArrow(lambda it: _both_frequent(it, words, part_tokens), "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("n"))
-        twos = sorted((r.code, r.n) for r in found.where(F.col("n") >= max(share, least_count)).collect())  # a million rows at most
-    sent = Sent(words, counts, np.array([x for x, _ in twos], np.int64), np.array([x for _, x in twos], np.int64))
-    pairs = texts.mapInArrow(lambda it: _pairs(it, sent, parts, homes, part_tokens), "part int, docs binary, rows binary, table binary, v binary, w binary")
-    scored = pairs.groupBy("part").applyInArrow(lambda t: _scored(t, sent, total, alpha, least_count, parts, homes), "kind int, home int, a binary, b binary, c binary, d binary")
-    summed = scored.groupBy("home").cogroup(vocab.groupBy("part")).applyInArrow(lambda a, b: _fallen(a, b, total, alpha, homes), "home int, a binary, b binary, c binary")
-    sums = summed.groupBy("home").applyInArrow(lambda t: _totals(t.drop_columns("home")), "rid bigint, total bigint, fallbacks bigint")
+    parts = max(16, int(tokens * 1.7 / part_grams) + 1)
+    bits = min(64, 2 * max(tokens, 2).bit_length() + 3)
+    packed = own.where("length(text) > 0").select(rid, "text").mapInArrow(lambda it: _packs(it, pack_tokens), "docs binary, text binary")
+    packed = _base.staged(packed.select(F.monotonically_increasing_id().alias("pack"), "docs", "text"), "packs")
+    sent = packed.mapInArrow(lambda it: _dealt(it, parts, bits), "part int, pack bigint, keys binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(_answered, "pack bigint, part int, totals binary")
+    sums = packed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(lambda a, b: _scored(a, b, tokens, alpha, least_count, bits), "rid bigint, total bigint, fallbacks bigint")
+    sums = sums.groupBy("rid").agg(F.sum("total").alias("total"), F.sum("fallbacks").alias("fallbacks"))
     # rows with equal ids and texts were summed together: each has its equal share
     shares = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("m")).join(sums, "rid")
     out = rows.join(shares, "rid", "left")
@@ -345,12 +215,15 @@ def op7_lmscore(spark, sf_dir: str) -> DataFrame:
 #: DuckDB SQL for the same rows; logs in whole numbers of 2**-20, as they are summed.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-two AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+two AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2),
 n AS (SELECT count(*) AS n FROM t),
-s AS (SELECT t.doc_id, two.c IS NULL AS fell, CASE WHEN two.c IS NULL THEN round_even((ln(0.4::DOUBLE) + ln(x.c) - ln(n.n)) * 1048576, 0) ELSE round_even((ln(two.c) - ln(y.c)) * 1048576, 0) END AS z
-  FROM t JOIN one x ON t.w = x.w LEFT JOIN two ON t.v = two.v AND t.w = two.w LEFT JOIN one y ON t.v = y.w, n),
+c AS (SELECT t.doc_id, t.u, t.v, coalesce(three.c, 0) AS c3, lead2.c AS cuv, coalesce(two.c, 0) AS c2, lead1.c AS cv, one.c AS c1
+  FROM t JOIN one ON t.w = one.w LEFT JOIN two ON t.v = two.v AND t.w = two.w LEFT JOIN one lead1 ON t.v = lead1.w LEFT JOIN two lead2 ON t.u = lead2.v AND t.v = lead2.w LEFT JOIN three ON t.u = three.u AND t.v = three.v AND t.w = three.w),
+s AS (SELECT doc_id, CASE WHEN u IS NOT NULL THEN c3 < 2 WHEN v IS NOT NULL THEN c2 < 2 ELSE false END AS fell,
+  round_even((CASE WHEN u IS NOT NULL AND c3 >= 2 THEN ln(c3) - ln(cuv) ELSE CASE WHEN u IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END + CASE WHEN v IS NOT NULL AND c2 >= 2 THEN ln(c2) - ln(cv) ELSE CASE WHEN v IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END + (ln(c1) - ln(n.n)) END END) * 1048576, 0) AS z FROM c, n),
 g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE fell) AS n_fallbacks, sum(z::BIGINT)::DOUBLE / 1048576 AS z FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_fallbacks, 0)::BIGINT AS n_fallbacks, round(z, 4) AS log_score, round(z / n_tokens, 6) AS mean_log FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """

@@ -494,32 +494,56 @@ def test_original_offsets(spark):
 # ------------------------------------------------------------------ 7 language model
 
 
-def check_scores(docs, rows, part):
+def check_scores(docs, rows, **sizes):
     toks = [words(t, True) for _, t, *_ in rows]
-    one = collections.Counter(w for ws in toks for w in ws)
-    two = collections.Counter(p for ws in toks for p in itertools.pairwise(ws))
-    total = sum(one.values())
+    c = collections.Counter(tuple(ws[k : k + n]) for ws in toks for n in (1, 2, 3) for k in range(len(ws) - n + 1))
+    total = sum(map(len, toks))
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(c[gram] / total)
+        return math.log(c[gram] / c[gram[:-1]]) if c[gram] >= 2 else math.log(0.4) + score(gram[1:])
+
     want = []
     for (i, *_), ws in zip(rows, toks, strict=True):
-        back, s = 0, 0.0
-        for k, w in enumerate(ws):
-            if k and two[ws[k - 1], w] >= 2:
-                s += math.log(two[ws[k - 1], w] / one[ws[k - 1]])
-            else:
-                s, back = s + math.log(0.4 * one[w] / total), back + 1
-        want.append((i, len(ws), back, s if ws else None))
-    got = [(r.doc_id, r.n_tokens, r.n_fallbacks, r.log_score) for r in lmscore.scores(docs, part_tokens=part).collect()]
+        grams = [tuple(ws[max(0, k - 2) : k + 1]) for k in range(len(ws))]
+        want.append((i, len(ws), sum(len(g) > 1 and c[g] < 2 for g in grams), sum(map(score, grams)) if ws else None))
+    got = [(r.doc_id, r.n_tokens, r.n_fallbacks, r.log_score) for r in lmscore.scores(docs, **sizes).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3] or 0)
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert a[:3] == b[:3] and (a[3] is b[3] or abs(a[3] - b[3]) <= 1e-5 * max(1, a[1]))
 
 
-@pytest.mark.parametrize("part", [2_000_000, 40])
-def test_scores(docs, rows, part):
-    check_scores(docs, rows, part)
+@pytest.mark.parametrize("sizes", [{}, {"pack_tokens": 40, "part_grams": 300}], ids=["whole", "small"])
+def test_scores(docs, rows, sizes):
+    check_scores(docs, rows, **sizes)
     assert lmscore.scores(docs.limit(0)).count() == 0
 
 
+def test_packs_go_on_within_a_text(docs, rows, monkeypatch):
+    """Long texts are cut into stretches with two words of context: every n-gram is counted and scored once."""
+    import pyarrow as pa
+
+    r = random.Random(41)
+    monkeypatch.setattr(lmscore, "_STRETCH", 60)
+    texts = ["a b c", "x" * 200, "y" * 70 + " z", prose(r, 400), "k " + "x" * 300 + " l m n " + "o" * 59 + " p q", "", None, " ".join("ab" for _ in range(100))]
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(len(texts))), "text": texts})
+    for most in (1, 5, 1000):
+        seen = collections.defaultdict(list)
+        for out in lmscore._packs(iter([batch]), most):
+            for docs_, text in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                table = lmscore._table(docs_)
+                grams = lmscore.Grams(text, table[:, 1], 64)
+                lines = lmscore._full(text).decode().split("\n")
+                assert len(lines) == len(table) and grams.counts().sum() == sum(int((grams.own & (x >= 0)).sum()) for x in grams.at)
+                for (rid, skip), line in zip(table.tolist(), lines, strict=True):
+                    w = line.split(" ")
+                    seen[rid] += [tuple(w[max(0, k - 2) : k + 1]) for k in range(skip, len(w))]
+        for rid, t in enumerate(texts):
+            w = words(t)
+            assert seen[rid] == [tuple(w[max(0, k - 2) : k + 1]) for k in range(len(w))], rid
+
+
 # ------------------------------------------------------------------ 8 quality
 
 
@@ -674,7 +698,7 @@ def test_words_that_differ_are_never_taken_as_equal(docs, n):
     assert bag((r.doc_id, r.n_words, sum(s.end - s.start for s in r.repeats), r.kept) for r in got) == bag(without(made, 13))
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(of(docs, made), percent=85).collect()}
     assert got == components(made, 85) and got[0] != got[1]
-    check_scores(of(docs, made), made, 2_000_000)
+    check_scores(of(docs, made), made)
 
 
 def test_nodes_are_confirmed_on_their_words():
