@@ -41,6 +41,11 @@ class Result:
 NAMED_FILES = 10_000
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A scan of many small files in a few tasks a core, so that what is written of it isn't as many files again."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """path, content of the wanted paths: only these files are read, unless they are very many."""
     paths = [r.path for r in wanted.select("path").limit(NAMED_FILES + 1).collect()]
@@ -75,7 +80,7 @@ def sync(
     now = F.coalesce(now, F.localtimestamp())
     if removed is not None and only is not None:
         only = only.select("path").unionByName(removed.select("path")).distinct()  # one that is still there is looked at like the others
-    hashed = store.staged(_present(spark, root, only).select("path", t.content_hash(F.col("content")).alias("content_hash")))
+    hashed = store.staged(_few(_present(spark, root, only)).select("path", t.content_hash(F.col("content")).alias("content_hash")))
     nodes, edges = store.nodes(), store.relationships()
     tracked = lookup.document_hashes(nodes)
     found = changes.detect(hashed, tracked, only=only, force=force)
@@ -83,7 +88,7 @@ def sync(
         lost = removed.select("path").distinct().join(tracked.select("path"), "path", "left_semi").join(hashed.select("path"), "path", "left_anti")
         found = found.join(lost, "path", "left_anti").unionByName(changes.reasoned(lost.withColumn("change_type", F.lit("deleted"))))
     found = store.staged(found)
-    parsed = store.staged(markdown.parsed(_contents(spark, root, found.where("change_type IN ('new', 'updated')"))))
+    parsed = store.staged(markdown.parsed(_few(_contents(spark, root, found.where("change_type IN ('new', 'updated')")))))
     broken = markdown.errors(parsed)
     # a file that can't be read counts as new, whatever was stored of it
     found = store.staged(changes.reasoned(found.join(broken.select("path", F.lit(True).alias("__bad")), "path", "left").select("path", F.when(F.col("__bad"), "new").otherwise(F.col("change_type")).alias("change_type"))))
@@ -130,7 +135,7 @@ def sync(
 def sync_in_parts(spark: SparkSession, store: Store, root: str, documents: int = 100_000, **options) -> list[Result]:
     """A large sync as commits of about `documents` changed files each: what is committed is not done again after a failure.
     The last part also removes what is gone."""
-    hashed = store.staged(markdown.scan(spark, root).select("path", t.content_hash(F.col("content")).alias("content_hash")))
+    hashed = store.staged(_few(markdown.scan(spark, root)).select("path", t.content_hash(F.col("content")).alias("content_hash")))
     tracked = lookup.document_hashes(store.nodes())
     todo = store.staged(changes.detect(hashed, tracked).where("change_type IN ('new', 'updated')").select("path"))
     parts = -(-todo.count() // documents)
