@@ -827,11 +827,11 @@ def header_faults(v: Views) -> DataFrame:
     return markdown.front_problems(markdown.parsed(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))))
 
 
-@query("SELECT doc_id::VARCHAR AS path, ['Notes', 'code-' || source, lang || ' page'] AS names, ['Topic', 'Technology', 'Concept'] AS types, 3::BIGINT AS refs, 'About ' || source AS summary, true AS success FROM documents")
+@query("SELECT doc_id::VARCHAR AS path, array_to_string(['Notes', 'code-' || source, lang || ' page'], ',') AS names, 'Topic,Technology,Concept' AS types, 3::BIGINT AS refs, 'About ' || source AS summary, true AS success FROM documents")
 def rule_extraction(v: Views) -> DataFrame:
     content = F.concat(F.lit("# T\n\nAbout "), "source", F.lit("\n\n## Notes\n`code-"), "source", F.lit("` and [["), "lang", F.lit(" page]] and [["), "lang", F.lit(" page|again]]\n"))
     got = extraction.rule_based(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
-    return got.select("path", F.col("entities.name").alias("names"), F.col("entities.type").alias("types"), F.size("relationships").cast("long").alias("refs"), "summary", "success")
+    return got.select("path", F.array_join("entities.name", ",").alias("names"), F.array_join("entities.type", ",").alias("types"), F.size("relationships").cast("long").alias("refs"), "summary", "success")
 
 
 @query("SELECT doc_id::VARCHAR AS path, CASE WHEN lang = 'de' THEN sha256('x') ELSE sha256(text) END AS content_hash, CASE WHEN lang = 'de' THEN 2 ELSE 1 END::INT AS entity_count FROM documents WHERE lang <> 'fr' OR lang IS NULL")
@@ -928,11 +928,11 @@ def knn_lsh_recall(v: Views) -> DataFrame:
 # ---------------------------------------------------------------- other joins, groupings, streams
 
 
-@query("SELECT p.event_id, p.user_id, c.event_id AS last_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') c ON p.user_id = c.user_id AND p.ts >= c.ts")
+@query("SELECT p.event_id, p.user_id, coalesce(c.event_id, -1) AS last_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 def as_of_join(v: Views) -> DataFrame:
     """Each purchase with the user's last other event before it."""
     e = v.table("events")
-    return joins.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type != 'purchase'"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", "last_event_id")
+    return joins.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type != 'purchase'"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", F.coalesce("last_event_id", F.lit(-1)).alias("last_event_id"))
 
 
 @query("SELECT s_suppkey, count(*)::BIGINT AS parts FROM supplier JOIN part ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 50 GROUP BY s_suppkey")
