@@ -42,8 +42,8 @@ _CLAIM = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.b
 _REPEAT = pa.schema([("home", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
-def _squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _squeezed(raw: bytes, level: int = 1) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _full(b: bytes) -> bytes:
@@ -223,7 +223,7 @@ def _claims(batches: Iterator[pa.RecordBatch], window: int, parts: int, most: in
             rows["docs"].append(_packed(np.concatenate([[len(tables[0][0])], ids[who], keys[who]]).astype(np.int64)))
             rows["counts"].append(_packed(np.concatenate([t[1] for t in tables]).astype(np.uint32)))
             rows["places"].append(_packed(np.concatenate([t[2] for t in tables])))
-            rows["text"].append(_squeezed(text))
+            rows["text"].append(_squeezed(text, 5))
         yield pa.RecordBatch.from_pydict(rows, schema=_CLAIM)
 
 
@@ -294,7 +294,7 @@ def _by_document(found: pa.Table, window: int) -> pa.Table:
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_squeezed((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in part.column(2)], pa.binary())], names=["doc_id", "tkey", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_squeezed((x.as_py() or "").encode("utf-8", "surrogatepass"), 5) for x in part.column(2)], pa.binary())], names=["doc_id", "tkey", "z"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
