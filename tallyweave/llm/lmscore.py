@@ -13,8 +13,8 @@ fall back, which a corpus scored by itself would otherwise always know.
 4. A pack meets its answers, scores its words and sums them per document.
 Rows carry packed arrays, so an n-gram costs a few bytes. Sums are whole numbers of 2**-20, so their order doesn't matter.
 
-Words are split at ASCII white space, A-Z lower-cased. N-grams are named by hashes of as many bits as leave an eighth of a
-collision in the whole table (twice the bits of the number of tokens and three more, 64 at most).
+Words are split at ASCII white space, A-Z lower-cased. N-grams are named by hashes of as many bits as leave less than one
+expected collision in the whole table (twice the bits of the number of tokens and one more, 64 at most).
 Null or blank texts: no tokens, null score. Repeated rows and ids are scored row by row and all count. An empty table gives
 no rows.
 """
@@ -60,7 +60,7 @@ def _packs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
     def pack() -> pa.RecordBatch:
         table = np.array(ids, np.int64).ravel()
-        return pa.RecordBatch.from_pydict({"docs": [_squeezed(table.tobytes())], "text": [_squeezed(b"\n".join(texts), 9)]}, schema=_PACK)
+        return pa.RecordBatch.from_pydict({"docs": [_squeezed(table.tobytes())], "text": [_squeezed(b"\n".join(texts), 12)]}, schema=_PACK)
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -83,8 +83,8 @@ def _packs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 
 class Grams:
-    """The n-grams of a pack: per order keys (distinct, sorted) and at (each word's n-gram that ends there, or -1); own (which
-    words are scored), row (each word's stretch). Orders are sorted one after the other, to hold less at once."""
+    """The n-grams of a pack: keys (distinct, sorted, all orders), at (per order, each word's n-gram that ends there, or -1),
+    own (which words are scored), row (each word's stretch). Orders are folded one after the other, to hold less at once."""
 
     def __init__(self, text: bytes, context: np.ndarray, bits: int):
         hashes, rows, base = [], [], 0
@@ -102,23 +102,29 @@ class Grams:
         first = np.searchsorted(self.row, np.arange(base))
         place = np.arange(len(h)) - first[self.row]
         self.own = place >= context[self.row]
-        self.keys, self.at, out = [], [], h
+        tables, self.at, out = [], [], h
         for order in (1, 2, 3):
             if order > 1:
                 out = mix(out[:-1] * U(0xD6E8FEB86659FD93) + h[order - 1 :])
             ok = np.flatnonzero(place[order - 1 :] >= order - 1)
             table, inverse = np.unique(mix(out[ok] + U(order)) >> U(64 - bits), return_inverse=True)
             where = np.full(len(h), -1, np.int32)
-            where[ok + order - 1] = inverse
-            self.keys.append(table), self.at.append(where)
-
-    def counts(self) -> list[np.ndarray]:
-        return [np.bincount(where[self.own & (where >= 0)], minlength=len(table)) for table, where in zip(self.keys, self.at, strict=True)]
-
-    def cuts(self, parts: int, bits: int) -> list[np.ndarray]:
-        """Per order, where each partition's keys begin; partitions are ranges of keys."""
+            where[ok + order - 1] = inverse + sum(map(len, tables))
+            tables.append(table), self.at.append(where)
+        self.keys = np.concatenate(tables)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[order]
+        spot = np.empty(len(order) + 1, np.int32)
+        spot[order], spot[-1] = np.arange(len(order), dtype=np.int32), -1
+        self.at = [spot[where] for where in self.at]
+
+    def counts(self) -> np.ndarray:
+        return sum((np.bincount(where[self.own & (where >= 0)], minlength=len(self.keys)) for where in self.at), np.zeros(len(self.keys), np.int64))
+
+    def cuts(self, parts: int, bits: int) -> np.ndarray:
+        """Where each partition's keys begin; partitions are ranges of keys."""
         bounds = np.array([(k << bits) // parts for k in range(1, parts)], U)
-        return [np.concatenate([[0], np.searchsorted(table, bounds), [len(table)]]) for table in self.keys]
+        return np.concatenate([[0], np.searchsorted(self.keys, bounds), [len(self.keys)]])
 
 
 def _table(docs: bytes) -> np.ndarray:
@@ -129,44 +135,33 @@ def _dealt(batches: Iterator[pa.RecordBatch], parts: int, bits: int) -> Iterator
     for batch in batches:
         for pack, docs, text in zip(*batch.columns, strict=True):
             grams = Grams(text.as_py(), _table(docs.as_py())[:, 1], bits)
-            counts, cuts = grams.counts(), grams.cuts(parts, bits)
-            rows: list[list] = [[], [], [], []]
-            for p in range(parts):
-                spans = [(int(c[p]), int(c[p + 1])) for c in cuts]
-                if any(a < b for a, b in spans):
-                    steps = [np.diff(table[a:b], prepend=U(0)) for table, (a, b) in zip(grams.keys, spans, strict=True)]
-                    rows[0].append(p), rows[1].append(np.array([b - a for a, b in spans], np.int64).tobytes())
-                    rows[2].append(_planes(np.concatenate(steps))), rows[3].append(_planes(np.concatenate([c[a:b] for c, (a, b) in zip(counts, spans, strict=True)])))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([pack.as_py()] * len(rows[0]), pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "pack", "sizes", "keys", "counts"])
+            counts, cut = grams.counts(), grams.cuts(parts, bits)
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            keys = [_planes(np.diff(grams.keys[cut[p] : cut[p + 1]], prepend=U(0))) for p in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), pack.as_py(), np.int64)), pa.array(keys, pa.binary()), pa.array([_planes(counts[cut[p] : cut[p + 1]]) for p in full], pa.binary())], names=["part", "pack", "keys", "counts"])
 
 
 def _answered(t: pa.Table) -> pa.Table:
     """One partition: the totals of every pack's n-grams, in the order they were sent. Keys of different orders are different."""
-    keys, sizes = [], []
-    for size, packed in zip(t.column("sizes"), t.column("keys"), strict=True):
-        steps, ends = _numbers(packed.as_py(), np.uint64), np.cumsum(np.frombuffer(size.as_py(), np.int64))
-        keys.append(np.concatenate([np.cumsum(x, dtype=U) for x in np.split(steps, ends[:-1])]))
-        sizes.append(len(steps))
+    keys = [np.cumsum(_numbers(k.as_py(), np.uint64), dtype=U) for k in t.column("keys")]
     counts = np.concatenate([_numbers(c.as_py(), np.int64) for c in t.column("counts")])
+    sizes = np.cumsum([len(k) for k in keys])
     table, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     del keys
     total = np.zeros(len(table), np.int64)
     np.add.at(total, inverse, counts)
-    answers = [_planes(total[i]) for i in np.split(inverse, np.cumsum(sizes)[:-1])]
-    return pa.table({"pack": t.column("pack"), "part": t.column("part"), "sizes": t.column("sizes"), "totals": pa.array(answers, pa.binary())})
+    answers = [_planes(total[i]) for i in np.split(inverse, sizes[:-1])]
+    return pa.table({"pack": t.column("pack"), "part": t.column("part"), "totals": pa.array(answers, pa.binary())})
 
 
 def _scored(pack: pa.Table, answers: pa.Table, tokens: int, alpha: float, least: int, bits: int) -> pa.Table:
     """One pack and its answers: sums and fallbacks per document."""
     docs = _table(pack.column("docs")[0].as_py())
     grams = Grams(pack.column("text")[0].as_py(), docs[:, 1], bits)
-    parts: list[list[np.ndarray]] = [[], [], []]
-    for k in np.argsort(answers.column("part").to_numpy()).tolist():
-        ends = np.cumsum(np.frombuffer(answers.column("sizes")[k].as_py(), np.int64))
-        for out, x in zip(parts, np.split(_numbers(answers.column("totals")[k].as_py(), np.int64), ends[:-1]), strict=True):
-            out.append(x)
-    c1, c2, c3 = (np.where(where >= 0, np.append(np.concatenate(x), 0)[where], 0) for where, x in zip(grams.at, parts, strict=True))
-    del parts
+    order = np.argsort(answers.column("part").to_numpy()).tolist()
+    total = np.concatenate([_numbers(answers.column("totals")[k].as_py(), np.int64) for k in order] + [np.zeros(1, np.int64)])
+    c1, c2, c3 = (total[where] for where in grams.at)  # the last one stands for what isn't there
+    del total
     before = np.concatenate([[0], np.arange(len(c1) - 1)])
     lead1, lead2 = c1[before], c2[before]  # c(v) and c(u v)
     ln = lambda x: np.log(np.maximum(x, 1))
@@ -184,7 +179,7 @@ def _scored(pack: pa.Table, answers: pa.Table, tokens: int, alpha: float, least:
     return pa.table({"rid": rid, "total": sums, "fallbacks": back})
 
 
-def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, pack_tokens: int = 1_200_000, part_grams: int = 2_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, pack_tokens: int = 1_600_000, part_grams: int = 2_000_000) -> DataFrame:
     """Per document row: doc_id, n_tokens, n_fallbacks (words scored below the order their context allows), log_score (sum of
     natural logs, null without tokens).
 
@@ -196,11 +191,11 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha
     rows = _base.staged(own.select("doc_id", rid, count.alias("n_tokens")), "rows")
     tokens = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
     parts = max(16, int(tokens * 1.7 / part_grams) + 1)
-    bits = min(64, 2 * max(tokens, 2).bit_length() + 3)
+    bits = min(64, 2 * max(tokens, 2).bit_length() + 1)
     packed = own.where("length(text) > 0").select(rid, "text").mapInArrow(lambda it: _packs(it, pack_tokens), "docs binary, text binary")
     packed = _base.staged(packed.select(F.monotonically_increasing_id().alias("pack"), "docs", "text"), "packs")
-    sent = packed.mapInArrow(lambda it: _dealt(it, parts, bits), "part int, pack bigint, sizes binary, keys binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(_answered, "pack bigint, part int, sizes binary, totals binary")
+    sent = packed.mapInArrow(lambda it: _dealt(it, parts, bits), "part int, pack bigint, keys binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(_answered, "pack bigint, part int, totals binary")
     sums = packed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(lambda a, b: _scored(a, b, tokens, alpha, least_count, bits), "rid bigint, total bigint, fallbacks bigint")
     sums = sums.groupBy("rid").agg(F.sum("total").alias("total"), F.sum("fallbacks").alias("fallbacks"))
     # rows with equal ids and texts were summed together: each has its equal share
