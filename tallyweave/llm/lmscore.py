@@ -95,13 +95,15 @@ class Grams:
             end = max(at + 1, int(np.searchsorted(lines, lines[at] + (1 << 20), side="right")) - 1)
             a, b = int(lines[at]), min(int(lines[end]), len(raw))
             words = Words(raw=(np.frombuffer(raw, np.uint8, b - a, a), np.minimum(lines[at : end + 1] - a, b - a)))
-            hashes.append(words.hash), rows.append(words.row + base)
+            hashes.append(words.hash), rows.append((words.row + base).astype(np.int32))
             base += end - at
             at = end
         h, self.row = np.concatenate(hashes), np.concatenate(rows)
-        first = np.searchsorted(self.row, np.arange(base))
-        place = np.arange(len(h)) - first[self.row]
-        self.own = place >= context[self.row]
+        del raw, hashes, rows, words
+        first = np.searchsorted(self.row, np.arange(base)).astype(np.int32)
+        place = np.arange(len(h), dtype=np.int32)
+        place -= first[self.row]
+        self.own = place >= context.astype(np.int32)[self.row]
         tables, self.at, out = [], [], h
         for order in (1, 2, 3):
             if order > 1:
@@ -111,7 +113,10 @@ class Grams:
             where = np.full(len(h), -1, np.int32)
             where[ok + order - 1] = inverse + sum(map(len, tables))
             tables.append(table), self.at.append(where)
+            del ok, inverse
+        del out, h, place
         self.keys = np.concatenate(tables)
+        del tables
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         spot = np.empty(len(order) + 1, np.int32)
@@ -160,22 +165,22 @@ def _scored(pack: pa.Table, answers: pa.Table, tokens: int, alpha: float, least:
     grams = Grams(pack.column("text")[0].as_py(), docs[:, 1], bits)
     order = np.argsort(answers.column("part").to_numpy()).tolist()
     total = np.concatenate([_numbers(answers.column("totals")[k].as_py(), np.int64) for k in order] + [np.zeros(1, np.int64)])
-    c1, c2, c3 = (total[where] for where in grams.at)  # the last one stands for what isn't there
-    del total
-    before = np.concatenate([[0], np.arange(len(c1) - 1)])
-    lead1, lead2 = c1[before], c2[before]  # c(v) and c(u v)
-    ln = lambda x: np.log(np.maximum(x, 1))
-    one = ln(c1) - np.log(tokens)
-    two = np.where(c2 >= least, ln(c2) - ln(lead1), np.log(alpha) + one)
-    two = np.where(grams.at[1] >= 0, two, one)
-    three = np.where(c3 >= least, ln(c3) - ln(lead2), np.log(alpha) + two)
-    value = np.rint(np.where(grams.at[2] >= 0, three, two) * _ONE).astype(np.int64)
-    fell = np.where(grams.at[2] >= 0, c3 < least, (grams.at[1] >= 0) & (c2 < least))
     rid, inverse = np.unique(docs[:, 0], return_inverse=True)
-    who = inverse[grams.row[grams.own]]
     sums, back = np.zeros(len(rid), np.int64), np.zeros(len(rid), np.int64)
-    np.add.at(sums, who, value[grams.own])
-    np.add.at(back, who, fell[grams.own].astype(np.int64))
+    ln = lambda x: np.log(np.maximum(x, 1))
+    for a in range(0, len(grams.own), 1 << 18):  # a slice of words at a time
+        at = [where[a : a + (1 << 18)] for where in grams.at]
+        c1, c2, c3 = (total[where] for where in at)  # the last total stands for what isn't there
+        v = np.maximum(np.arange(a, a + len(c1)) - 1, 0)
+        lead1, lead2 = total[grams.at[0][v]], total[grams.at[1][v]]  # c(v) and c(u v)
+        one = ln(c1) - np.log(tokens)
+        two = np.where(at[1] >= 0, np.where(c2 >= least, ln(c2) - ln(lead1), np.log(alpha) + one), one)
+        three = np.where(at[2] >= 0, np.where(c3 >= least, ln(c3) - ln(lead2), np.log(alpha) + two), two)
+        fell = np.where(at[2] >= 0, c3 < least, (at[1] >= 0) & (c2 < least))
+        own = grams.own[a : a + (1 << 18)]
+        who = inverse[grams.row[a : a + (1 << 18)][own]]
+        np.add.at(sums, who, np.rint(three * _ONE).astype(np.int64)[own])
+        np.add.at(back, who, fell[own].astype(np.int64))
     return pa.table({"rid": rid, "total": sums, "fallbacks": back})
 
 
