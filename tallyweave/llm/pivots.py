@@ -105,7 +105,7 @@ def _alike(a: np.ndarray, b: np.ndarray, own: int, shared: int) -> np.ndarray:
     return out
 
 
-def _sides(left: pa.ListScalar, right: pa.ListScalar) -> Iterator[tuple[list, ...]]:
+def _sides(left: pa.ListScalar, right: pa.ListScalar) -> Iterator[list[list] | None]:
     """The fields of a block pair's members, as lists; the right side is None where a block meets itself."""
     for side in (left, right):
         yield [x.to_pylist() for x in side.values.flatten()] if len(side) else None
@@ -122,8 +122,6 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.R
         for k in range(batch.num_rows):
             pivot = batch.column(2)[k].as_py()
             left, right = _sides(batch.column(3)[k], batch.column(4)[k])
-            if left is None or (right is None and len(left[0]) < 2):
-                continue
             a = _prefixes(left[1])
             hit = _alike(a, a if right is None else _prefixes(right[1]), pivot, shared)
             if right is None:
@@ -157,8 +155,6 @@ def _links(batches: Iterator[pa.RecordBatch], shared: int, cosine: float, kind:
         for k in range(batch.num_rows):
             pivot = batch.column(2)[k].as_py()
             left, right = _sides(batch.column(3)[k], batch.column(4)[k])
-            if left is None or (right is None and len(left[0]) < 2):
-                continue
             other = left if right is None else right
             a, x = _prefixes(left[1]), _units(left[3], kind)
             b, y = (a, x) if right is None else (_prefixes(right[1]), _units(right[3], kind))
@@ -187,7 +183,7 @@ _LIST = ["label", "dim", "pivot"]
 
 def _in_blocks(members: DataFrame, fields: list[str], block: int) -> DataFrame:
     """members (v, label, dim, pivot, fields) as lists, or as pairs of blocks of a long list: label, dim, pivot, left, right. Each pair
-    of members meets once; right is empty where a block meets itself."""
+    of members meets once; right is empty only where a block meets itself (pairs with an empty block are left out)."""
     own = members.withColumn("list", F.xxhash64(*_LIST))  # should two lists ever meet here, both are dealt to more blocks
     counts = own.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     long = _base.staged(counts.where(F.col("n") > block), "lists")
@@ -197,7 +193,7 @@ def _in_blocks(members: DataFrame, fields: list[str], block: int) -> DataFrame:
     dealt = dealt.withColumns({"i": F.least("k", "with"), "j": F.greatest("k", "with")})
     member = F.struct("v", *fields)
     side = lambda is_left: F.collect_list(F.when((F.col("k") == F.col("i")) == is_left, member))
-    return dealt.groupBy(*_LIST, "i", "j").agg(side(True).alias("left"), side(False).alias("right")).where(F.size("left") + F.size("right") > 1).select(*_LIST, "left", "right")
+    return dealt.groupBy(*_LIST, "i", "j").agg(side(True).alias("left"), side(False).alias("right")).where("i = j AND size(left) > 1 OR size(left) > 0 AND size(right) > 0").select(*_LIST, "left", "right")
 
 
 def near_vectors(
