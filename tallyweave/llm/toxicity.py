@@ -3,8 +3,9 @@
 noisy-or of its sentences, and only document labels train both. The sentences that carry the score are located.
 
 Training reads at most `max_docs` labelled documents and `max_bytes` of text (the documented bounds: half of each class,
-the least hashes of the id first, whole texts, so the choice does not depend on how the rows are laid out); scoring reads
-every text whole.
+the least hashes of the id first, whole texts, so the choice does not depend on how the rows are laid out). A text that does
+not fit into what is left is passed over, and the next ones are looked at; where none of a class fits, its shortest text is
+read all the same, so that no class is lost. Scoring reads every text whole.
 
 Features are chosen by an exact test against the classes' sizes, not by a fixed bar: see `selected`.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
@@ -148,9 +149,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, max_docs: int, max_byte
     picked = rows.where("y = 1").orderBy(*order).limit(max_docs // 2).unionByName(rows.where("y = 0").orderBy(*order).limit(max_docs // 2))
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i")  # max_docs ids at most
     own = _base.staged(texts.groupBy("i", "y").agg(F.min("t").alias("t")), "training")
-    upto = F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sized = own.select("i", "y", upto.alias("upto")).where(F.col("upto") <= max_bytes // 2).select("i", "y")
-    return sorted((r.t or "", r.y, r.i) for r in own.join(F.broadcast(sized), ["i", "y"]).collect())
+    found = own.select("i", "y", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"), F.xxhash64("i").alias("h")).collect()  # max_docs at most
+    sized = within([(r.h, r.i, r.y, r.n) for r in found], max_bytes // 2)
+    if not sized:
+        return []
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sized], own.select("i").schema)
+    return sorted((r.t or "", r.y, r.i) for r in own.join(F.broadcast(chosen), "i").collect())
+
+
+def within(rows: list[tuple[int, object, int, int]], most: int) -> list:
+    """Ids of rows (hash, id, class, bytes) that fit into `most` bytes a class, in the order of their hashes: one that does not fit
+    is passed over and the next are looked at. If no row of a class fits, its shortest is taken all the same."""
+    out = []
+    for y in (0, 1):
+        own, left, taken = sorted((h, i, n) for h, i, c, n in rows if c == y), most, []
+        for _, i, n in own:
+            if n <= left:
+                left -= n
+                taken.append(i)
+        out += taken or [i for *_, i in sorted((n, h, i) for h, i, n in own)[:1]]
+    return out
 
 
 def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", sentence_at: float = 0.5) -> DataFrame:
