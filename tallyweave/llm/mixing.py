@@ -11,8 +11,10 @@ order of a seeded hash of epoch and document. The cut is found without sorting a
 sqrt(documents of the leaf) hash ranges, range sums say which range holds the cut, and only that range is ordered.
 
 Tokens are words. Null domain, language and source are nodes of their own. Null and empty texts have no tokens and are
-not selected. Equal documents of one id tie harmlessly: one hash, ordered by tokens. An empty table gives no rows. Weights
-not listed are 1; a node without tokens is left out. Fractions of a token in a leaf's budget are dropped.
+not selected. Rows with one id have one hash and follow by tokens; rows that are equal in both (repeated rows) are filled one
+after the other, so a budget is never overspent. A column of keep that is called like one of the tree's stands for it; n_tokens, epochs and
+n_taken cannot be kept. An empty table gives no rows. Weights not listed are 1; a node without tokens is left out. Fractions
+of a token in a leaf's budget are dropped.
 """
 
 from __future__ import annotations
@@ -73,6 +75,8 @@ def mixed(
     target: int | None = None, fraction: float = 0.5, max_epochs: int = 4, seed: int = 0, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Selected document rows: keep, doc_id, domain, lang, source, n_tokens, epochs (passes that include it) and n_taken (tokens over all passes; the cut document gives a part)."""
+    if clash := {"n_tokens", "epochs", "n_taken"} & set(keep):
+        raise ValueError(f"keep cannot name {sorted(clash)}")
     keys = [f"k_{c}" for c in LEVELS]
     own = docs.select(F.col(doc_id).alias("doc_id"), domain.cast("string").alias("domain"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)))
     own = own.select("*", *(_base.group_key(c).alias(k) for c, k in zip(LEVELS, keys, strict=True)))
@@ -89,17 +93,34 @@ def mixed(
     upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cuts = sums.withColumn("before", upto - F.col("t")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest"))).select(*keys, F.col("range").alias("cut"), (F.col("rest") - F.col("before")).alias("left"))
     inside = spot.join(near(cuts), keys).where(F.col("range") == F.col("cut"))
+    # rows of one place, id and length (repeated rows) are one step of the walk, however many they are
+    inside = inside.groupBy(*keys, "left", "place", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("m"))
     walk = Window.partitionBy(*keys).orderBy("place", "doc_id", "n_tokens")
-    inside = inside.withColumn("got", F.sum("n_tokens").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
-    last = inside.where(F.col("got") < F.col("left")).withColumn("given", F.least("n_tokens", F.col("left") - F.col("got"))).groupBy(*keys).agg(F.max(F.struct("place", "doc_id", "n_tokens", "given")).alias("last"))
+    inside = inside.withColumn("got", F.sum(F.col("n_tokens") * F.col("m")).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens") * F.col("m"))
+    last = inside.where(F.col("got") < F.col("left")).withColumn("given", F.least(F.col("n_tokens") * F.col("m"), F.col("left") - F.col("got"))).groupBy(*keys).agg(F.max(F.struct("place", "doc_id", "n_tokens", "m", "given")).alias("last"))
     full = _base.staged(plan.join(last, keys, "left"), "cuts")
     e = F.col("last")
     spot_key = F.struct(place.alias("place"), F.col("doc_id"), F.col("n_tokens"))
     last_key = F.struct(e["place"].alias("place"), e["doc_id"].alias("doc_id"), e["n_tokens"].alias("n_tokens"))
     part = F.when(e.isNull() | (spot_key > last_key), F.lit(0)).when(spot_key == last_key, e["given"]).otherwise(F.col("n_tokens"))
     out = own.where("n_tokens > 0").join(near(full), keys).withColumn("part", part.cast("long"))
+    if not full.where("last.m > 1").isEmpty():
+        tied = (spot_key == last_key) & (e["m"] > 1)
+        out = out.where(~F.coalesce(tied, F.lit(False))).unionByName(_shared_out(out.where(tied), keys))
     out = out.withColumns({"epochs": F.col("passes") + (F.col("part") > 0).cast("long"), "n_taken": F.col("passes") * F.col("n_tokens") + F.col("part")}).where("epochs > 0")
-    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *([] if "doc_id" in keep else ["doc_id"]), "domain", *[c for c in LEVELS[1:] if c not in keep], "n_tokens", "epochs", "n_taken")
+    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(c for c in ("doc_id", *LEVELS) if c not in keep), "n_tokens", "epochs", "n_taken")
+
+
+def _shared_out(tied: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeated rows at a leaf's cut: what is given to them fills one after the other. They are numbered where they lie, and
+    each partition starts at the sum of those before it, so no leaf's rows meet in one task."""
+    rows = _base.staged(tied.withColumn("__row", F.monotonically_increasing_id()), "tied").withColumn("__at", F.shiftright("__row", 33))
+    upto = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = rows.groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).drop("__n")  # a row per leaf and partition
+    number = F.row_number().over(Window.partitionBy(*keys, "__at").orderBy("__row")) - 1
+    left = F.col("part") - (F.col("__before") + F.col("__number")) * F.col("n_tokens")
+    out = rows.withColumn("__number", number).join(starts, [*keys, "__at"])
+    return out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("n_tokens"), left)).cast("long")).select(*tied.columns)
 
 
 #: What the query and the pipeline ask for: weights of the three levels; sources are dealt to domains by their number.
