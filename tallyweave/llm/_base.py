@@ -60,23 +60,27 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 SENT_ROWS = 100_000
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, key: str, *, counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, key: str | list[str], *, counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
     """rows left-joined with facts (one row a key at most, a few numbers each), whatever share of the rows a key has.
 
     Up to SENT_ROWS facts are sent to every task. Beyond that, keys with over one `share`th of all rows are joined where
     they lie: there are fewer than `share` of them, so their facts are sent. All other keys are dealt by hash.
-    counts: (key, n) where it is known already.
+    counts: (key, n) where it is known already. facts and counts are read more than once: better stored tables.
     """
+    keys = [key] if isinstance(key, str) else key
     if facts.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
-        return rows.join(F.broadcast(facts), key, "left")
+        return rows.join(F.broadcast(facts), keys, "left")
     most = max(1, rows.count() // share)
-    counts = counts if counts is not None else rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = [r[0] for r in counts.where((F.col("n") > most) & F.col(key).isNotNull()).select(key).collect()]  # fewer than `share` keys
-    if not hot:
-        return rows.join(facts, key, "left")
-    lit = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    near = rows.where(lit).join(F.broadcast(facts.where(lit)), key, "left")
-    return near.unionByName(rows.where(~lit).join(facts, key, "left"))
+    known = lambda df: df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    counts = counts if counts is not None else known(rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = known(counts.where(F.col("n") > most)).select(*keys)
+    found = hot.collect()  # fewer than `share` keys
+    if not found:
+        return rows.join(facts, keys, "left")
+    mark = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema).withColumn("__hot", F.lit(True)))
+    marked = rows.join(mark, keys, "left")
+    near = marked.where("__hot").drop("__hot").join(F.broadcast(facts.join(mark, keys, "left_semi")), keys, "left")
+    return near.unionByName(marked.where("__hot IS NULL").drop("__hot").join(facts, keys, "left"))
 
 
 def dealt(pairs: DataFrame, facts: DataFrame, value: str, names: tuple[str, str] = ("a", "b"), most: int = 512) -> DataFrame:

@@ -202,12 +202,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = sets.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("small", "doc_id").alias("small"))
     reps = _base.staged(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     placed = reps.select("v", F.posexplode("bands").alias("band", "key"))
-    fill = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = _base.staged(placed.join(fill, ["band", "key"]), "buckets")
+    fill = _base.staged(placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "fills")
+    members = _base.staged(_base.looked_up(placed, fill, ["band", "key"], counts=fill).where("n IS NOT NULL"), "buckets")
     central = members.groupBy("v").agg(F.sum("n").alias("score"))
     ranked = members.join(central, "v")
     heads = ranked.groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("v")).alias("u"))).alias("m")).select("band", "key", (-F.col("m.u")).alias("head"))
-    star = members.join(heads, ["band", "key"]).where("v != head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
+    heads = _base.staged(heads, "heads")
+    star = _base.looked_up(members, heads, ["band", "key"], counts=fill).where("v != head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct()
     texts = own.where("doc_id IS NOT NULL").mapInArrow(_zipped, "doc bigint, print binary, z binary")
     wanted = reps.join(members.select("v").distinct(), "v", "left_semi").select("v", "doc", "print")
     packed = _base.staged(texts.join(wanted, ["doc", "print"]).groupBy("v").agg(F.min("z").alias("z")), "texts")
@@ -227,16 +228,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     colored = members.join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
     sizes = colored.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "key", F.col("top.c").alias("top"), "m", (F.col("m") - F.col("top.m")).alias("m_out"))
-    rest = colored.join(mixed, ["band", "key"]).join(reps.select("v", "bands", "small", F.col("n").alias("size")), "v")
+    mixed = _base.staged(mixed, "mixed")
+    rest = _base.looked_up(colored, mixed, ["band", "key"], counts=fill).where("m IS NOT NULL").join(reps.select("v", "bands", "small", F.col("n").alias("size")), "v")
     rest = rest.select("band", "key", "v", "c", "bands", "small", "size", "m", "m_out", (F.col("c") != F.col("top")).alias("out"), F.xxhash64("v").alias("h"))
     member = F.struct("v", "c", "size", "bands", "small")
     part = lambda count: F.pmod(F.col("h"), F.ceil(F.col(count) / block)).cast("int")
     rest = _base.staged(rest, "rest")
-    left = rest.where("out").groupBy("band", "key", part("m_out").alias("k")).agg(F.collect_list(member).alias("left"))
+    left = rest.where("out").groupBy("band", "key", part("m_out").alias("k")).agg(F.collect_list(member).alias("left"), F.first("m").alias("m"))
+    left = left.withColumn("k2", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)))  # dealt by pairs of blocks
     right = rest.groupBy("band", "key", part("m").alias("k2")).agg(F.collect_list(member).alias("right"))
     p = percent / 100
     alike = p - 4.5 * math.sqrt(p * (1 - p) / (bands * rows))
-    pairs = left.join(right, ["band", "key"]).select("band", "left", "right").mapInArrow(_further(alike, percent), "a bigint, b bigint").distinct()
+    pairs = left.join(right, ["band", "key", "k2"]).select("band", "left", "right").mapInArrow(_further(alike, percent), "a bigint, b bigint").distinct()
     more = _base.staged(verified(pairs), "verified")
     if not more.isEmpty():
         label = components(links.unionByName(more))

@@ -4,7 +4,8 @@ Checked base spans (addresses, numbers) are the seeds. The one and two words bef
 Round by round a pattern is scored by the share of its distinct instances that are known (and needs `support` known
 ones); an unknown identifier-like token whose patterns' noisy-or reaches `accept` becomes known and feeds the next round.
 Its occurrences are added as kind found. The graph holds one edge per distinct pattern and instance, counted after
-map-side distinct, so a frequent word before numbers is folded before it is shuffled.
+map-side distinct, so a frequent word before numbers is folded before it is shuffled. What is known of a pattern or an instance is
+sent to its edges where these are many.
 
 The words before an instance are looked for back to the match of its kind before it. Such a match holds a digit or an at
 sign, and no pattern may, so no pattern is lost there.
@@ -55,18 +56,20 @@ def personal_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
     # patterns: both words if there are two, and the nearer one alone; without digits, so that no identifier is a pattern
     pattern = F.expr("filter(CASE WHEN contains(left, ' ') THEN array(left, concat('* ', element_at(split(left, ' '), -1))) ELSE array(concat('* ', left)) END, p -> left != '' AND NOT p RLIKE '[0-9@]')")
     edges = _base.staged(seen.select("i", "seed", F.explode(pattern).alias("p")).groupBy("p", "i").agg(F.max("seed").alias("seed")), "graph")
-    known = edges.where("seed").select("i").distinct()
+    seeds = _base.staged(edges.where("seed").select("i").distinct(), "seeds")
+    known = seeds
     for k in range(rounds):
-        marked = edges.join(known.withColumn("known", F.lit(True)), "i", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        marked = _base.looked_up(edges, known.withColumn("known", F.lit(True)), "i").withColumn("known", F.coalesce("known", F.lit(False)))
         scored = marked.groupBy("p").agg(F.count_if("known").alias("pos"), F.count(F.lit(1)).alias("n")).where((F.col("pos") >= support) & (F.col("pos") >= precision * F.col("n")))
-        weighed = marked.where(~F.col("known")).join(scored, "p").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("pos") / F.col("n"), F.lit(0.999)))))).alias("score"))
+        scored = _base.staged(scored, "patterns")
+        weighed = _base.looked_up(marked.where(~F.col("known")), scored, "p").where("pos IS NOT NULL").groupBy("i").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("pos") / F.col("n"), F.lit(0.999)))))).alias("score"))
         new = _base.staged(weighed.where(F.round("score", 9) >= accept).select("i", F.lit(k).alias("round")), "discovered")
         if new.isEmpty():
             break
         known = known.unionByName(new.select("i"))
     # what became known beyond the seeds, wherever it stands
-    extra = known.join(edges.where("seed").select("i").distinct(), "i", "left_anti").distinct()
-    hits = seen.where(~F.col("seed")).join(extra, "i").groupBy("__id").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(BASE)).alias("rank"), F.col("end"), F.lit("found").alias("kind"), F.col("text").alias("value"), F.col("text"), F.lit("").alias("left"))).alias("found"))
+    extra = _base.staged(known.join(seeds, "i", "left_anti").distinct().withColumn("extra", F.lit(True)), "extra")
+    hits = _base.looked_up(seen.where(~F.col("seed")), extra, "i").where("extra").groupBy("__id").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(BASE)).alias("rank"), F.col("end"), F.lit("found").alias("kind"), F.col("text").alias("value"), F.col("text"), F.lit("").alias("left"))).alias("found"))
     out = scanned.join(hits, "__id", "left")
     return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", F.when(F.col("found").isNull(), F.sort_array("base")).otherwise(F.sort_array(F.concat("base", "found"))).alias("spans"))
 

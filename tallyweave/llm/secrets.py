@@ -3,7 +3,7 @@
 Base spans are found in every whole text. Further candidates (other key words, bearer and signed tokens, key blocks) are
 only kept if they look live. A candidate's value is hashed; the distinct repositories and owners holding each hash are
 counted over the whole corpus, first per (hash, owner, repository), then per owner, then per hash, so a value that a third
-of the rows holds is folded before it is shuffled. A value of at most `live_owners` owners is live, one of `copied_owners`
+of the rows holds is folded before it is shuffled, and its verdict is sent to its rows. A value of at most `live_owners` owners is live, one of `copied_owners`
 or more is a widely copied example, the rest is shared.
 
 Nulls, empty texts: no spans. Null owners or repositories count as one owner or repository of their own. Repeated rows
@@ -44,9 +44,9 @@ def secret_spans(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     scanned = _base.staged(raw.select(*names, "__o", "__p", base.alias("base"), free.alias("more")).withColumn("__id", F.monotonically_increasing_id()), "secrets")
     found = scanned.where((F.size("base") > 0) | (F.size("more") > 0)).select("__id", "__o", "__p", F.explode(F.concat("base", "more")).alias("s")).withColumn("h", F.sha2(F.col("s.value"), 256))
     per_owner = found.select("h", "__o", "__p").distinct().groupBy("h", "__o").agg(F.count(F.lit(1)).alias("n"))
-    freq = per_owner.groupBy("h").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    freq = _base.staged(per_owner.groupBy("h").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners")), "owners")
     verdict = F.when(F.col("owners") <= live_owners, "live").when(F.col("owners") >= copied_owners, "example").otherwise("shared")
-    judged = found.join(freq, "h").select("__id", "s", verdict.alias("verdict"), "owners", "repositories").where((F.col("s.rank") < len(BASE)) | (F.col("verdict") == "live"))
+    judged = _base.looked_up(found, freq, "h").select("__id", "s", verdict.alias("verdict"), "owners", "repositories").where((F.col("s.rank") < len(BASE)) | (F.col("verdict") == "live"))
     kept = judged.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "s.text", "verdict", "owners", "repositories"))).alias("spans"))
     kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,text:string,verdict:string,owners:bigint,repositories:bigint>>"
     empty = F.array().cast(kind)
