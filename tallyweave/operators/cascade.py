@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import trigger_label
 from tallyweave.operators import lookup
+from tallyweave.session import kept
 
 
 def compared(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,12 +85,16 @@ def entity_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def report(old: DataFrame, new: DataFrame, nodes: DataFrame, edges: DataFrame, *, relationships: tuple[DataFrame, DataFrame] | None = None, gone: DataFrame | None = None) -> DataFrame:
     """One row per change and affected document (never the changed one itself): path, trigger, entity, affected, reason,
     action, confidence. relationships: those of the old and of the new versions; gone: paths of deleted documents.
-    All changes meet the graph in one join."""
+    Edges are first cut down to those of changed names, by a semi join; changes are kept as a table, as they are read twice."""
     changes = entity_changes(old, new)
     if relationships is not None:
         changes = changes.unionByName(relationship_changes(*relationships).withColumn("trigger", F.lit("relationship_changed")), allowMissingColumns=True)
-    docs = nodes.where("label = 'Document'").select(F.col("label").alias("target_label"), F.col("name").alias("target_name"))
-    hit = edges.join(docs, ["target_label", "target_name"]).select(F.col("source_name").alias("entity"), F.col("target_name").alias("affected")).distinct()
+    changes = kept(changes, "changes")
+    # only edges of changed names go on, and only documents at these are looked for
+    names = changes.select(F.col("entity").alias("source_name")).distinct()
+    near = edges.where("target_label = 'Document'").join(names, "source_name", "left_semi").select("source_name", "target_name").distinct()
+    docs = nodes.where("label = 'Document'").select(F.col("name").alias("target_name"))
+    hit = near.join(docs, "target_name", "left_semi").select(F.col("source_name").alias("entity"), F.col("target_name").alias("affected"))
     both = changes.join(hit, "entity").where("affected != path")
 
     def told(k: int) -> Column:

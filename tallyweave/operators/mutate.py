@@ -19,6 +19,29 @@ def latest(feed: DataFrame, key: list[str], *order: str) -> DataFrame:
     return feed.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*key, *(F.col(f"__last.{c}").alias(c) for c in rest))
 
 
+def near_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The nodes that keys (label, name) name: the slice of a graph that a change of them touches."""
+    return nodes.join(keys.select(*NODE_KEY).distinct(), NODE_KEY, "left_semi").select(*nodes.columns)
+
+
+def near_edges(edges: DataFrame, *, keys: DataFrame | None = None, documents: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """The edges that a change touches: those with one of the keys, those that documents (name) gave rise to, and those at an
+    end (label, name). Each once. Edges are read once a kind and met by semi joins; only what was found goes on."""
+    found = []
+    if keys is not None:
+        found.append(edges.join(keys.select(*EDGE_KEY).distinct(), EDGE_KEY, "left_semi").select(*edges.columns))
+    if documents is not None:
+        found.append(edges.join(documents.select(F.col("name").alias("__path")).distinct(), field(F.col("properties"), "documentPath") == F.col("__path"), "left_semi"))
+    if ends is not None:
+        for end in ("source", "target"):
+            own = ends.select(F.col("label").alias(f"{end}_label"), F.col("name").alias(f"{end}_name")).distinct()
+            found.append(edges.join(own, [f"{end}_label", f"{end}_name"], "left_semi").select(*edges.columns))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.dropDuplicates(EDGE_KEY)
+
+
 def upsert_nodes(nodes: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """batch: label, name, properties. Properties are replaced whole and updated_at moves; embedding, hashes and created_at
     survive. A null or empty name fails the job."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text as t
 from tallyweave.operators import cascade, changes, entities, lookup, mutate
+from tallyweave.schema import EDGE_KEY
 from tallyweave.session import file_system
 from tallyweave.sources import markdown
 from tallyweave.sources.embedding import embedded
@@ -110,14 +111,17 @@ def sync(
     again = named.select("path").distinct()  # documents that were there before
     impact = cascade.report(old, mentioned.select("path", "pos", "type", "name"), nodes, edges, relationships=(rel(before), rel(linked).join(again, "path", "left_semi")), gone=gone.select(F.col("name").alias("path")))
     impact = store.staged(impact)
-    fresh = document_nodes(work)
-    new_nodes = mutate.upsert_nodes(nodes, fresh.unionByName(entity_rows), now)
-    new_nodes = mutate.set_hashes(new_nodes, work.select(F.col("path").alias("name"), "content_hash", F.lit(None).cast("string").alias("embedding_source_hash")), now)
-    kept = mutate.delete_by_document(edges, work.select(F.col("path").alias("name")))
+    fresh = document_nodes(work).unionByName(entity_rows)
     batch = entities.appears_in(mentioned).unionByName(linked.drop("path", "problem")).dropDuplicates(["source_label", "source_name", "relation_type", "target_label", "target_name"])
-    new_nodes, new_edges = mutate.upsert_relationships(new_nodes, kept, batch, now)
-    if only is None or removed is not None:
-        new_nodes, new_edges = mutate.remove_documents(new_nodes, new_edges, gone)
+    # the slice of the graph that all this touches, before and after
+    paths, lost = work.select(F.col("path").alias("name")), gone if only is None or removed is not None else gone.limit(0)
+    lost_nodes = lost.select(F.lit("Document").alias("label"), "name")
+    touched = store.staged(fresh.select("label", "name").union(mutate.endpoints(batch)).union(lost_nodes).distinct())
+    near, near_edges = store.staged(mutate.near_nodes(nodes, touched)), store.staged(mutate.near_edges(edges, keys=batch, documents=paths.union(lost), ends=lost_nodes))
+    new_nodes = mutate.upsert_nodes(near, fresh, now)
+    new_nodes = mutate.set_hashes(new_nodes, work.select(F.col("path").alias("name"), "content_hash", F.lit(None).cast("string").alias("embedding_source_hash")), now)
+    new_nodes, new_edges = mutate.upsert_relationships(new_nodes, mutate.delete_by_document(near_edges, paths), batch, now)
+    new_nodes, new_edges = mutate.remove_documents(new_nodes, new_edges, lost)
     if embed is not None:
         names = F.coalesce(F.transform("entities", lambda e: e["name"]), F.array().cast("array<string>"))
         doc_text = t.document_text(F.col("title"), F.col("topic"), F.coalesce("tags", F.array().cast("array<string>")), names, F.col("summary"), F.col("content"))
@@ -128,8 +132,11 @@ def sync(
         new_nodes = new_nodes.join(sources, ["label", "name"], "left").withColumn("embedding_source_hash", F.coalesce("__h", "embedding_source_hash")).drop("__h")
     problems = broken.unionByName(resolved.where("problem IS NOT NULL").select("path", F.col("problem").alias("error")))
     counts = {r.change_type: r.documents for r in changes.summary(found).collect()}
-    version = None if dry_run else store.commit(new_nodes, new_edges)
-    return Result(counts, found, problems, impact, version, new_nodes, new_edges)
+    new_nodes, new_edges = store.staged(new_nodes), store.staged(new_edges)
+    version = None if dry_run else store.apply((near, new_nodes), (near_edges, new_edges))
+    whole = nodes.join(touched, ["label", "name"], "left_anti").select(*nodes.columns).unionByName(new_nodes, allowMissingColumns=True)
+    rest = edges.join(near_edges.select(*EDGE_KEY), EDGE_KEY, "left_anti").select(*edges.columns)
+    return Result(counts, found, problems, impact, version, whole, rest.unionByName(new_edges, allowMissingColumns=True))
 
 
 def sync_in_parts(spark: SparkSession, store: Store, root: str, documents: int = 100_000, **options) -> list[Result]:

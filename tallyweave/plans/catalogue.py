@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave import schema
 from tallyweave.functions import text as t
 from tallyweave.functions import vectors as vec
 from tallyweave.operators import cascade, changes, entities, joins, lookup, mutate, questions, search, topics, validate
@@ -1073,3 +1074,66 @@ def watch_tree(v: Views) -> DataFrame:
     run()
     docs = store.nodes().where("label = 'Document'").select(t.relative_path(F.col("name"), base).alias("path"))
     return docs.where("path != 'last.md'") if docs.where("path = 'last.md'").count() == 1 else docs.limit(0)
+
+
+# ---------------------------------------------------------------- changes beside a base
+
+
+def _seen(step: int, store: Store) -> DataFrame:
+    """What a reader finds after a step: documents, how many are priced, the sum of prices, edges."""
+    price = t.field(F.col("properties"), "price").cast("decimal(18,2)")
+    nodes = store.nodes().where("label = 'Document'").agg(F.count(F.lit(1)).alias("documents"), F.count(price).alias("priced"), F.coalesce(F.sum(price), F.lit(0)).cast("double").alias("total"))
+    edges = store.relationships().agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source_name").alias("customers"))
+    return kept(nodes.join(edges).select(F.lit(step).alias("step"), "*"), "seen")
+
+
+@query(
+    """SELECT step::INT AS step, count(*) FILTER (WHERE NOT (done AND o_orderstatus = 'F'))::BIGINT AS documents, count(*) FILTER (WHERE done AND o_orderstatus <> 'F')::BIGINT AS priced,
+coalesce(sum(CASE WHEN done AND o_orderstatus <> 'F' THEN o_totalprice::DECIMAL(18,2) END), 0)::DOUBLE AS total, count(*) FILTER (WHERE done AND o_orderstatus <> 'F')::BIGINT AS edges, count(DISTINCT CASE WHEN done AND o_orderstatus <> 'F' THEN o_custkey END)::BIGINT AS customers
+FROM (SELECT step, o.*, o_orderkey % 10 < step AS done FROM orders o, range(12) r(step)) GROUP BY step"""
+)
+def store_changes(v: Views) -> DataFrame:
+    """All orders as a base; ten change sets (one for each last digit of the key) price the open ones, tie them to their customers
+    and delete the finished ones; readers look between the sets, and once more after everything is folded into a new base."""
+    store = Store(v.spark, f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}")
+    o = v.table("orders").withColumn("name", order_path("o_orderkey"))
+    doc = lambda df, p: df.select(F.lit("Document").alias("label"), "name", F.to_json(p).alias("properties"))
+    store.commit(doc(o, F.struct(F.col("o_orderpriority").alias("title"))), store.relationships())
+    seen = [_seen(0, store)]
+    for k in range(10):
+        own = o.where(F.col("o_orderkey") % 10 == k)
+        open_, done = own.where("o_orderstatus != 'F'"), own.where("o_orderstatus = 'F'").select(F.lit("Document").alias("label"), "name")
+        price = F.struct(F.col("o_orderpriority").alias("title"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"))
+        tie = open_.select(F.lit("Person").alias("source_label"), F.concat(F.lit("customer-"), F.col("o_custkey")).alias("source_name"), F.lit("REFERENCES").alias("relation_type"), F.lit("Document").alias("target_label"), F.col("name").alias("target_name"), F.lit("{}").alias("properties"))
+        near = store.staged(mutate.near_nodes(store.nodes(), doc(own, price).select(*NODE_KEY).union(mutate.endpoints(tie))))
+        near_edges = store.staged(mutate.near_edges(store.relationships(), keys=tie, ends=done))
+        nodes, edges = mutate.upsert_relationships(mutate.upsert_nodes(near, doc(open_, price), _now()), near_edges, tie, _now())
+        store.apply(*zip((near, near_edges), mutate.delete_nodes(nodes, edges, done), strict=True))
+        store.compact(most=4)
+        seen.append(_seen(k + 1, store))
+    store.compact(whole=True)
+    seen.append(_seen(11, store))
+    out = seen[0]
+    for more in seen[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(
+    """SELECT label, count(*)::BIGINT AS nodes, count(*) FILTER (WHERE label = 'Document')::BIGINT AS hashed, count(*) FILTER (WHERE label <> 'Document')::BIGINT AS by_default
+FROM (SELECT label FROM doc_nodes UNION ALL SELECT label FROM entity_nodes) GROUP BY label""",
+    "doc_nodes", "entity_nodes",
+)
+def schema_upgrade(v: Views) -> DataFrame:
+    """A graph that was written before hashes were kept: it reads with the columns of today, takes a change, and is folded into a base of today's schema."""
+    root = f"{shared_dir(v.spark)}/graph-{uuid.uuid4().hex}"
+    old = schema.as_of("nodes", 1)
+    schema.shaped(v.doc_nodes().unionByName(v.entity_nodes(), allowMissingColumns=True), old).write.partitionBy("label").parquet(f"{root}/v20240101000000-old/nodes")
+    schema.shaped(v.references(), schema.as_of("relationships", 1)).write.parquet(f"{root}/v20240101000000-old/relationships")
+    sinks.write_tree(v.spark.createDataFrame([("CURRENT", '{"version": "v20240101000000-old"}')], "path string, content string"), root)
+    store = Store(v.spark, root)
+    docs = store.nodes().where("label = 'Document'")
+    near = store.staged(mutate.near_nodes(store.nodes(), docs))
+    store.apply((near, mutate.set_hashes(near, v.doc_nodes().select("name", "content_hash", F.lit(None).cast("string").alias("embedding_source_hash")), _now())))
+    store.compact(whole=True)
+    return store.nodes().groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.count("content_hash").alias("hashed"), F.count_if((F.col("label") != "Document") & (F.col("extraction_method") == "frontmatter")).alias("by_default"))

@@ -19,12 +19,14 @@ from tallyweave.sources.store import Store
 
 def upsert_stream(feed: DataFrame, store: Store, checkpoint: str, order: str) -> StreamingQuery:
     """feed: a stream of label, name, properties and an ordering column. Each micro-batch folds to its last row per key and
-    is committed as one version; a batch that is replayed after a failure gives the same graph."""
+    is written as one change (folded now and then); a batch that is replayed after a failure gives the same graph."""
 
     def apply(batch: DataFrame, _: int) -> None:
         last = mutate.latest(batch, NODE_KEY, order).select(*NODE_KEY, "properties")
         if not last.isEmpty():
-            store.commit(mutate.upsert_nodes(store.nodes(), last, F.localtimestamp()), store.relationships())
+            near = store.staged(mutate.near_nodes(store.nodes(), last))
+            store.apply((near, mutate.upsert_nodes(near, last, F.localtimestamp())))
+            store.compact()
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
