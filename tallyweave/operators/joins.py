@@ -2,39 +2,93 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import kept
+
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: list[str], *, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: list[str], *, strict: bool = False, parts: int | None = None) -> DataFrame:
     """left with the value columns of right's last row of the same key at or before (strict: before) its time, null if there
-    is none. Both sides in one sorted pass per key: one shuffle, no pairs. Of right's rows at one time the greatest counts."""
-    named = [F.col(c).alias(f"__r_{c}") for c in value]
-    r = right.select(key, F.col(at).alias("__at"), F.struct(*named).alias("__v"), F.lit(1 if strict else 0).alias("__o"))
-    rows = F.struct(*left.columns)
-    li = left.select(key, F.col(at).alias("__at"), rows.alias("__row"), F.lit(0 if strict else 1).alias("__o"))
-    both = li.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__at", "__o", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where(F.col("__row").isNotNull())
-    out = seen.select("__row.*", *(F.col(f"__v.__r_{c}").alias(f"last_{c}") for c in value))
-    # keys that are null match nothing, though the window puts them side by side
-    return out.withColumns({f"last_{c}": F.when(F.col(key).isNotNull(), F.col(f"last_{c}")) for c in value})
-
-
-def in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Pairs of a point and an interval with start <= at < end. Intervals are dealt to the bins of `width` they touch, points
-    to one bin: an equi-join on the bin, then the exact test. width: about the usual length of an interval."""
-    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(width)).cast("long")
-    a = points.withColumn("__bin", cell(at))
-    b = intervals.where(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(cell(start), cell(end))))
-    return a.join(b, "__bin").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
-
-
-def where_pairs(left: DataFrame, right: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
-    """Pairs under any condition. There is no way but to look at all pairs, so one side must be small: it is counted first."""
-    if right.limit(most + 1).count() > most:
-        raise ValueError(f"a join under any condition takes {most} rows on its right side at most; use in_interval or as_of")
-    return left.join(F.broadcast(right), condition)
+    is none. Of right's rows at one time the greatest counts. Rows whose key or time is null match nothing.
+
+    Both sides are dealt by ranges of key and time, whatever share of the rows a key has; each range is walked by itself, and
+    the last row of right that a key has in a range is carried over to the key's later ranges. Only rows of one key and one
+    time must meet in a task. parts: how many ranges; the shuffle partitions by default.
+    """
+    spark = left.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.struct(*(F.col(c).alias(f"r_{c}") for c in value)).alias("__v"), F.lit(1 if strict else 0).alias("__o"))
+    li = left.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.struct(*left.columns).alias("__row"), F.lit(0 if strict else 1).alias("__o"))
+    both = li.where(F.col(key).isNotNull() & F.col(at).isNotNull()).unionByName(r, allowMissingColumns=True)
+    dealt = kept(both.repartitionByRange(parts, "__key", "__at").withColumn("__part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__part", "__key").orderBy("__at", "__o", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("__here", F.last("__v", ignorenulls=True).over(within)).where("__row IS NOT NULL")
+    # the last row of each key and range, and what a range inherits: rows are keys and ranges, not data
+    last = dealt.groupBy("__key", "__part").agg(F.max(F.when(F.col("__v").isNotNull(), F.struct("__at", "__v"))).alias("m"))
+    spread = kept(last.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("__key"))).where("n > 1"), "carried")
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.select("__key", "__part", F.last("m", ignorenulls=True).over(earlier)["__v"].alias("__before"))
+    # a key of several ranges ends or begins in each: there are fewer such rows than twice the ranges
+    out = seen.join(F.broadcast(carried), ["__key", "__part"], "left").withColumn("__v", F.coalesce("__here", "__before"))
+    found = out.select("__row.*", *(F.col(f"__v.r_{c}").alias(f"last_{c}") for c in value))
+    rest = left.where(F.col(key).isNull() | F.col(at).isNull())
+    return found.unionByName(rest.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(f"last_{c}") for c in value)))
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """A column as double, in seconds or days if it is a time; order is kept."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return (c.cast("timestamp") if kind == "timestamp_ntz" else c).cast("double")
+
+
+def in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Pairs of a point and an interval with start <= at < end, for intervals of any length side by side.
+
+    An interval stands at the level whose bins (2^level wide) are at least as long as itself, so in two bins, three at most where
+    rounding has it. A point looks into its bin at each level that is in use: an equi-join on level and bin, then the exact test.
+    Levels are few (as many as powers of two between the shortest and the longest). Null ends and empty intervals hold nothing.
+    """
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    low, high = _number(intervals, start), _number(intervals, end)
+    # ends that are one number as doubles are one bin of the finest level
+    length = F.greatest(high - low, F.lit(2.0**-30))
+    b = intervals.where(F.col(start) < F.col(end)).withColumn("__level", F.ceil(F.log2(length)).cast("int"))
+    b = b.withColumn("__bin", F.explode(F.sequence(cell(low), cell(high))))
+    used = kept(b.select("__level").distinct(), "levels").collect()  # some tens
+    a = points.where(F.col(at).isNotNull()).withColumn("__level", F.explode(F.array(*(F.lit(r[0]) for r in sorted(used))).cast("array<int>"))).withColumn("__bin", cell(_number(points, at)))
+    return a.join(b, ["__level", "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__level", "__bin")
+
+
+def overlapping(a: DataFrame, b: DataFrame, start: tuple[str, str], end: tuple[str, str]) -> DataFrame:
+    """Pairs of intervals (start <= t < end) of two tables that share a moment: one of them begins within the other."""
+    a, b = a.where(F.col(start[0]) < F.col(end[0])), b.where(F.col(start[1]) < F.col(end[1]))
+    late = in_interval(a, b, start[0], start[1], end[1])  # a begins in b, at the same moment included
+    early = in_interval(b, a, start[1], start[0], end[0]).where(F.col(start[1]) > F.col(start[0]))
+    return late.select(*a.columns, *b.columns).unionByName(early.select(*a.columns, *b.columns))
+
+
+def where_pairs(left: DataFrame, right: DataFrame, condition: Column, *, pairs: int = 50_000_000) -> DataFrame:
+    """Pairs under any condition, of tables of any size. There is no way but to look at all pairs: rows of left are dealt to the
+    rows of a grid, rows of right to its columns, and each pair meets in one cell. The grid has as many cells as tasks of about
+    `pairs` comparisons take, in the shape that sends the fewest copies. Rows are dealt by a hash of all their columns.
+    """
+    n, m = left.count(), right.count()
+    if not n or not m:
+        return left.limit(0).join(right.limit(0), F.lit(True))
+    cells = max(1, math.ceil(n * m / pairs))
+    tall = min(max(1, round(math.sqrt(cells * n / m))), cells)  # rows of the grid: copies are n * wide + m * tall
+    wide = math.ceil(cells / tall)
+    place = lambda df, k: F.pmod(F.xxhash64(*df.columns, F.lit(k)), F.lit(tall if k == 0 else wide)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    a = left.withColumn("__r", place(left, 0)).withColumn("__c", every(wide))
+    b = right.withColumn("__c", place(right, 1)).withColumn("__r", every(tall))
+    return a.join(b, ["__r", "__c"]).where(condition).drop("__r", "__c")
 
 
 def best_of_each(left: DataFrame, right: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:

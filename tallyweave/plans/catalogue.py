@@ -939,7 +939,7 @@ def as_of_join(v: Views) -> DataFrame:
 @query("SELECT s_suppkey, count(*)::BIGINT AS parts FROM supplier JOIN part ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 50 GROUP BY s_suppkey")
 def range_join(v: Views) -> DataFrame:
     s = v.table("supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    return joins.in_interval(v.table("part"), s, "p_retailprice", "low", "high", 50).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"))
+    return joins.in_interval(v.table("part"), s, "p_retailprice", "low", "high").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"))
 
 
 @query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey")
