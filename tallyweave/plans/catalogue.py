@@ -972,7 +972,7 @@ def approximate(v: Views) -> DataFrame:
     return e.groupBy("event_type").agg((near(F.approx_count_distinct("user_id", 0.02), F.countDistinct("user_id")) & near(F.percentile_approx("value", 0.5, 10_000), F.median("value"))).alias("close"))
 
 
-def _streamed(v: Views, plan, mode: str, name: str) -> DataFrame:
+def streamed(v: Views, plan, mode: str, name: str) -> DataFrame:
     """A plan over the events as a stream of files, run to its end; its result as a table."""
     source = f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     e = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
@@ -984,15 +984,19 @@ def _streamed(v: Views, plan, mode: str, name: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS start, count(*)::BIGINT AS events, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1")
 def stream_windows(v: Views) -> DataFrame:
     """Daily windows of a stream with a watermark, each emitted once it is closed; the last day never is."""
-    out = _streamed(v, lambda e: ingest.windows(ingest.in_time(e, "ts", "0 seconds"), "ts", "1 day"), "append", "windows")
+    out = streamed(v, lambda e: ingest.windows(ingest.in_time(e, "ts", "0 seconds"), "ts", "1 day"), "append", "windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", F.round("total", 4).alias("total"))
 
 
-@query("WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT min(ts) AS start, count(*)::BIGINT AS events, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM g WHERE k < (SELECT max(k) FROM g) GROUP BY k")
+@query(
+    """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS "end", count(*)::BIGINT AS events, count(DISTINCT user_id)::BIGINT AS paths FROM g WHERE k < (SELECT max(k) FROM g) GROUP BY k"""
+)
 def stream_debounce(v: Views) -> DataFrame:
-    """Bursts of a stream, each given once an hour has passed without an event; the last one isn't over."""
-    out = _streamed(v, lambda e: ingest.settled(e.withColumn("path", F.col("event_type")), "ts", "1 hour"), "append", "bursts")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", F.array_join("paths", ",").alias("paths"))
+    """Bursts of a stream, each given once twenty minutes have passed without an event; the last one isn't over."""
+    out = streamed(v, lambda e: ingest.settled(e.withColumn("path", F.col("user_id").cast("string")), "ts", "20 minutes", shards=8), "append", "bursts")
+    when = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.groupBy("start", "end").agg(F.sum("events").alias("events"), F.sum(F.size("paths")).alias("paths")).select(when("start"), when("end"), "events", "paths")
 
 
 # ---------------------------------------------------------------- the store, hashes, providers

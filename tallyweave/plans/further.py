@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import registered
 from tallyweave.operators import joins, paths, search, sketches, topics, vectorindex
-from tallyweave.plans.catalogue import query
+from tallyweave.plans.catalogue import query, streamed
 from tallyweave.plans.views import Views
 from tallyweave.session import kept, shared_dir
 from tallyweave.sources import exports
+from tallyweave.streaming import ingest
 
 # ---------------------------------------------------------------- paths
 
@@ -212,3 +213,31 @@ def locale_order(v: Views) -> DataFrame:
     capital = F.concat(F.upper(F.substring(w, 1, 1)), F.expr("substring(lower(p_type), 2)"))
     rows = v.table("part").select("p_partkey", F.when(k == 0, F.upper(w)).when(k == 1, w).when(k == 2, F.replace(w, F.lit("e"), F.lit("é"))).otherwise(capital).alias("name"))
     return topics.numbered(rows, "place", *topics.reading_order("name"), F.col("p_partkey"))
+
+
+# ---------------------------------------------------------------- state of streams
+
+
+@query(
+    """SELECT a.user_id, a.ts AS seen, b.ts AS bought, b.value FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type <> 'purchase' AND b.event_type = 'purchase'"""
+)
+def stream_join(v: Views) -> DataFrame:
+    """A stream of other events joined with the stream of purchases of the same user in the six hours after."""
+
+    def plan(e: DataFrame) -> DataFrame:
+        seen = e.where("event_type != 'purchase'").select("user_id", F.col("ts").alias("seen"))
+        bought = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), "value")
+        return ingest.followed_by(seen, bought, "user_id", ("seen", "bought"), "6 hours", "1 hour")
+
+    when = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return streamed(v, plan, "append", "joined").select("user_id", when("seen"), when("bought"), "value")
+
+
+@query(
+    """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id::VARCHAR AS user_id, min(ts) AS start, count(*)::BIGINT AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events)"""
+)
+def stream_debounce_keyed(v: Views) -> DataFrame:
+    """Bursts of each user, given once twelve hours have passed without another event of that user."""
+    out = streamed(v, lambda e: ingest.settled(e.withColumn("path", F.col("event_type")), "ts", "12 hours", key="user_id", shards=1), "append", "bursts")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", F.array_join("paths", ",").alias("paths"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallyweave.config import SyncOptions
 from tallyweave.operators import lookup, mutate
@@ -54,12 +54,93 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, ever
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
-def settled(changes: DataFrame, at: str, gap: str, late: str = "0 seconds") -> DataFrame:
-    """A trailing debounce of a stream of changed paths (column path, a time `at`): one row per burst, with its distinct
-    paths, once `gap` has passed without another change (and `late` for what comes out of order)."""
-    kept_ = changes.withWatermark(at, late)
-    burst = kept_.groupBy(F.col("path").isNull().alias("none"), F.session_window(at, gap).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("events"))
-    return burst.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "events")
+class _Bursts(StatefulProcessor):
+    """Merges pieces of bursts (first, last, shard, events, paths) of one key; a burst is given once `gap` has passed after its last event.
+
+    Pieces wait in a list state. A timer at the end of the earliest open burst looks through them: what is over by the watermark is
+    emitted, one row per burst and shard, and leaves the state."""
+
+    def __init__(self, gap_us: int):
+        self._gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "first bigint, last bigint, shard int, events bigint, paths array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = [(int(r.first_us), int(r.last_us), int(r.shard), int(r.events), list(r.paths)) for r in rows]
+        self._open.appendList(new)
+        self._handle.registerTimer(self._when(min(last for _, last, *_ in new)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        bursts: list[list[tuple]] = []
+        end = None
+        for piece in sorted(tuple(x) for x in self._open.get()):
+            if end is None or piece[0] >= end + self._gap:
+                bursts.append([])
+                end = piece[1]
+            end = max(end, piece[1])
+            bursts[-1].append(piece)
+        left: list[tuple] = []
+        for burst in bursts:
+            first, last = burst[0][0], max(p[1] for p in burst)
+            if last + self._gap > now:
+                left += burst
+                continue
+            by: dict[int, list[tuple]] = {}
+            for p in burst:
+                by.setdefault(p[2], []).append(p)
+            for shard, own in sorted(by.items()):
+                yield Row(key=key[0], first_us=first, last_us=last, shard=shard, events=sum(p[3] for p in own), paths=sorted({x for p in own for x in p[4]}))
+        if left:
+            self._open.put(left)
+            self._handle.registerTimer(max(now // 1000 + 1, self._when(min(p[1] for p in left))))
+        else:
+            self._open.clear()
+
+    def _when(self, last_us: int) -> int:
+        """The first millisecond at which a burst that ends there is over."""
+        return -(-(last_us + self._gap) // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def settled(changes: DataFrame, at: str, gap: str, late: str = "0 seconds", *, key: str | None = None, shards: int = 64) -> DataFrame:
+    """A trailing debounce of a stream of changed paths (column path, a time `at`): bursts of changes (of each key; of all paths, if there is
+    none), given once `gap` has passed without another change (and `late` for what comes out of order).
+
+    Rows are start, end (last change plus gap), shard, events and paths (distinct, sorted), with the key if there is one: one row per burst and
+    shard of paths, so that no row holds all paths. Two levels: windows of an eighth of the gap are combined per shard where they come in; only these
+    summaries, at most `shards` a window, meet in the state that joins them. The state stores need RocksDB.
+    """
+    spark = changes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    gap_us = int(spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}")) - F.unix_micros(F.timestamp_micros(F.lit(0)))).alias("us")).first().us)
+    part = F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")
+    own = changes.withWatermark(at, late).select(F.col(at).alias("at"), "path", (F.col(key).cast("string") if key else F.lit("")).alias("key"))
+    piece = own.groupBy("key", part.alias("shard"), F.window("at", f"{max(1, gap_us // 8)} microseconds").alias("w")).agg(
+        F.unix_micros(F.min(F.col("at").cast("timestamp"))).alias("first_us"), F.unix_micros(F.max(F.col("at").cast("timestamp"))).alias("last_us"), F.count(F.lit(1)).alias("events"), F.collect_set("path").alias("paths")
+    )
+    found = piece.select("key", "shard", "first_us", "last_us", "events", "paths").groupBy("key").transformWithState(_Bursts(gap_us), "key string, first_us bigint, last_us bigint, shard int, events bigint, paths array<string>", "Append", "EventTime")
+    out = found.select(*([F.col("key").alias(key)] if key else []), F.timestamp_micros("first_us").alias("start"), F.timestamp_micros(F.col("last_us") + gap_us).alias("end"), "shard", "events", "paths")
+    return out
+
+
+def followed_by(left: DataFrame, right: DataFrame, key: str, at: tuple[str, str], within: str, late: str = "0 seconds", *, how: str = "inner") -> DataFrame:
+    """Stream-stream join: rows of left with the rows of right of the same key that come after them, by `within` at most. Both sides have a
+    watermark, so state is kept for `within` plus `late` only; how="leftOuter": left rows that nothing follows come too, once that is certain.
+    Columns of the two must have different names but for the key. Works on tables as well."""
+    a, b = left.withWatermark(at[0], late), right.withWatermark(at[1], late).withColumnRenamed(key, "__key")
+    close = (F.col(key) == F.col("__key")) & (F.col(at[1]) > F.col(at[0])) & (F.col(at[1]) <= F.col(at[0]) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, close, how).drop("__key")
+
+
+def once(events: DataFrame, key: str, at: str, late: str) -> DataFrame:
+    """A stream without repeats: of the events of one key within the watermark the first stays, so an input that is replayed changes nothing."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
 def in_time(events: DataFrame, at: str, late: str) -> DataFrame:
