@@ -38,21 +38,40 @@ def rendered(found: DataFrame) -> DataFrame:
     return found.select("label", "name", "title", percent(F.col("score")).alias("shown"), short_description(F.col("description"), F.col("label")).alias("description"))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of every batch for each query, within each value of a third column if there is one: (query, id, score, of)."""
+def _folded(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all batches for each query, within each value of a third column if there is one: (query, id, score, of). What
+    is best so far is held per query and given once, at the end (or when there are so many values that it would grow too large)."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for value, (score, name) in held.items():
+            for at in range(0, len(ids), 4096):
+                s, n = score[:, at : at + 4096].ravel(), name[:, at : at + 4096].ravel()
+                ok = np.isfinite(s)
+                q = np.broadcast_to(ids[None, at : at + 4096], (k, len(ids[at : at + 4096]))).ravel()[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n[ok]), pa.array(s[ok]), pa.array(np.full(len(q), value, np.int64))], names=["query", "id", "score", "of"])
+        held.clear()
+
     for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
         v, own = _matrix(batch.column(1), unit.shape[1])
-        if not len(v):
+        if not len(v) or not len(ids):
             continue
         names = batch.column(0).take(pa.array(own)).to_numpy()
         of = batch.column(2).take(pa.array(own)).to_numpy() if batch.num_columns > 2 else np.zeros(len(own), np.int64)
-        for at in range(0, len(ids), 1024):
-            for value in np.unique(of):
-                mine = np.flatnonzero(of == value)
+        for value in np.unique(of):
+            mine = np.flatnonzero(of == value)
+            if value not in held:
+                if len(held) * k * len(ids) > 4_000_000:
+                    yield from given()
+                held[int(value)] = np.full((k, len(ids)), -np.inf), np.full((k, len(ids)), np.iinfo(np.int64).max)
+            score, name = held[int(value)]
+            for at in range(0, len(ids), 1024):
                 s = np.round(v[mine] @ unit[at : at + 1024].T, 9)
-                order = np.lexsort((np.broadcast_to(names[mine][:, None], s.shape), -s), axis=0)[: min(k, len(mine))]
-                q = np.broadcast_to(ids[None, at : at + 1024], order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(names[mine][order].ravel()), pa.array(np.take_along_axis(s, order, 0).ravel()), pa.array(np.full(q.size, value, np.int64))], names=["query", "id", "score", "of"])
+                s = np.concatenate([score[:, at : at + 1024], s])
+                n = np.concatenate([name[:, at : at + 1024], np.broadcast_to(names[mine][:, None], (len(mine), s.shape[1]))])
+                order = np.lexsort((n, -s), axis=0)[:k]
+                score[:, at : at + 1024], name[:, at : at + 1024] = np.take_along_axis(s, order, 0), np.take_along_axis(n, order, 0)
+    yield from given()
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,41 +84,43 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[ok] / length[ok, None], own[ok]
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, of: str | None = None, most: int = 64 << 20) -> DataFrame:
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, of: str | None = None, most: int = 64 << 20, part: int = 200_000) -> DataFrame:
     """Per query the k best of all vectors (id, embedding), itself left out: query, id, score, rank. Exact. of: a whole-number
     column of vectors; then the k best of each of its values, which comes as a column too.
 
-    Queries are sent to the tasks, `most` bytes of them at a time, and vectors are scanned once for these; every batch folds
-    to its k best per query, so what is shuffled is k rows per query and batch, whatever the number of vectors.
+    Queries of `most` bytes at most are sent to the tasks that scan the vectors. More are dealt into blocks of that size, and vectors into parts
+    of about `part` rows; each block meets each part once. A task folds all it sees to the k best per query before anything is shuffled.
     """
     spark = vectors.sparkSession
-    out: DataFrame | None = None
-    held: list = []
-    dim = None
+    clean = lambda df: df.where("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     source = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding", *([F.col(of).cast("long").alias("of")] if of else []))
     source = source.where("of IS NOT NULL") if of else source
-
-    def flush() -> None:
-        nonlocal out, held
-        ids = np.array([i for i, _ in held])
-        m = np.array([v for _, v in held], np.float64)
-        length = np.sqrt((m * m).sum(1))
-        ids, m = ids[length > 0], m[length > 0] / length[length > 0, None]
-        part = source.mapInArrow(lambda it: _scored(it, ids, m, k + 1), "query bigint, id bigint, score double, of bigint")
-        out = part if out is None else out.union(part)
-        held = []
-
-    for r in queries.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).where("id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator():
-        dim = dim or len(r.embedding)
-        if len(r.embedding) != dim:
-            continue
-        held.append((r.id, r.embedding))
-        if len(held) * dim * 8 >= most:
-            flush()
-    if held:
-        flush()
-    if out is None:
+    asked = clean(queries)
+    kinds = asked.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("dim > 0").orderBy(F.desc("n"), "dim").limit(1).collect()  # vectors of another length match nothing
+    shape = "query bigint, id bigint, score double, of bigint"
+    if not kinds:
         return spark.createDataFrame([], "query bigint, id bigint, score double, rank int" + (f", `{of}` bigint" if of else ""))
+    dim, n = kinds[0]
+    asked = asked.where(F.size("embedding") == dim)
+    blocks = -(-n * dim * 8 // most)
+    if blocks == 1:
+        table = asked.toArrow()
+        unit, own = _matrix(table.column("embedding").combine_chunks(), dim)
+        ids = table.column("id").to_numpy()[own]
+        out = source.mapInArrow(lambda it: _folded(it, ids, unit, k + 1), shape)
+    else:
+        parts = -(-source.count() // part)
+        place = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left, right = source.withColumn("p", place(parts)).withColumn("q", every(blocks)), asked.withColumn("q", place(blocks)).withColumn("p", every(parts))
+
+        def met(own: pa.Table, ask: pa.Table) -> pa.Table:
+            unit, at = _matrix(ask.column("embedding").combine_chunks(), dim)
+            batches = own.select(["id", "embedding", *(["of"] if of else [])]).to_batches()
+            found = list(_folded(iter(batches), ask.column("id").to_numpy()[at], unit, k + 1))
+            return pa.Table.from_batches(found, pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("of", pa.int64())]))
+
+        out = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(met, shape)
     rank = F.row_number().over(Window.partitionBy("query", "of").orderBy(F.desc("score"), "id"))
     best = out.where("query != id").withColumn("rank", rank).where(F.col("rank") <= k)
     return best.withColumnRenamed("of", of) if of else best.drop("of")

@@ -62,8 +62,21 @@ def _present(spark: SparkSession, root: str, only: DataFrame | None) -> DataFram
     paths = [r.path for r in only.select("path").distinct().limit(NAMED_FILES + 1).collect()]
     if len(paths) > NAMED_FILES:
         return markdown.scan(spark, root).join(only.select("path").distinct(), "path", "left_semi")
-    there = [p for p in paths for fs, at in [file_system(spark, p)] if fs.exists(at)]
-    return markdown.scan(spark, root, there)
+    return markdown.scan(spark, root, _there(spark, paths))
+
+
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are files now: one listing a folder, whatever number of its files is asked for."""
+    by: dict[str, list[str]] = {}
+    for p in paths:
+        by.setdefault(p.rpartition("/")[0], []).append(p)
+    out = []
+    for folder, own in by.items():
+        fs, at = file_system(spark, folder or "/")
+        if fs.exists(at):
+            names = {x.getPath().getName() for x in fs.listStatus(at) if x.isFile()}
+            out += [p for p in own if p.rpartition("/")[2] in names]
+    return out
 
 
 def sync(

@@ -66,9 +66,12 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def result_json(df: DataFrame, most: int = 1000) -> str:
-    """A result as a printed answer: its columns and at most `most` rows. More belong into json_lines."""
-    rows = [json.loads(r.j) for r in df.limit(most).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).collect()]
+def result_json(df: DataFrame, most: int = 100_000) -> str:
+    """A result as a printed answer: its columns and all its rows. More than `most` rows are refused, not cut: they belong into json_lines,
+    which tasks write."""
+    rows = [json.loads(r.j) for r in df.limit(most + 1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).collect()]
+    if len(rows) > most:
+        raise ValueError(f"the result has more than {most} rows; write it with json_lines")
     return json.dumps({"columns": df.columns, "resultSet": rows}, indent=2, ensure_ascii=False)
 
 

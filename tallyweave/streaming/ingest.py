@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallyweave.config import SyncOptions
-from tallyweave.operators import lookup, mutate
+from tallyweave.operators import mutate
 from tallyweave.operators.sync import sync
 from tallyweave.schema import NODE_KEY
 from tallyweave.session import kept
-from tallyweave.sources.markdown import local_path
+from tallyweave.sources import tree
 from tallyweave.sources.store import Store
 
 
@@ -32,25 +32,21 @@ def upsert_stream(feed: DataFrame, store: Store, checkpoint: str, order: str) ->
 
 
 def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, every: str = "500 milliseconds", embed: Callable | None = None, dim: int = 512, once: bool = False) -> StreamingQuery:
-    """Sync what arrives below root, and what goes. A micro-batch names the files that came since the last one, and only these
-    are synced: all changes within `every` are one sync. Files that are gone are found by listing the tree, which reads no
-    file; unless `once`, a beat every `every` does so even while nothing arrives. A batch that is run again finds the same
-    graph: hashes that are stored already change nothing."""
+    """Sync what arrives below root, and what goes. The tree is a stream of its own (sources.tree): a micro-batch names the files that came,
+    changed or went since the last one, and only these are synced; all changes within `every` are one sync, and a quiet tree is none. A batch
+    that is run again finds the same graph: hashes that are stored already change nothing."""
     SyncOptions(watch=True)
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    arrived = files.select(local_path("_metadata.file_path").alias("path"))
-    if not once:
-        beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(None).cast("string").alias("path"))
-        arrived = arrived.union(beat)
+    tree.register(spark)
+    files = spark.readStream.format("file_tree").option("path", root).option("state", f"{checkpoint}/listings").load()
 
     def apply(batch: DataFrame, _: int) -> None:
-        came = kept(batch.where("path IS NOT NULL").select("path").distinct(), "arrived")
-        here = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root).select(local_path("path").alias("path"))
-        gone = kept(lookup.document_hashes(store.nodes()).select("path").join(here, "path", "left_anti"), "gone")
-        if not (came.isEmpty() and gone.isEmpty()):
-            sync(spark, store, root, embed=embed, dim=dim, only=came.unionByName(gone), removed=gone)
+        moved = kept(batch.select("path", "change"), "moved")
+        gone = moved.where("change = 'gone'").select("path")
+        if not moved.isEmpty():
+            sync(spark, store, root, embed=embed, dim=dim, only=moved.select("path"), removed=gone)
+            store.compact()
 
-    out = arrived.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    out = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
