@@ -104,9 +104,10 @@ class _Bursts(StatefulProcessor):
         pass
 
 
-def settled(changes: DataFrame, at: str, gap: str, late: str = "0 seconds", *, key: str | None = None, shards: int = 64) -> DataFrame:
+def settled(changes: DataFrame, at: str, gap: str, late: str | None = "0 seconds", *, key: str | None = None, shards: int = 64) -> DataFrame:
     """A trailing debounce of a stream of changed paths (column path, a time `at`): bursts of changes (of each key; of all paths, if there is
-    none), given once `gap` has passed without another change (and `late` for what comes out of order).
+    none), given once `gap` has passed without another change (and `late` for what comes out of order; None:
+    the stream has a watermark already).
 
     Rows are start, end (last change plus gap), shard, events and paths (distinct, sorted), with the key if there is one: one row per burst and
     shard of paths, so that no row holds all paths. Two levels: windows of an eighth of the gap are combined per shard where they come in; only these
@@ -116,7 +117,7 @@ def settled(changes: DataFrame, at: str, gap: str, late: str = "0 seconds", *, k
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     gap_us = int(spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}")) - F.unix_micros(F.timestamp_micros(F.lit(0)))).alias("us")).first().us)
     part = F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")
-    own = changes.withWatermark(at, late).select(F.col(at).alias("at"), "path", (F.col(key).cast("string") if key else F.lit("")).alias("key"))
+    own = (changes if late is None else changes.withWatermark(at, late)).select(F.col(at).alias("at"), "path", (F.col(key).cast("string") if key else F.lit("")).alias("key"))
     piece = own.groupBy("key", part.alias("shard"), F.window("at", f"{max(1, gap_us // 8)} microseconds").alias("w")).agg(
         F.unix_micros(F.min(F.col("at").cast("timestamp"))).alias("first_us"), F.unix_micros(F.max(F.col("at").cast("timestamp"))).alias("last_us"), F.count(F.lit(1)).alias("events"), F.collect_set("path").alias("paths")
     )
