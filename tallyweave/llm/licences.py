@@ -174,7 +174,7 @@ def licences(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("d
     # the few segments left are dealt evenly: work, not bytes, decides how long they take
     held = scanned.where(F.size("__s") > 0).select("__id", F.posexplode("__s").alias("p", "s")).repartition(4 * spark.sparkContext.defaultParallelism)
     held = held.select("__id", "p", F.expr(let("split(s, ' ')", "w", "array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y)))")).alias("b"))
-    found = held.select("__id", "p", F.size("b").alias("m"), F.explode("b").alias("gram")).join(F.broadcast(grams), "gram").where(F.col("m").between(low * F.col("n") - 1e-6, high * F.col("n") + 1e-6))
+    found = held.select("__id", "p", F.size("b").alias("m"), F.explode("b").alias("gram")).join(F.broadcast(grams) if len(table) <= _base.SENT_ROWS else grams, "gram").where(F.col("m").between(low * F.col("n") - 1e-6, high * F.col("n") + 1e-6))
     dice = (F.lit(2.0) * F.count(F.lit(1)) / (F.col("m") + F.col("n"))).alias("dice")
     scored = found.groupBy("__id", "p", "t", "licence", "m", "n").agg(dice).where(F.col("dice") >= least)
     best = scored.groupBy("__id").agg(F.collect_set(F.struct("dice", "licence", "p")).alias("m"))

@@ -21,11 +21,12 @@ no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _base
@@ -184,6 +185,10 @@ def _scored(pack: pa.Table, answers: pa.Table, tokens: int, alpha: float, least:
     return pa.table({"rid": rid, "total": sums, "fallbacks": back})
 
 
+def _name(seed: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
+
+
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.4, least_count: int = 2, pack_tokens: int = 1_600_000, part_grams: int = 2_000_000) -> DataFrame:
     """Per document row: doc_id, n_tokens, n_fallbacks (words scored below the order their context allows), log_score (sum of
     natural logs, null without tokens).
@@ -192,8 +197,13 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rid = F.xxhash64("doc_id", "text").alias("rid")
-    rows = _base.staged(own.select("doc_id", rid, count.alias("n_tokens")), "rows")
+    for seed in itertools.count():
+        # rows are named by a hash of id and text; a second one tells whether two of them share a name, and then all are named anew
+        rid = _name(seed).alias("rid")
+        rows = _base.staged(own.select("doc_id", rid, F.xxhash64("text", F.lit("other"), "doc_id").alias("other"), count.alias("n_tokens")), "rows")
+        if rows.groupBy("rid").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high").isEmpty():
+            break
+        _base.drop_staged(rows)
     tokens = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
     parts = max(16, int(tokens * 1.7 / part_grams) + 1)
     bits = min(64, 2 * max(tokens, 2).bit_length() + 1)

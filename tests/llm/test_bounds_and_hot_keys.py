@@ -12,7 +12,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm import _base, mixing, neardup, pii, secrets, toxicity
+from tallyweave.llm import _base, lmscore, mixing, neardup, pii, secrets, toxicity
 
 # -- mixing: repeated rows at the cut -----------------------------------------------------------------------------
 
@@ -168,3 +168,20 @@ def test_hot_values_patterns_and_buckets(hot, monkeypatch, call):
     want = sorted(map(str, call(hot).collect()))
     monkeypatch.setattr(_base, "SENT_ROWS", 3)
     assert sorted(map(str, call(hot).collect())) == want
+
+
+# -- names of rows in language-model scoring ------------------------------------------------------------------------
+
+
+def test_rows_that_share_a_name_are_named_anew(spark, monkeypatch):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(r.paretovariate(0.8)) % 60}" for _ in range(r.randrange(30)))) for k in range(40)] + [(None, "a b"), (3, None)], "doc_id long, text string").repartition(3)
+    want = sorted(map(str, lmscore.scores(docs).collect()))
+    asked = []
+
+    def weak(seed):
+        asked.append(seed)
+        return F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)) if seed == 0 else F.xxhash64("doc_id", "text", F.lit(seed))
+
+    monkeypatch.setattr(lmscore, "_name", weak)
+    assert sorted(map(str, lmscore.scores(docs).collect())) == want and asked == [0, 1]
