@@ -135,15 +135,22 @@ def sync(
     new_nodes = mutate.set_hashes(new_nodes, work.select(F.col("path").alias("name"), "content_hash", F.lit(None).cast("string").alias("embedding_source_hash")), now)
     new_nodes, new_edges = mutate.upsert_relationships(new_nodes, mutate.delete_by_document(near_edges, paths), batch, now)
     new_nodes, new_edges = mutate.remove_documents(new_nodes, new_edges, lost)
+    failed = None
     if embed is not None:
         names = F.coalesce(F.transform("entities", lambda e: e["name"]), F.array().cast("array<string>"))
         doc_text = t.document_text(F.col("title"), F.col("topic"), F.coalesce("tags", F.array().cast("array<string>")), names, F.col("summary"), F.col("content"))
         texts = work.select(F.lit("Document").alias("label"), F.col("path").alias("name"), doc_text.alias("text")).unionByName(folded.select(F.col("type").alias("label"), "name", t.entity_text(F.col("type"), F.col("name"), F.col("description")).alias("text")))
-        vectors = embedded(texts, embed)
+        vectors = store.staged(embedded(texts, embed))  # a service is asked once
+        if "embedding_error" in vectors.columns:
+            # these keep what they had, and as their source hash stays as well they are asked for again
+            failed = vectors.where("embedding_error IS NOT NULL").select(F.col("name").alias("path"), F.concat(F.lit("embedding: "), "embedding_error").alias("error"))
+            vectors = vectors.where("embedding IS NOT NULL")
         new_nodes = mutate.set_embeddings(new_nodes, vectors.select("label", "name", "embedding"), dim)
-        sources = texts.where("label = 'Document'").select("name", F.sha2("text", 256).alias("__h"), F.lit("Document").alias("label"))
+        done = texts.join(vectors.select("label", "name"), ["label", "name"], "left_semi") if failed is not None else texts
+        sources = done.where("label = 'Document'").select("name", F.sha2("text", 256).alias("__h"), F.lit("Document").alias("label"))
         new_nodes = new_nodes.join(sources, ["label", "name"], "left").withColumn("embedding_source_hash", F.coalesce("__h", "embedding_source_hash")).drop("__h")
     problems = broken.unionByName(resolved.where("problem IS NOT NULL").select("path", F.col("problem").alias("error")))
+    problems = problems if failed is None else problems.unionByName(failed)
     counts = {r.change_type: r.documents for r in changes.summary(found).collect()}
     new_nodes, new_edges = store.staged(new_nodes), store.staged(new_edges)
     version = None if dry_run else store.apply((near, new_nodes), (near_edges, new_edges))

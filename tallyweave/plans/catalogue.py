@@ -830,7 +830,8 @@ def header_faults(v: Views) -> DataFrame:
 
 @query("SELECT doc_id::VARCHAR AS path, array_to_string(['Notes', 'code-' || source, lang || ' page'], ',') AS names, 'Topic,Technology,Concept' AS types, 3::BIGINT AS refs, 'About ' || source AS summary, true AS success FROM documents")
 def rule_extraction(v: Views) -> DataFrame:
-    content = F.concat(F.lit("# T\n\nAbout "), "source", F.lit("\n\n## Notes\n`code-"), "source", F.lit("` and [["), "lang", F.lit(" page]] and [["), "lang", F.lit(" page|again]]\n"))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[`\[\]]", " "), r"(?m)^#", " #")  # marks nothing
+    content = F.concat(F.lit("# T\n\nAbout "), "source", F.lit("\n\n"), plain, F.lit("\n\n## Notes\n`code-"), "source", F.lit("` and [["), "lang", F.lit(" page]] and [["), "lang", F.lit(" page|again]]\n"))
     got = extraction.rule_based(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
     return got.select("path", F.array_join("entities.name", ",").alias("names"), F.array_join("entities.type", ",").alias("types"), F.size("relationships").cast("long").alias("refs"), "summary", "success")
 
@@ -905,14 +906,13 @@ def question_link_new(v: Views) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'L3' AS label, 'vec-' || vec_id AS name, 'vector ' || vec_id AS title, printf('%.2f%%', 100 * score) AS shown, NULL::VARCHAR AS description
-FROM (SELECT vec_id, {_COS.format(a="embedding", b=_Q0)} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, 'vec-' || vec_id LIMIT 20)"""
+    f"""WITH texts AS (SELECT 0 AS id, 'graph databases' AS x), {_MOCK[: _MOCK.rindex("SELECT id, i::INT")].replace("16", "64")}
+SELECT 'L3' AS label, 'vec-' || vec_id AS name, 'vector ' || vec_id AS title, printf('%.2f%%', 100 * score) AS shown, NULL::VARCHAR AS description
+FROM (SELECT vec_id, {_COS.format(a="embedding", b="(SELECT u FROM unit)")} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, 'vec-' || vec_id LIMIT 20)"""
 )
 def semantic_search(v: Views) -> DataFrame:
-    """A text embedded as a query and searched for within a label; the provider knows the text 'first' as the first vector."""
-    first = _first_vector(v)
-    embed = lambda df: df.withColumn("embedding", F.array(*(F.lit(float(x)) for x in first)))
-    return search.semantic(_vector_nodes(v), "first", embed, label="L3")
+    """A text embedded by the mock provider and searched for within a label."""
+    return search.semantic(_vector_nodes(v), "graph databases", provider("mock", 64), label="L3")
 
 
 @query("SELECT count(*)::BIGINT AS queries, true AS good FROM embeddings WHERE vec_id % 100 = 0")
@@ -1028,9 +1028,9 @@ def literal_escape(v: Views) -> DataFrame:
     """Names with quotes and comment signs, stored and looked up by parameters."""
     odd = F.concat(F.lit("It's \""), "s_name", F.lit('"; --'))
     nodes = v.table("supplier").select("s_suppkey", F.lit("Organization").alias("label"), odd.alias("name"))
-    first = nodes.orderBy("s_suppkey").first().name
-    one = v.spark.sql("SELECT s_suppkey, name FROM {n} WHERE name = :name", args={"name": first}, n=nodes)
-    return one.unionByName(nodes.where(F.col("name") != first).select("s_suppkey", "name"))
+    wanted = nodes.select(F.col("name").alias("asked"))
+    return v.spark.sql("SELECT n.s_suppkey, n.name FROM {n} n JOIN {w} w ON n.name = w.asked WHERE n.label = :label AND n.name != :other", args={"label": "Organization", "other": "It's \"x\"; --'"}, n=nodes, w=wanted)
+
 
 
 @query("SELECT p_partkey, length(p_name)::FLOAT AS x, 'document' AS kind FROM part")
@@ -1047,7 +1047,7 @@ def http_embed(v: Views) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS path, sha256('{\"title\":\"' || source || '\",\"when\":{\"from\":\"2024-01-02\",\"list\":[\"2024-02-29\"]},\"n\":1}') AS hash FROM documents")
 def header_hash(v: Views) -> DataFrame:
     """Headers hashed as compact JSON in the order they were written, dates as text at any depth."""
-    content = F.concat(F.lit("---\ntitle: "), "source", F.lit("\nwhen: {from: 2024-01-02, list: [2024-02-29]}\nn: 1\n---\nx"))
+    content = F.concat(F.lit("---\ntitle: "), "source", F.lit("\nwhen: {from: 2024-01-02, list: [2024-02-29]}\nn: 1\n---\n"), F.coalesce("text", F.lit("")))
     return markdown.parsed(v.table("documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))).select("path", F.col("frontmatter_hash").alias("hash"))
 
 

@@ -309,3 +309,32 @@ def test_settled_and_state(spark, tmp_path):
     assert got[("c",)] == 1 and not any("late" in p for p in got)
     last = ingest.latest_by_key(spark.read.schema(kind).parquet(f"file://{src}"), "u", "at", "path").first()
     assert (last.path, last.events) == ("d", 6)
+
+
+def test_a_failing_embedding_costs_its_own_row_only(spark, tmp_path):
+    """A service that refuses one text and stumbles once: all others get vectors, the sync goes on and names the document."""
+    calls = []
+
+    def post(url, headers, body):
+        calls.append(len(body["input"]))
+        if any("poison" in x for x in body["input"]):
+            raise OSError("refused")
+        return {"data": [{"index": k, "embedding": [float(len(x)), 1.0]} for k, x in enumerate(body["input"])]}
+
+    def run(frames):
+        return embedding.http("openai", "k", "m", post=post, errors="rows", turns=2, sleep=lambda _: None)(frames)
+
+    df = spark.createDataFrame([(k, "poison" if k == 5 else f"text {k}") for k in range(9)], "id long, text string").coalesce(1)
+    got = {r.id: r for r in run(df).collect()}
+    assert len(got) == 9 and [i for i, r in got.items() if r.embedding is None] == [5] and "refused" in got[5].embedding_error and got[4].embedding_error is None
+    with pytest.raises(ValueError):
+        embedding.http("openai", "k", "m", errors="skip")
+    tree = tmp_path / "docs"
+    for name in ("good", "bad"):
+        (tree / f"{name}.md").parent.mkdir(parents=True, exist_ok=True)
+        (tree / f"{name}.md").write_text(f"# {name}\n" + ("poison" if name == "bad" else "fine"))
+    store = Store(spark, f"file://{tmp_path}/graph")
+    result = sync(spark, store, f"file://{tree}", embed=run, dim=2)
+    assert [(r.path.rsplit("/", 1)[1], "refused" in r.error) for r in result.problems.collect()] == [("bad.md", True)]
+    rows = {r.name.rsplit("/", 1)[1]: (r.embedding is not None, r.embedding_source_hash is not None, r.content_hash is not None) for r in store.nodes().where("label = 'Document'").collect()}
+    assert rows == {"good.md": (True, True, True), "bad.md": (False, False, True)}
