@@ -91,6 +91,47 @@ def where_pairs(left: DataFrame, right: DataFrame, condition: Column, *, pairs:
     return a.join(b, ["__r", "__c"]).where(condition).drop("__r", "__c")
 
 
+def totals_below(asked: DataFrame, rows: DataFrame, bound: str, at: str, value: str, *, key: str | None = None, part: int = 200_000) -> DataFrame:
+    """asked with n, filled and total: how many rows have at < bound (of the same key, if one is given), how many of these have a value, and
+    the sum of their values (null if none has). What a join on that inequality and a grouping would give, without its pairs.
+
+    Rows are folded by key and at; these and the bounds are dealt by ranges of key and place, each range is summed up by itself, and what a
+    range holds of a key is added to the key's later ranges: work and memory follow the rows, never the pairs. part: rows of a range.
+    Doubles are summed as decimals of ten places, so that differences of totals are exact to these. Rows of asked whose bound or key is
+    null are left out. Columns at and bound must be of one type.
+    """
+    spark = asked.sparkSession
+    own = F.col(key) if key else F.lit(0)
+    v = F.col(value).cast("decimal(28,10)") if rows.schema[value].dataType.typeName() in ("double", "float") else F.col(value)
+    sums = ["n", "filled", "total"]
+    r = rows.where(F.col(at).isNotNull() & own.isNotNull()).groupBy(own.alias("__key"), F.col(at).alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("filled"), F.sum(v).alias("total"))
+    a = asked.where(F.col(bound).isNotNull() & own.isNotNull()).select(own.alias("__key"), F.col(bound).alias("__at"), F.struct(*asked.columns).alias("__row"))
+    # at one place bounds come before rows; they are told apart by a number, so that many equal bounds may lie in several ranges
+    both = kept(a.withColumns({"__o": F.lit(0), "__id": F.monotonically_increasing_id()}).unionByName(r.withColumns({"__o": F.lit(1), "__id": F.lit(0).cast("long")}), allowMissingColumns=True), "bounds")
+    order = ["__at", "__o", "__id"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(both.count() / part))
+    dealt = kept(both.repartitionByRange(parts, "__key", *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__part", "__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.repartition(parts, "__part").select("__key", "__part", "__row", *(F.sum(c).over(within).alias(c) for c in sums)).where("__row IS NOT NULL")
+    # what each range holds of a key, and what a key's later ranges inherit: rows are keys and ranges, not data
+    held = dealt.groupBy("__key", "__part").agg(*(F.sum(c).alias(c) for c in sums))
+    spread = kept(held.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__key"))).where("__n > 1"), "carried")
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.select("__key", "__part", *(F.sum(c).over(earlier).alias(f"__{c}") for c in sums))
+    # a key of several ranges ends or begins in each: there are fewer such rows than twice the ranges
+    out = seen.join(F.broadcast(carried), ["__key", "__part"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    both_ = lambda c: none(F.col(c)) + none(F.col(f"__{c}"))
+    return out.select("__row.*", both_("n").alias("n"), both_("filled").alias("filled"), F.when(both_("filled") > 0, both_("total")).alias("total"))
+
+
+def signed_totals(asked: DataFrame, by: str) -> DataFrame:
+    """by, n and total (double) of what totals_below gave for bounds with a column sign: those of 1 less those of -1. Without any row left, no group."""
+    sign = F.col("sign")
+    out = asked.groupBy(by).agg(F.sum(sign * F.col("n")).alias("n"), F.sum(sign * F.col("filled")).alias("filled"), F.sum(sign * F.coalesce("total", F.lit(0))).cast("double").alias("total"))
+    return out.where("n > 0").select(by, "n", F.when(F.col("filled") > 0, F.col("total")).alias("total"))
+
+
 def best_of_each(left: DataFrame, right: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """left with its key's k first rows of right (as a lateral subquery would give): ranked once per key, then joined."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
