@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -53,18 +55,21 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, ever
 class _Bursts(StatefulProcessor):
     """Merges pieces of bursts (first, last, shard, events, paths) of one key; a burst is given once `gap` has passed after its last event.
 
-    Pieces wait in a list state. A timer at the end of the earliest open burst looks through them: what is over by the watermark is
+    Pieces that lie before the watermark as they come in are dropped. Others wait in a list state. A timer at the end of the earliest open burst looks through them: what is over by the watermark is
     emitted, one row per burst and shard, and leaves the state."""
 
-    def __init__(self, gap_us: int):
-        self._gap = gap_us
+    def __init__(self, gap_us: int, window_us: int):
+        self._gap, self._window = gap_us, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._open = handle.getListState("open", "first bigint, last bigint, shard int, events bigint, paths array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = [(int(r.first_us), int(r.last_us), int(r.shard), int(r.events), list(r.paths)) for r in rows]
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [(int(r.first_us), int(r.last_us), int(r.shard), int(r.events), list(r.paths)) for r in rows if (r.first_us // self._window + 1) * self._window > now]
+        if not new:
+            return iter(())
         self._open.appendList(new)
         self._handle.registerTimer(self._when(min(last for _, last, *_ in new)))
         return iter(())
@@ -104,24 +109,41 @@ class _Bursts(StatefulProcessor):
         pass
 
 
-def settled(changes: DataFrame, at: str, gap: str, late: str | None = "0 seconds", *, key: str | None = None, shards: int = 64) -> DataFrame:
+_PIECE = "key string, first_us bigint, last_us bigint, shard int, events bigint, paths array<string>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window_us: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, at in microseconds, shard, path) of one key, shard and window as one piece, within what a task is sent at once."""
+    for batch in batches:
+        at = batch.column(1).to_numpy()
+        rows = pa.table({"key": batch.column(0), "w": at // window_us, "us": at, "shard": batch.column(2), "path": batch.column(3)})
+        one = rows.group_by(["key", "shard", "w"]).aggregate([("us", "min"), ("us", "max"), ("us", "count"), ("path", "distinct")])
+        paths = one.column("path_distinct").combine_chunks()
+        if paths.null_count or paths.flatten().null_count:  # events without a path count, and name none
+            paths = pa.array([[p for p in x if p is not None] for x in paths.to_pylist()], pa.list_(pa.string()))
+        own = [one.column("key"), one.column("us_min"), one.column("us_max"), one.column("shard"), one.column("us_count"), pc.cast(paths, pa.list_(pa.string()))]
+        yield from pa.table(own, names=["key", "first_us", "last_us", "shard", "events", "paths"]).to_batches()
+
+
+def settled(changes: DataFrame, at: str, gap: str, late: str | None = "0 seconds", *, key: str | None = None, shards: int = 1) -> DataFrame:
     """A trailing debounce of a stream of changed paths (column path, a time `at`): bursts of changes (of each key; of all paths, if there is
     none), given once `gap` has passed without another change (and `late` for what comes out of order; None:
     the stream has a watermark already).
 
     Rows are start, end (last change plus gap), shard, events and paths (distinct, sorted), with the key if there is one: one row per burst and
-    shard of paths, so that no row holds all paths. Two levels: windows of an eighth of the gap are combined per shard where they come in; only these
-    summaries, at most `shards` a window, meet in the state that joins them. The state stores need RocksDB.
+    shard of paths; with many paths, several shards keep a row from holding all. Two levels: what a task reads is combined per shard and window of
+    an eighth of the gap; only these summaries meet in the state that joins them, in the batch they came with. (A windowed aggregation would hold
+    them back until its window closes, and a burst that goes on in an open window would look as if it were over.) The state stores need RocksDB.
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     gap_us = int(spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}")) - F.unix_micros(F.timestamp_micros(F.lit(0)))).alias("us")).first().us)
+    window_us = max(1, gap_us // 8)
     part = F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")
-    own = (changes if late is None else changes.withWatermark(at, late)).select(F.col(at).alias("at"), "path", (F.col(key).cast("string") if key else F.lit("")).alias("key"))
-    piece = own.groupBy("key", part.alias("shard"), F.window("at", f"{max(1, gap_us // 8)} microseconds").alias("w")).agg(
-        F.unix_micros(F.min(F.col("at").cast("timestamp"))).alias("first_us"), F.unix_micros(F.max(F.col("at").cast("timestamp"))).alias("last_us"), F.count(F.lit(1)).alias("events"), F.collect_set("path").alias("paths")
-    )
-    found = piece.select("key", "shard", "first_us", "last_us", "events", "paths").groupBy("key").transformWithState(_Bursts(gap_us), "key string, first_us bigint, last_us bigint, shard int, events bigint, paths array<string>", "Append", "EventTime")
+    own = (changes if late is None else changes.withWatermark(at, late)).where(F.col(at).isNotNull())
+    own = own.select((F.col(key).cast("string") if key else F.lit("")).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), part.alias("shard"), "path")
+    piece = own.mapInArrow(lambda it: _pieces(it, window_us), _PIECE)
+    found = piece.groupBy("key").transformWithState(_Bursts(gap_us, window_us), _PIECE, "Append", "EventTime")
     out = found.select(*([F.col("key").alias(key)] if key else []), F.timestamp_micros("first_us").alias("start"), F.timestamp_micros(F.col("last_us") + gap_us).alias("end"), "shard", "events", "paths")
     return out
 
