@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tallyweave.functions import text as t
 from tallyweave.operators import cascade, changes, entities, lookup, mutate
 from tallyweave.schema import EDGE_KEY
-from tallyweave.session import file_system
 from tallyweave.sources import markdown
 from tallyweave.sources.embedding import embedded
 from tallyweave.sources.extraction import Extractor, filled
@@ -38,47 +37,11 @@ class Result:
     relationships: DataFrame | None = dc_field(default=None, repr=False)
 
 
-#: Files that are named one by one when their contents are read again; more are found by scanning the tree.
-NAMED_FILES = 10_000
-
-
 def _few(df: DataFrame) -> DataFrame:
     """A scan of many small files in a few tasks a core, so that what is written of it isn't as many files again."""
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """path, content of the wanted paths: only these files are read, unless they are very many."""
-    paths = [r.path for r in wanted.select("path").limit(NAMED_FILES + 1).collect()]
-    if len(paths) <= NAMED_FILES:
-        return markdown.scan(spark, root, paths)
-    return markdown.scan(spark, root).join(wanted.select("path"), "path", "left_semi")
-
-
-def _present(spark: SparkSession, root: str, only: DataFrame | None) -> DataFrame:
-    """path, content at hand: of the whole tree, or of the paths of `only` that are there."""
-    if only is None:
-        return markdown.scan(spark, root)
-    paths = [r.path for r in only.select("path").distinct().limit(NAMED_FILES + 1).collect()]
-    if len(paths) > NAMED_FILES:
-        return markdown.scan(spark, root).join(only.select("path").distinct(), "path", "left_semi")
-    return markdown.scan(spark, root, _there(spark, paths))
-
-
-def _there(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Those of the paths that are files now: one listing a folder, whatever number of its files is asked for."""
-    by: dict[str, list[str]] = {}
-    for p in paths:
-        by.setdefault(p.rpartition("/")[0], []).append(p)
-    out = []
-    for folder, own in by.items():
-        fs, at = file_system(spark, folder or "/")
-        if fs.exists(at):
-            names = {x.getPath().getName() for x in fs.listStatus(at) if x.isFile()}
-            out += [p for p in own if p.rpartition("/")[2] in names]
-    return out
-
-
 def sync(
     spark: SparkSession, store: Store, root: str, *, embed: Callable[[DataFrame], DataFrame] | None = None, dim: int = 512, only: DataFrame | None = None, removed: DataFrame | None = None,
     force: bool = False, dry_run: bool = False, now: Column | None = None, extract: Extractor | None = None,
@@ -94,7 +57,7 @@ def sync(
     now = F.coalesce(now, F.localtimestamp())
     if removed is not None and only is not None:
         only = only.select("path").unionByName(removed.select("path")).distinct()  # one that is still there is looked at like the others
-    hashed = store.staged(_few(_present(spark, root, only)).select("path", t.content_hash(F.col("content")).alias("content_hash")))
+    hashed = store.staged(_few(markdown.scan(spark, root, only)).select("path", t.content_hash(F.col("content")).alias("content_hash")))
     nodes, edges = store.nodes(), store.relationships()
     tracked = lookup.document_hashes(nodes)
     found = changes.detect(hashed, tracked, only=only, force=force)
@@ -102,7 +65,7 @@ def sync(
         lost = removed.select("path").distinct().join(tracked.select("path"), "path", "left_semi").join(hashed.select("path"), "path", "left_anti")
         found = found.join(lost, "path", "left_anti").unionByName(changes.reasoned(lost.withColumn("change_type", F.lit("deleted"))))
     found = store.staged(found)
-    parsed = store.staged(markdown.parsed(_few(_contents(spark, root, found.where("change_type IN ('new', 'updated')")))))
+    parsed = store.staged(markdown.parsed(_few(markdown.scan(spark, root, found.where("change_type IN ('new', 'updated')")))))
     broken = markdown.errors(parsed)
     # a file that can't be read counts as new, whatever was stored of it
     found = store.staged(changes.reasoned(found.join(broken.select("path", F.lit(True).alias("__bad")), "path", "left").select("path", F.when(F.col("__bad"), "new").otherwise(F.col("change_type")).alias("change_type"))))

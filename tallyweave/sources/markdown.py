@@ -8,6 +8,7 @@ import posixpath
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +31,94 @@ def local_path(column: str) -> Column:
     return F.regexp_replace(F.col(column), "^file:/+", "/")
 
 
-def scan(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """path, content of every .md file below root, but for node_modules and .git; of some paths only, if they are named."""
-    if paths is not None and not paths:
-        return spark.createDataFrame([], "path string, content string")
-    files = spark.read.text(paths or root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    return files.select(local_path("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike(r"/(node_modules|\.git)/"))
+def scan(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """path, content of every .md file below root, but for node_modules and .git; of some paths only (a table with a column path), if they are
+    given. Names that begin with _ or . are passed over, as Spark's readers do; paths that aren't there give no row.
+
+    Tasks list the folders, one each of those right below root, and then read the files that are dealt to them one after the other: contents
+    meet no shuffle, and neither names nor contents pass the driver. A file system that only Spark can open is read by Spark.
+    """
+    if _opened(root):
+        names = _listed(spark, root) if paths is None else paths.select(local_path("path").alias("path")).distinct()
+        dealt = names.where(_WANTED).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+        return dealt.mapInArrow(_read, "path string, content binary").select("path", F.col("content").cast("string").alias("content"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    found = files.select(local_path("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(_WANTED)
+    return found if paths is None else found.join(paths.select(local_path("path").alias("path")).distinct(), "path", "left_semi")
+
+
+_WANTED = r"path LIKE '%.md' AND NOT path RLIKE '/(node_modules|[.]git)/' AND NOT path RLIKE '/([.][^/]*|_[^=/]*)$'"
+_HELD = 4 << 20  # bytes of contents that a task holds at once, or one file
+
+
+def _opened(root: str) -> bool:
+    """Whether tasks can open a folder's file system by themselves."""
+    from tallyweave.sources.sinks import _store
+
+    try:
+        _store(root)
+    except (ValueError, OSError, NotImplementedError):  # pyarrow's errors are kinds of these
+        return False
+    return True
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """path of all files below root."""
+    from pyarrow import fs
+
+    from tallyweave.sources.sinks import _store
+
+    root = root.rstrip("/")
+
+    def walk(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+        for here in (x for b in batches for x in b.column(0).to_pylist()):
+            store, at = _store(here)
+            prefix, todo = "" if here == at or here.startswith("file:") else here.rstrip("/").removesuffix(at), [at]
+            while todo:
+                inside = store.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=deep))
+                hidden = lambda n: n.startswith(".") or (n.startswith("_") and "=" not in n)
+                own = [x for x in inside if not hidden(x.base_name)]
+                folders = [x.path for x in own if x.type == fs.FileType.Directory and x.base_name != "node_modules"]
+                files = [prefix + x.path for x in own if x.type == fs.FileType.File]
+                if deep:
+                    todo += folders
+                rows = files + ([] if deep else [prefix + x for x in folders])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([deep or k < len(files) for k in range(len(rows))], pa.bool_())], names=["path", "file"])
+
+    top = spark.createDataFrame([(root,)], "path string").coalesce(1).mapInArrow(lambda it: walk(it, False), "path string, file boolean")
+    below = top.where("NOT file").select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(lambda it: walk(it, True), "path string, file boolean")
+    return top.where("file").union(below).select("path")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path and content (bytes) of files; those that are gone are left out."""
+    from tallyweave.sources.sinks import _store
+
+    held: list[tuple[str, bytes]] = []
+    opened: dict[str, tuple] = {}
+
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], names=["path", "content"])
+        held.clear()
+        return out
+
+    size = 0
+    for path in (x for b in batches for x in b.column(0).to_pylist()):
+        folder, _, name = path.rpartition("/")
+        if folder not in opened:
+            opened.clear()
+            opened[folder] = _store(folder or "/")
+        store, at = opened[folder]
+        try:
+            with store.open_input_stream(f"{at}/{name}") as f:
+                held.append((path, f.read()))
+        except FileNotFoundError:
+            continue
+        size += len(held[-1][1])
+        if size > _HELD or len(held) >= 1000:
+            yield given()
+            size = 0
+    yield given()
 
 
 def split_front(content: Column) -> tuple[Column, Column]:
