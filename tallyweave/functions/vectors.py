@@ -24,7 +24,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once a row: what stands inside a transform is worked out for each element otherwise."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -32,7 +32,7 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     scaled = lambda v, n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
-    return _bound(a, lambda v: _bound(norm(v), lambda n: scaled(v, n)))
+    return bound(a, lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def fixed_size(a: Column, n: int) -> Column:
@@ -52,4 +52,4 @@ def mock_embedding(text: Column, dim: int) -> Column:
     h = F.call_function("java_method", F.lit("java.util.Objects"), F.lit("hashCode"), text).cast("long")
     wrap = lambda x: F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
     raw = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((wrap(h * (i + 1)).bitwiseXOR(i.cast("long") * HASH_FACTOR)) % 2000 - 1000) / F.lit(1000.0))
-    return l2_normalize(_bound(h, raw))
+    return l2_normalize(bound(h, raw))

@@ -11,22 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import present
-from tallyweave.functions.vectors import fixed_size, parse_vector
+from tallyweave.functions.vectors import bound, fixed_size, parse_vector
 
 
 def answer_rows(answers: DataFrame, text: str = "value") -> DataFrame:
     """The rows of query answers (a column of JSON texts): answer (number of the text), pos (from 0) and row (VARIANT). What isn't an answer with
     rows gives none."""
-    own = answers.select(F.monotonically_increasing_id().alias("answer"), F.try_parse_json(F.col(text)).alias("v")).where("schema_of_variant(v) LIKE 'ARRAY%'")
-    rows = own.select("answer", F.expr("try_variant_get(v, '$[1]', 'array<variant>')").alias("rows"))
+    own = answers.select(F.monotonically_increasing_id().alias("answer"), F.try_parse_json(F.col(text)).alias("v"))
+    rows = own.select("answer", F.expr("try_variant_get(v, '$[1]', 'array<variant>')").alias("rows"))  # null unless v is an array with rows
     return rows.select("answer", F.posexplode("rows").alias("pos", "row")).repartition("answer", "pos")
 
 
 def _properties(pairs: Column) -> Column:
     """Pairs of key and value as a map; of repeated keys the last counts. Null where there are none."""
     pair = F.transform(pairs, lambda p: F.struct(F.variant_get(p, "$[0]", "string").alias("key"), F.variant_get(p, "$[1]", "variant").alias("value")))
-    last = F.filter(pair, lambda x, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    last = lambda own: F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(bound(pair, last))
 
 
 def parsed_nodes(answers: DataFrame, text: str = "value") -> DataFrame:
