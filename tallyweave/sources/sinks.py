@@ -49,6 +49,25 @@ def write_tree(files: DataFrame, root: str) -> int:
     return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
+def delete_files(files: DataFrame, root: str) -> int:
+    """Delete the files (column path, below root) that are there. Each task deletes its own. Gives their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = _store(root)
+        for batch in batches:
+            n = 0
+            for path in batch.column(0).to_pylist():
+                if path is not None:
+                    try:
+                        store.delete_file(f"{at}/{path.lstrip('/')}")
+                        n += 1
+                    except FileNotFoundError:
+                        pass
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def with_header(front: Column, body: Column) -> Column:
     """Front matter (a JSON object) and body as one markdown text; a null header leaves the body as it is."""
 
